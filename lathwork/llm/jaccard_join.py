@@ -6,7 +6,7 @@ Two texts link when the Jaccard similarity of their sets of word shingles reache
    from rare to common.  Any deterministic ranking keeps the prefix filter exact, so a sketch is enough.
 2. One row per document: set size, digest of the set, and the prefix (the rarest shingles of which two linked
    sets must share one).  Equal sets collapse to a class, classes of equal prefix and size to a group.
-3. Groups that share a prefix shingle are compared with that shingle's first group only (a number of pairs in
+3. Groups that share a prefix shingle are compared with one of its groups only, that with the fewest rarer shingles (a number of pairs in
    proportion to the postings), filtered by size and position, expanded to class representatives and verified on
    whole texts; components of the verified links follow.
 4. What is left are pairs that share a prefix shingle and lie in different components.  All of these are verified
@@ -170,7 +170,7 @@ def jaccard_components(documents: DataFrame, words: int = 3, percent: int = 90,
     # one prefix for each group
     groups = rows.where("n > 0").select("g", "n", "prefix").groupBy("g", "n").agg(F.min("prefix").alias("prefix"))
     postings = groups.select("g", "n", F.posexplode("prefix").alias("pos", "token"))
-    shared = postings.groupBy("token").agg(F.count("*").alias("df"), F.min(F.struct("g", "n", "pos")).alias("pivot")).where("df > 1")
+    shared = postings.groupBy("token").agg(F.count("*").alias("df"), F.min(F.struct("pos", "n", "g")).alias("pivot")).where("df > 1")
     postings = stored(postings.join(shared.select("token", "pivot"), "token"), "postings")
     leaders = classes.groupBy("g").agg(F.min("cid").alias("leader"))
     spoken = stored(leaders, "leaders")

@@ -47,16 +47,28 @@ def term_places(text: str) -> np.ndarray:
     return np.unique(np.frombuffer(b"".join(map(_TERMS.__getitem__, sorted(words))), np.int32))
 
 
-def train(rows: list[np.ndarray], labels: np.ndarray, epochs: int = 6, rate: float = 0.1, least_rows: int = 3, seed: int = 11) -> tuple[float, np.ndarray, np.ndarray]:
-    """Bias, weights and factors; terms in fewer than ``least_rows`` rows stay at nought."""
+def informative(rows: list[np.ndarray], labels: np.ndarray, least_rows: int, least_z: float) -> np.ndarray:
+    """Terms whose share among rows of label 1 differs from that among the others by ``least_z`` standard errors."""
+    size, ones = 1 << BITS, max(1.0, float(labels.sum()))
+    noughts = max(1.0, len(labels) - ones)
+    flat, marks = np.concatenate(rows) if rows else np.zeros(0, np.int32), np.repeat(labels, [len(r) for r in rows])
+    seen = np.bincount(flat, minlength=size).astype(float)
+    with_one = np.bincount(flat, weights=marks, minlength=size)
+    p = np.clip(seen / (ones + noughts), 1e-9, 1 - 1e-9)
+    z = (with_one / ones - (seen - with_one) / noughts) / np.sqrt(p * (1 - p) * (1 / ones + 1 / noughts))
+    return (seen >= least_rows) & (np.abs(z) >= least_z)
+
+
+def train(rows: list[np.ndarray], labels: np.ndarray, epochs: int = 15, rate: float = 0.3, least_rows: int = 3, least_z: float = 3.0, seed: int = 11) -> tuple[float, np.ndarray, np.ndarray]:
+    """Bias, weights and factors; terms that tell nothing about the label stay at nought."""
     rng = np.random.default_rng(seed)
     size = 1 << BITS
-    seen = np.bincount(np.concatenate(rows), minlength=size) if rows else np.zeros(size, int)
-    known = seen >= least_rows
+    known = informative(rows, labels, least_rows, least_z)
     rows = [r[known[r]] for r in rows]
     w, v = np.zeros(size), rng.normal(0, 0.01, (size, FACTORS)) * known[:, None]
     gw, gv, bias, gb = np.full(size, 1e-2), np.full((size, FACTORS), 1e-2), 0.0, 1e-2
     share = float(labels.mean()) if len(labels) else 0.5
+    heavier = min(20.0, max(1.0, (1 - share) / max(share, 1e-3)))  # the rarer label counts as much as the other
     bias = float(np.log(max(share, 1e-3) / max(1 - share, 1e-3)))
     for _ in range(epochs):
         for i in rng.permutation(len(rows)):
@@ -66,6 +78,7 @@ def train(rows: list[np.ndarray], labels: np.ndarray, epochs: int = 6, rate: flo
             total = vs.sum(axis=0)
             y = bias + w[at].sum() + (total @ total - (vs * vs).sum()) / (2 * n)
             err = 1 / (1 + np.exp(-np.clip(y, -30, 30))) - labels[i]
+            err *= heavier if labels[i] else 1.0
             if abs(err) < 1e-3:
                 continue
             gb += err * err
