@@ -4,7 +4,7 @@ Terms of a text are its distinct lower-cased words and the first four and five c
 inflected forms meet; each is hashed into 2**18 places.  The machine adds a weight for each term and, for each pair of terms,
 the inner product of their factors: what an insult and a group mention say together, neither says alone.
 
-    y = bias + sum of w_i + ((sum of v_i)^2 - sum of v_i^2) / (2 n),   score = 1 / (1 + exp(-y)),   n = number of terms
+    y = bias + sum of w_i + ((sum of v_i)^2 - sum of v_i^2) / (2 n),   score = 1 / (1 + exp(-y)),   n = terms that the model knows
 
 It is fitted by AdaGrad on at most ``max_train_rows`` labelled rows (those of smallest doc_id hash), in one task;
 scoring is one pass over all texts with 5 MB of weights broadcast.
@@ -68,7 +68,6 @@ def train(rows: list[np.ndarray], labels: np.ndarray, epochs: int = 15, rate: fl
     w, v = np.zeros(size), rng.normal(0, 0.01, (size, FACTORS)) * known[:, None]
     gw, gv, bias, gb = np.full(size, 1e-2), np.full((size, FACTORS), 1e-2), 0.0, 1e-2
     share = float(labels.mean()) if len(labels) else 0.5
-    heavier = min(20.0, max(1.0, (1 - share) / max(share, 1e-3)))  # the rarer label counts as much as the other
     bias = float(np.log(max(share, 1e-3) / max(1 - share, 1e-3)))
     for _ in range(epochs):
         for i in rng.permutation(len(rows)):
@@ -78,7 +77,6 @@ def train(rows: list[np.ndarray], labels: np.ndarray, epochs: int = 15, rate: fl
             total = vs.sum(axis=0)
             y = bias + w[at].sum() + (total @ total - (vs * vs).sum()) / (2 * n)
             err = 1 / (1 + np.exp(-np.clip(y, -30, 30))) - labels[i]
-            err *= heavier if labels[i] else 1.0
             if abs(err) < 1e-3:
                 continue
             gb += err * err
@@ -133,7 +131,7 @@ def score(documents: DataFrame, model: tuple[float, np.ndarray, np.ndarray], id_
             for text in batch.column(2).to_pylist():
                 at = term_places(text)
                 total = v.take(at, axis=0).sum(axis=0, dtype=np.float64)
-                y = bias + w[at].sum(dtype=np.float64) + (total @ total - squares[at].sum(dtype=np.float64)) / (2 * max(1, len(at)))
+                y = bias + w[at].sum(dtype=np.float64) + (total @ total - squares[at].sum(dtype=np.float64)) / (2 * max(1, np.count_nonzero(squares[at])))
                 out.append(1 / (1 + np.exp(-np.clip(y, -500, 500))))
             s = np.array(out, np.float64)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(s), pa.array((s >= 0.5).astype(np.int32))], names=["doc_id", "key", "score", "predicted"])
