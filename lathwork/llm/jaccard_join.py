@@ -156,7 +156,8 @@ def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, words: int, pe
 
 
 def jaccard_components(documents: DataFrame, words: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: doc_id, n_shingles, component_id, class_id (hex digest of the shingle set), n_links.
+    """One row per input row: doc_id, key (xxhash64 of the text), n_shingles, component_id, class_id (hex
+    digest of the shingle set), n_links.
 
     component_id is the smallest doc_id reachable by links; n_links counts the verified links of the document's
     class with other classes (links inside a component that were not needed to find it are not verified, so it
@@ -200,8 +201,9 @@ def jaccard_components(documents: DataFrame, words: int = 3, percent: int = 90,
     known = classes.select("cid", "first_id").join(label.withColumnRenamed("node", "cid"), "cid", "left").select("cid", "first_id", F.coalesce("label", "cid").alias("label"))
     least = known.groupBy("label").agg(F.min("first_id").alias("component_id"))
     known = stored(known.join(least, "label").join(degree, "cid", "left").select("cid", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links")), "known")
-    return rows.select("doc_id", "n", "cid").join(known, "cid", "left").select(
+    return rows.select("doc_id", "key", "n", "cid").join(known, "cid", "left").select(
         "doc_id",
+        "key",
         F.col("n").alias("n_shingles"),
         F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
         F.lower(F.hex("cid")).alias("class_id"),
