@@ -1 +1 @@
-
+"""The same rules over streams and over batches."""
