@@ -65,8 +65,9 @@ def write_archive(pages: DataFrame, least_bytes: int = 0, id_col: str = "page_id
     holders = spark.read.parquet(records).where("record_type = 'response'").select("address", "page_id").groupBy("address").agg(F.max("page_id").alias("holder"))
     html = F.coalesce(F.col(html_col), F.lit("")).cast("binary")
     all_pages = pages.select(F.col(id_col).cast("long").alias("page_id"), F.sha2(html, 256).alias("address"), html.alias("payload"))
-    p, h = all_pages.alias("p"), holders.alias("h")
-    kept = p.join(h, F.expr("p.address = h.address and p.page_id <=> h.holder")).select("p.address", "p.payload")
+    # a merge join by address alone, whatever the size, so that payloads move once and stay in place for the last step
+    # (an equality of page_id, if Spark saw one, would become a key of the shuffle too)
+    kept = all_pages.join(holders.hint("merge"), "address").where("coalesce(page_id = holder, page_id is null and holder is null)").select("address", "payload")
     kept.dropDuplicates(["address"]).write.option("compression", "zstd").parquet(payloads)
     return records, payloads
 
