@@ -171,8 +171,11 @@ def jaccard_components(documents: DataFrame, words: int = 3, percent: int = 90,
     # one prefix for each group
     groups = rows.where("n > 0").select("g", "n", "prefix").groupBy("g", "n").agg(F.min("prefix").alias("prefix"))
     postings = groups.select("g", "n", F.posexplode("prefix").alias("pos", "token"))
-    shared = postings.groupBy("token").agg(F.count("*").alias("df"), F.min(F.struct("pos", "n", "g")).alias("pivot")).where("df > 1")
-    postings = stored(postings.join(shared.select("token", "pivot"), "token"), "postings")
+    # most shingles of a prefix occur in it only: they are counted out first, as bare numbers
+    shared = postings.groupBy("token").agg(F.count("*").alias("df")).where("df > 1").select("token")
+    postings = stored(postings.join(shared, "token"), "shared")
+    pivots = postings.groupBy("token").agg(F.min(F.struct("pos", "n", "g")).alias("pivot"))
+    postings = stored(postings.join(pivots, "token"), "postings")
     leaders = classes.groupBy("g").agg(F.min("cid").alias("leader"))
     spoken = stored(leaders, "leaders")
 

@@ -1,13 +1,14 @@
 """Toxicity by a factorization machine over hashed terms.
 
-Terms of a text are its distinct lower-cased words and the first four and five characters of longer ones, so that
-inflected forms meet; each is hashed into 2**18 places.  The machine adds a weight for each term and, for each pair of terms,
+Terms of a text are its distinct lower-cased words and the first three to seven characters of longer ones, so that
+inflected forms meet, and for beginnings that two, or four, of its words share one more each; all are hashed into
+2**19 places.  The machine adds a weight for each term and, for each pair of terms,
 the inner product of their factors: what an insult and a group mention say together, neither says alone.
 
     y = bias + sum of w_i + ((sum of v_i)^2 - sum of v_i^2) / (2 n),   score = 1 / (1 + exp(-y)),   n = terms that the model knows
 
 It is fitted by AdaGrad on at most ``max_train_rows`` labelled rows (those of smallest doc_id hash), in one task;
-scoring is one pass over all texts with 5 MB of weights broadcast.
+scoring is one pass over all texts with 10 MB of weights broadcast.
 """
 
 from __future__ import annotations
@@ -23,7 +24,8 @@ from pyspark.sql import functions as F
 
 from .shared import stored, text_rows
 
-BITS, FACTORS, MEMO = 18, 4, 300_000
+BITS, FACTORS, MEMO = 19, 4, 300_000
+BEGINNINGS, OFTEN = range(3, 8), (2, 4)
 WORD = re.compile(r"[^\W_]+")
 
 
@@ -33,7 +35,7 @@ class Terms(dict):
     def __missing__(self, word: str) -> bytes:
         if len(self) > MEMO:
             self.clear()
-        terms = [word] + [f"{word[:n]}*" for n in (4, 5) if len(word) > n]
+        terms = [word] + [f"{word[:n]}*" for n in BEGINNINGS if len(word) > n]
         self[word] = got = np.array([xxhash.xxh3_64_intdigest(t) & ((1 << BITS) - 1) for t in terms], np.int32).tobytes()
         return got
 
@@ -44,7 +46,9 @@ _TERMS = Terms()
 def term_places(text: str) -> np.ndarray:
     """The distinct places of a text's terms, sorted; none for a text without words."""
     words = set(WORD.findall(text.lower()))
-    return np.unique(np.frombuffer(b"".join(map(_TERMS.__getitem__, sorted(words))), np.int32))
+    places, counts = np.unique(np.frombuffer(b"".join(map(_TERMS.__getitem__, words)), np.int32), return_counts=True)
+    often = [(places[counts >= k].astype(np.int64) * 2654435761 + k >> 7 & (1 << BITS) - 1).astype(np.int32) for k in OFTEN]
+    return np.unique(np.concatenate((places, *often)))
 
 
 def informative(rows: list[np.ndarray], labels: np.ndarray, least_rows: int, least_z: float) -> np.ndarray:
@@ -107,7 +111,10 @@ def fit(documents: DataFrame, labels: DataFrame, max_train_rows: int = 16_000, i
     rows = stored(text_rows(documents, id_col, text_col).join(few, "doc_id").select("doc_id", "text", "y").mapInArrow(places, "doc_id long, places array<int>, y int"), "training")
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [(d, np.array(p, np.int32), y) for b in batches for d, p, y in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+        got = []
+        for b in batches:
+            ends, flat = b.column(1).offsets.to_numpy(), b.column(1).values.to_numpy()
+            got += [(d, flat[i:j], y) for d, i, j, y in zip(b.column(0).to_pylist(), ends[:-1], ends[1:], b.column(2).to_pylist(), strict=True)]
         got.sort(key=lambda r: (r[0], len(r[1])))
         bias, w, v = train([p for _, p, _ in got], np.array([float(y) for _, _, y in got]))
         yield pa.RecordBatch.from_arrays([pa.array([bias]), pa.array([w.tobytes()]), pa.array([v.tobytes()])], names=["bias", "w", "v"])
