@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geometry, numbers, text
-from ..operators import encode, engineering, graph, joins, quality, rank, rules, scenario, stats
+from ..operators import encode, engineering, graph, joins, quality, rank, rooms, rules, scenario, stats
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -503,3 +503,45 @@ def recommended_option(spark: SparkSession, sf_dir: str) -> DataFrame:
 def value_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """min, median, max of a measure."""
     return stats.value_summary(_t(spark, sf_dir, "orders"), "o_totalprice")
+
+
+_GRID = """
+    n AS (SELECT c_custkey AS k, c_nationkey % 3 AS storey, c_custkey % 12 AS x, (c_custkey // 12) % 9 AS z FROM customer),
+    w AS (SELECT DISTINCT storey, x AS ax, z AS az, x + 1 AS bx, z AS bz FROM n WHERE k % 5 <> 0 UNION SELECT DISTINCT storey, x, z, x, z + 1 FROM n WHERE k % 7 <> 0),
+    h AS (SELECT * FROM w UNION SELECT storey, bx, bz, ax, az FROM w),
+    t AS (SELECT *, coalesce(lag({'x': bx, 'z': bz}) OVER (PARTITION BY storey, ax, az ORDER BY atan2(bz - az, bx - ax), bx, bz),
+                             last({'x': bx, 'z': bz}) OVER (PARTITION BY storey, ax, az ORDER BY atan2(bz - az, bx - ax), bx, bz ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) AS c FROM h),
+    s AS (SELECT storey, bx AS ax, bz AS az, ax AS bx, az AS bz, c.x AS cx, c.z AS cz FROM t),
+    o AS (SELECT storey, ax AS sx, az AS sz, bx AS tx, bz AS tz, ax, az, bx, bz, cx, cz FROM s
+          UNION SELECT o.storey, o.sx, o.sz, o.tx, o.tz, s.ax, s.az, s.bx, s.bz, s.cx, s.cz FROM o JOIN s ON s.storey = o.storey AND s.ax = o.bx AND s.az = o.bz AND s.bx = o.cx AND s.bz = o.cz),
+    f AS (SELECT storey, sx, sz, tx, tz, min({'ax': ax, 'az': az, 'bx': bx, 'bz': bz}) AS face, sum(ax * bz - bx * az) / 2.0 AS area, sum(abs(bx - ax) + abs(bz - az)) AS perimeter FROM o GROUP BY 1, 2, 3, 4, 5),
+    g AS (SELECT * FROM f WHERE area > 0)
+"""
+
+
+def _walls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Wall lines on three storeys of a grid, some left out."""
+    n = _t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), (F.col("c_nationkey") % 3).alias("storey"), (F.col("c_custkey") % 12).cast("double").alias("x"), F.expr("cast((c_custkey div 12) % 9 as double)").alias("z"))
+    ends = F.array(F.when(F.col("k") % 5 != 0, F.struct((F.col("x") + 1).alias("x"), F.col("z").alias("z"))), F.when(F.col("k") % 7 != 0, F.struct(F.col("x").alias("x"), (F.col("z") + 1).alias("z"))))
+    lines = n.select("storey", "x", "z", F.explode(ends).alias("e")).where("e is not null").select("storey", "x", "z", F.col("e.x").alias("x2"), F.col("e.z").alias("z2"))
+    return rooms.barrier_edges(lines, "storey", ("x", "z"), ("x2", "z2"))
+
+
+@query("WITH RECURSIVE" + _GRID + """
+    SELECT storey, face.ax::DOUBLE AS x, face.az::DOUBLE AS z, count(*) AS n, round(max(area), 4) AS area, round(max(perimeter), 4)::DOUBLE AS perimeter FROM g GROUP BY storey, face
+""")
+def room_loops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faces of the wall graph of each storey."""
+    found = rooms.loops(rooms.face_cycles(rooms.half_edges(_walls(spark, sf_dir))))
+    return found.select("storey", F.col("face.a.x").alias("x"), F.col("face.a.z").alias("z"), F.col("n").cast("long").alias("n"), _r("area"), _r("perimeter"))
+
+
+@query("WITH RECURSIVE" + _GRID + """
+    SELECT a.storey, a.face.ax::DOUBLE AS left_x, a.face.az::DOUBLE AS left_z, b.face.ax::DOUBLE AS right_x, b.face.az::DOUBLE AS right_z, count(*)::DOUBLE AS shared
+    FROM g a JOIN g b ON a.storey = b.storey AND a.sx = b.tx AND a.sz = b.tz AND a.tx = b.sx AND a.tz = b.sz AND a.face < b.face GROUP BY a.storey, a.face, b.face
+""")
+def room_adjacency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Neighbouring rooms and the wall they share."""
+    cycles = graph.settled(rooms.face_cycles(rooms.half_edges(_walls(spark, sf_dir))))
+    out = rooms.adjacency(cycles, rooms.loops(cycles))
+    return out.select("storey", F.col("left.a.x").alias("left_x"), F.col("left.a.z").alias("left_z"), F.col("right.a.x").alias("right_x"), F.col("right.a.z").alias("right_z"), _r("shared"))
