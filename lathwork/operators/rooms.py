@@ -128,3 +128,38 @@ def opposite_walls(walls: DataFrame, keys: Sequence[str], thick: tuple[float, fl
         left, right = chosen.select(*keys, "left"), chosen.select(*keys, "right")
         open_pairs = settled(open_pairs.join(left, [*keys, "left"], "left_anti").join(right, [*keys, "right"], "left_anti"))
     return taken if taken is not None else open_pairs
+
+
+def split_edges(edges: DataFrame, cell: float = 2.0, tolerance: float = 0.001) -> DataFrame:
+    """The same lines cut wherever another one crosses, touches or runs along them: (storey, a, b), distinct.
+
+    Edges meet in the cells of ``cell`` width that their bounds cover.  Cut points are proper crossings and the ends of
+    other edges within ``tolerance``; lines that overlap are cut at each other's ends, and equal parts become one.
+    """
+    span = lambda k: F.sequence(*(F.floor(f(f"a.{k}", f"b.{k}") / cell).cast("long") for f in (F.least, F.greatest)))
+    spread = edges.withColumn("cx", F.explode(span("x"))).withColumn("cz", F.explode(span("z")))
+    e, f = spread.alias("e"), spread.alias("f")
+    meet = F.expr("e.storey = f.storey and e.cx = f.cx and e.cz = f.cz and not (e.a = f.a and e.b = f.b)")
+    pairs = e.join(f, meet).select("e.storey", "e.a", "e.b", F.col("f.a").alias("p"), F.col("f.b").alias("q")).distinct()
+    minus = lambda u, v: {k: F.col(f"{u}.{k}") - F.col(f"{v}.{k}") for k in "xz"}
+    cross = lambda u, v: u["x"] * v["z"] - u["z"] * v["x"]
+    along, other, off = minus("b", "a"), minus("q", "p"), minus("p", "a")
+    turn = cross(along, other)
+    safe = F.when(F.abs(turn) > 1e-12, turn)
+    t, u = cross(off, other) / safe, cross(off, along) / safe
+    at = lambda s, point: F.struct(s.alias("s"), *(numbers.quantized(point[k], tolerance).alias(k) for k in "xz"))
+    inner = lambda s: (s > 1e-9) & (s < 1 - 1e-9)
+    cuts = [F.when(inner(t) & (u >= -1e-9) & (u <= 1 + 1e-9), at(t, {k: F.col(f"a.{k}") + t * along[k] for k in "xz"}))]
+    square = along["x"] * along["x"] + along["z"] * along["z"]
+    for end in ("p", "q"):
+        d = minus(end, "a")
+        s = (d["x"] * along["x"] + d["z"] * along["z"]) / square
+        near = F.abs(cross(along, d)) / F.sqrt(square) <= tolerance
+        cuts.append(F.when(inner(s) & near, at(s, {k: F.col(f"{end}.{k}") for k in "xz"})))
+    found = pairs.select("storey", "a", "b", F.explode(F.filter(F.array(*cuts), lambda c: c.isNotNull())).alias("c")).groupBy("storey", "a", "b").agg(F.array_sort(F.collect_set("c")).alias("c"))
+    ends = lambda name: F.array(F.struct(F.col(f"{name}.x").alias("x"), F.col(f"{name}.z").alias("z")))
+    marks = edges.join(found, ["storey", "a", "b"], "left")
+    middle = F.transform(F.coalesce("c", F.expr("cast(array() as array<struct<s:double,x:double,z:double>>)")), lambda c: F.struct(c["x"].alias("x"), c["z"].alias("z")))
+    line = marks.select("storey", F.concat(ends("a"), middle, ends("b")).alias("v"))
+    part = line.select("storey", F.explode(F.arrays_zip(F.slice("v", 1, F.size("v") - 1).alias("u"), F.slice("v", 2, F.size("v") - 1).alias("w"))).alias("e"))
+    return part.select("storey", F.least("e.u", "e.w").alias("a"), F.greatest("e.u", "e.w").alias("b")).where("a <> b").distinct()

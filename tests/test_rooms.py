@@ -43,3 +43,13 @@ def test_opposite_walls(spark):
     got = {(r.left, r.right, round(r.thickness, 3)) for r in rooms.opposite_walls(df, ["storey"]).collect()}
     assert got == {("l", "r", 0.2), ("l2", "part", 0.2)}
     assert rooms.opposite_walls(df.where("side > 0"), ["storey"]).count() == 0
+
+
+def test_crossing_touching_and_overlapping_walls(spark):
+    lines = square(0, 0, 4) + square(2, 2, 4) + [("s", 10, 0, 14, 0), ("s", 12, 0, 16, 0), ("s", 11, 0, 11, 3), ("s", 20, 20, 21, 21)]
+    df = spark.createDataFrame([(s, *(float(v) for v in c)) for s, *c in lines], "s string, ax double, az double, bx double, bz double")
+    edges = rooms.split_edges(rooms.barrier_edges(df, "s", ("ax", "az"), ("bx", "bz")))
+    got = {((r.a.x, r.a.z), (r.b.x, r.b.z)) for r in edges.where("a.x >= 10 and a.x < 20").collect()}
+    assert got == {((10, 0), (11, 0)), ((11, 0), (12, 0)), ((12, 0), (14, 0)), ((14, 0), (16, 0)), ((11, 0), (11, 3))}
+    found = rooms.loops(rooms.face_cycles(rooms.half_edges(edges))).collect()
+    assert sorted(r.area for r in found) == [4.0, 12.0, 12.0]
