@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import small_enough, stored, text_rows
+from .shared import sliced, small_enough, stored, text_rows
 
 SKETCH_BITS = 20
 SKETCH_WIDTH = 256
@@ -63,7 +63,7 @@ def frequency_rank(docs: DataFrame, words: int) -> np.ndarray:
                 total[:] += np.bincount(np.concatenate(held).astype(np.int64), minlength=size)
                 held.clear()
 
-        for batch in batches:
+        for batch in sliced(batches):
             for text in batch.column(0).to_pylist():
                 held.append(shingle_hashes(text, words) & np.uint64(size - 1))
                 waiting += len(held[-1])
@@ -99,7 +99,7 @@ def prefixes(docs: DataFrame, words: int, percent: int) -> DataFrame:
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = rank.value
-        for batch in batches:
+        for batch in sliced(batches):
             n, cid, g, flat, ends = [], [], [], [], [0]
             for text in batch.column(2).to_pylist():
                 h = shingle_hashes(text, words)
@@ -141,7 +141,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, words: int, pe
         def shingles(text: str) -> np.ndarray:
             return np.unique(shingle_hashes(text, words))
 
-        for batch in batches:
+        for batch in sliced(batches):
             keep = []
             for i, (x, y) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
                 p, q = shingles(x), shingles(y)
@@ -174,9 +174,9 @@ def jaccard_components(documents: DataFrame, words: int = 3, percent: int = 90,
     # most shingles of a prefix occur in it only: they are counted out first, as bare numbers
     shared = postings.groupBy("token").agg(F.count("*").alias("df")).where("df > 1").select("token")
     postings = stored(postings.join(shared, "token"), "shared")
-    pivots = postings.groupBy("token").agg(F.min(F.struct("pos", "n", "g")).alias("pivot"))
+    pivots = postings.groupBy("token").agg(F.min(F.struct("pos", "n", "g")).alias("pivot"), F.count("*").alias("df"))
     postings = stored(postings.join(pivots, "token"), "postings")
-    leaders = classes.groupBy("g").agg(F.min("cid").alias("leader"))
+    leaders = classes.groupBy("g").agg(F.min("cid").alias("leader"), F.count("*").alias("size"))
     spoken = stored(leaders, "leaders")
 
     p = postings.select("token", F.struct("g", "n", "pos").alias("m"), "pivot").where("m.g <> pivot.g").where(_may_link("m", "pivot", percent))
@@ -189,7 +189,10 @@ def jaccard_components(documents: DataFrame, words: int = 3, percent: int = 90,
 
     # the rest: pairs in different components that share a prefix shingle or a group
     named = stored(classes.select("cid", "g", "n").join(label.withColumnRenamed("node", "cid"), "cid", "left").select("cid", "g", F.coalesce("label", "cid").alias("label")), "named")
-    lists = postings.select("token", "g", "n", "pos").join(named, "g")
+    # a list of two groups of one class each has no pair but the one that is checked
+    crowded = postings.where("df = 2").join(spoken.where("size > 1"), "g", "left_semi").select("token").distinct()
+    open_lists = postings.where("df > 2").unionByName(postings.where("df = 2").join(crowded, "token", "left_semi").select(*postings.columns))
+    lists = open_lists.select("token", "g", "n", "pos").join(named, "g")
     mixed = lists.groupBy("token").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("token")
     lists = stored(lists.join(mixed, "token"), "mixed")
     x, y = lists.alias("x"), lists.alias("y")
