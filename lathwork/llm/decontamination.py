@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import stored, text_rows
+from .shared import sliced, stored, text_rows
 
 WORD = re.compile(r"\w+")
 _M = np.uint64(0x9E3779B97F4A7C15)
@@ -80,7 +80,7 @@ def _seed_table(benchmark: DataFrame, min_match: int) -> DataFrame:
     """(item_id, item, seed): item is the words' hashes; items shorter than min_match have none."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             ids, flat = [], []
             for item_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 seeds = np.unique(running(word_hashes(text), min_match)).view(np.int64)
@@ -120,7 +120,7 @@ def contaminated(
     pairs = candidates.join(items.select("item_id", F.col("text").alias("item")), "item_id")
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             out = []
             for doc_id, key, text, item_id, item in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 a = word_hashes(item)
@@ -140,7 +140,7 @@ def _by_broadcast(docs: DataFrame, seeds: DataFrame, min_match: int) -> DataFram
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seed, item = known.value
-        for batch in batches:
+        for batch in sliced(batches):
             rows, items = [], []
             for r, text in enumerate(batch.column(2).to_pylist()):
                 h = running(word_hashes(text), min_match).view(np.int64)

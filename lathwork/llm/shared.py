@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 LOCAL_FALLBACK = "/tmp/checkpoints/lathwork"
@@ -46,9 +47,8 @@ def small_enough(df: DataFrame, rows: int) -> bool:
     return df.limit(rows + 1).count() <= rows
 
 
-def same(a: DataFrame, b: DataFrame, columns: Sequence[str]) -> Column:
-    """Null-safe equality on all the columns."""
-    out = F.lit(True)
-    for c in columns:
-        out = out & a[c].eqNullSafe(b[c])
-    return out
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """The batches in smaller ones, so that few rows at a time become Python objects."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)

@@ -22,9 +22,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import stored, text_rows
+from .shared import sliced, stored, text_rows
 
-BITS, FACTORS, MEMO = 19, 4, 300_000
+BITS, FACTORS, MEMO = 19, 4, 150_000
 BEGINNINGS, OFTEN = range(3, 8), (2, 4)
 WORD = re.compile(r"[^\W_]+")
 
@@ -55,9 +55,12 @@ def informative(rows: list[np.ndarray], labels: np.ndarray, least_rows: int, lea
     """Terms whose share among rows of label 1 differs from that among the others by ``least_z`` standard errors."""
     size, ones = 1 << BITS, max(1.0, float(labels.sum()))
     noughts = max(1.0, len(labels) - ones)
-    flat, marks = np.concatenate(rows) if rows else np.zeros(0, np.int32), np.repeat(labels, [len(r) for r in rows])
-    seen = np.bincount(flat, minlength=size).astype(float)
-    with_one = np.bincount(flat, weights=marks, minlength=size)
+    seen, with_one = np.zeros(size), np.zeros(size)
+    for i in range(0, len(rows), 256):
+        part = rows[i : i + 256]
+        flat, marks = np.concatenate(part), np.repeat(labels[i : i + 256], [len(r) for r in part])
+        seen += np.bincount(flat, minlength=size)
+        with_one += np.bincount(flat, weights=marks, minlength=size)
     p = np.clip(seen / (ones + noughts), 1e-9, 1 - 1e-9)
     z = (with_one / ones - (seen - with_one) / noughts) / np.sqrt(p * (1 - p) * (1 / ones + 1 / noughts))
     return (seen >= least_rows) & (np.abs(z) >= least_z)
@@ -102,7 +105,7 @@ def fit(documents: DataFrame, labels: DataFrame, max_train_rows: int = 16_000, i
     few = F.broadcast(stored(marks, "labels"))  # at most max_train_rows rows of two numbers
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             found = [term_places(t) for t in batch.column(1).to_pylist()]
             ends = np.concatenate(([0], np.cumsum([len(x) for x in found], dtype=np.int64))).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found) if found else np.zeros(0, np.int32)))
@@ -133,7 +136,7 @@ def score(documents: DataFrame, model: tuple[float, np.ndarray, np.ndarray], id_
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bias, w, v = known.value
         squares = (v * v).sum(axis=1)
-        for batch in batches:
+        for batch in sliced(batches):
             out = []
             for text in batch.column(2).to_pylist():
                 at = term_places(text)
