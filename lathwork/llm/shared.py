@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -47,8 +47,19 @@ def small_enough(df: DataFrame, rows: int) -> bool:
     return df.limit(rows + 1).count() <= rows
 
 
-def sliced(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
-    """The batches in smaller ones, so that few rows at a time become Python objects."""
+#: what modules keep in a Python worker from task to task, and how each is dropped
+KEPT: dict[str, Callable[[], object]] = {}
+
+
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = 512, keep: str = "") -> Iterator[pa.RecordBatch]:
+    """The batches in smaller ones, so that few rows at a time become Python objects.
+
+    Workers outlive operators; a task first drops what other operators have kept in its worker.
+    """
+    for name, drop in KEPT.items():
+        if name != keep:
+            drop()
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
+    pa.default_memory_pool().release_unused()

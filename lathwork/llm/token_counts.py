@@ -56,7 +56,7 @@ def section_tokens(documents: DataFrame, vocabulary: str | None = None, rule: st
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = tokens.encoder(path).encode_with_spans
-        for batch in sliced(batches):
+        for batch in sliced(batches, keep="tokens"):
             texts = batch.column(1).to_pylist()
             doc, cols = [], [[] for _ in range(6)]
             for doc_id, text, (ids, first, last) in zip(batch.column(0).to_pylist(), texts, encode(texts), strict=True):

@@ -16,6 +16,8 @@ from functools import lru_cache
 
 import numpy as np
 
+from .shared import KEPT
+
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 MEMO_ENTRIES = 400_000
@@ -120,3 +122,6 @@ class Encoder:
 def encoder(path: str) -> Encoder:
     """One in each Python worker, reused from task to task."""
     return Encoder(path)
+
+
+KEPT["tokens"] = encoder.cache_clear

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import sliced, stored, text_rows
+from .shared import KEPT, sliced, stored, text_rows
 
 BITS, FACTORS, MEMO = 19, 4, 150_000
 BEGINNINGS, OFTEN = range(3, 8), (2, 4)
@@ -41,6 +41,7 @@ class Terms(dict):
 
 
 _TERMS = Terms()
+KEPT["terms"] = _TERMS.clear
 
 
 def term_places(text: str) -> np.ndarray:
@@ -105,7 +106,7 @@ def fit(documents: DataFrame, labels: DataFrame, max_train_rows: int = 16_000, i
     few = F.broadcast(stored(marks, "labels"))  # at most max_train_rows rows of two numbers
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches):
+        for batch in sliced(batches, keep="terms"):
             found = [term_places(t) for t in batch.column(1).to_pylist()]
             ends = np.concatenate(([0], np.cumsum([len(x) for x in found], dtype=np.int64))).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found) if found else np.zeros(0, np.int32)))
@@ -136,7 +137,7 @@ def score(documents: DataFrame, model: tuple[float, np.ndarray, np.ndarray], id_
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bias, w, v = known.value
         squares = (v * v).sum(axis=1)
-        for batch in sliced(batches):
+        for batch in sliced(batches, keep="terms"):
             out = []
             for text in batch.column(2).to_pylist():
                 at = term_places(text)
