@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import zlib
 from bisect import bisect_left, insort
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -71,64 +72,117 @@ def best_fit(lengths: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
-def improve(bins: list[list[int]], lengths: list[int], capacity: int, rounds: int = 4, neighbours: int = 64) -> list[list[int]]:
-    """Moves, one-for-one and two-for-one exchanges between underfull bins that increase the sum of squared fills.
+class _Targets:
+    """Underfull bins by what they can hand back: for every number of tokens t, the rooms of the bins that can give up t.
 
-    The emptiest bins are drained first: a step shifts load from a source bin to a fuller target, which raises
-    squared fill, until the source is empty and goes.  Each source looks at its ``neighbours`` roomiest targets.
+    ``next[k][t, d]`` is the smallest room of at least d among bins that can give up t tokens in at most one piece
+    (k = 0, t = 0 for none) or in two (k = 1).  16 MB of 16-bit numbers at a capacity of 2,048.
     """
-    bins = [list(b) for b in bins]
-    fill = [sum(lengths[i] for i in b) for b in bins]
-    for _ in range(rounds):
-        before = sum(1 for b in bins if b)
-        under = sorted((k for k, b in enumerate(bins) if b and fill[k] < capacity), key=lambda k: (fill[k], k))
-        for s in under[: max(8, len(under) // 8)]:
-            for t in sorted((k for k in under if k != s and bins[k] and fill[k] >= fill[s] and fill[k] < capacity), key=lambda k: (fill[k], k))[:neighbours]:
-                while bins[s] and (step := _step(bins[s], bins[t], capacity - fill[t], lengths)):
-                    give, take = step
-                    for i in give:
-                        bins[s].remove(i)
-                    for i in take:
-                        bins[t].remove(i)
-                    bins[s] += take
-                    bins[t] += give
-                    gain = sum(lengths[i] for i in give) - sum(lengths[i] for i in take)
-                    fill[s] -= gain
-                    fill[t] += gain
-                if not bins[s]:
-                    break
-        if sum(1 for b in bins if b) == before:
-            break
-    return [b for b in bins if b]
 
-
-def _step(source: list[int], target: list[int], room: int, lengths: list[int]) -> tuple[list[int], list[int]] | None:
-    """The exchange that moves most tokens from source to target within its room; None if none moves any."""
-    best, found = 0, None
-    for i in source:
-        a = lengths[i]
-        if best < a <= room:
-            best, found = a, ([i], [])
-        for j in target:
-            if best < a - lengths[j] <= room:
-                best, found = a - lengths[j], ([i], [j])
-    if best == room or len(target) > 64 or len(source) > 64:
+    def __init__(self, capacity: int):
+        self.capacity, self.none = capacity, capacity + 1
+        kind = np.int16 if self.none < 1 << 15 else np.int32
+        self.next = [np.full((capacity + 1, capacity + 2), self.none, kind) for _ in range(2)]
+        self.bins: dict[tuple[int, int, int], dict[int, None]] = {}
+
+    def add(self, b: int, room: int, gives: list[tuple[int, int]]) -> None:
+        for k, t in gives:
+            if same := self.bins.get((k, t, room)):
+                same[b] = None
+                continue
+            self.bins[k, t, room] = {b: None}
+            row = self.next[k][t]
+            row[int(row[: room + 1].searchsorted(room, "right")) : room + 1] = room
+
+    def drop(self, b: int, room: int, gives: list[tuple[int, int]]) -> None:
+        for k, t in gives:
+            same = self.bins[k, t, room]
+            del same[b]
+            if not same:
+                del self.bins[k, t, room]
+                row = self.next[k][t]
+                row[int(row[: room + 1].searchsorted(room, "left")) : room + 1] = row[room + 1]
+
+    def best(self, room: int, ones: list[int], twos: list[int]) -> tuple[int, int, int, int, int] | None:
+        """(tokens given, kind given, bin, tokens taken, kind taken) that raises squared fill most for a source of that room."""
+        most, found, wide = 0, None, self.capacity + 2
+        for kind, given, takes in ((0, ones, (0, 1)), (1, twos, (0,))):
+            for g in given:
+                d = np.arange(g, 0, -1)  # tokens moved, if 0, 1, ... are taken in turn
+                for k in takes:
+                    to = self.next[k].ravel()[g : g * (wide - 1) + 1 : wide - 1]  # next[k][t, g - t]
+                    raised = np.where(to < self.none, d * (room + d - to), 0)
+                    t = int(raised.argmax())
+                    if raised[t] > most:
+                        most, found = int(raised[t]), (g, kind, next(iter(self.bins[k, t, int(to[t])])), t, k)
         return found
-    for x in range(len(target)):
-        for y in range(x):
-            b = lengths[target[x]] + lengths[target[y]]
-            for i in source:  # one out of the source for two of the target
-                if best < lengths[i] - b <= room:
-                    best, found = lengths[i] - b, ([i], [target[x], target[y]])
-    for x in range(len(source)):
-        for y in range(x):
-            a = lengths[source[x]] + lengths[source[y]]
-            if best < a <= room:
-                best, found = a, ([source[x], source[y]], [])
-            for j in target:  # two of the source for one of the target
-                if best < a - lengths[j] <= room:
-                    best, found = a - lengths[j], ([source[x], source[y]], [j])
-    return found
+
+
+def _of(pieces: list[int], lengths: list[int], tokens: int, kind: int) -> list[int]:
+    """Pieces of a bin with that many tokens: none or one (kind 0), or two (kind 1)."""
+    if not tokens:
+        return []
+    first = {lengths[i]: i for i in reversed(pieces)}
+    if not kind:
+        return [first[tokens]]
+    for i in pieces:
+        for j in pieces if 2 * lengths[i] == tokens else [first.get(tokens - lengths[i], i)]:
+            if i != j and lengths[i] + lengths[j] == tokens:
+                return [i, j]
+    raise AssertionError("no two pieces of so many tokens")
+
+
+def improve(bins: list[list[int]], lengths: list[int], capacity: int) -> list[list[int]]:
+    """Moves, one-for-one, one-for-two and two-for-one exchanges until none between any two bins raises the sum of squared fills.
+
+    Every underfull bin is a source, the emptiest first, and every other one a target.  A source takes the exchange that
+    raises squared fill most, again and again, until it has none or is empty and goes; passes over the sources end
+    with one in which nothing moved.  Exchanges are found by tokens and room, not bin by bin (_Targets); a bin has
+    few different lengths (63 at most in 2,048 tokens), however many its pieces.  Full bins can't take part: what
+    they gave would lower squared fill.
+    """
+    bins = [list(b) for b in bins]
+    room = [capacity - sum(lengths[i] for i in b) for b in bins]
+
+    def sums(b: int) -> tuple[list[int], list[int]]:
+        count = Counter(lengths[i] for i in bins[b])
+        ones = sorted(count, reverse=True)
+        return ones, sorted({x + y for n, x in enumerate(ones) for y in ones[n if count[x] > 1 else n + 1 :]}, reverse=True)
+
+    def gives(ones: list[int], twos: list[int]) -> list[tuple[int, int]]:
+        return [(0, 0), *((0, t) for t in ones), *((1, t) for t in twos)]
+
+    under = [b for b in range(len(bins)) if bins[b] and room[b] > 0]
+    if len(under) < 2:
+        return [b for b in bins if b]
+    targets, known = _Targets(capacity), {b: sums(b) for b in under}
+    for b in under:
+        targets.add(b, room[b], gives(*known[b]))
+    moved = True
+    while moved:
+        moved = False
+        for s in sorted(known, key=lambda b: (-room[b], b)):
+            if s not in known:  # filled since
+                continue
+            targets.drop(s, room[s], gives(*known[s]))
+            while bins[s] and (step := targets.best(room[s], *known[s])):
+                given, kind, t, taken, back = step
+                targets.drop(t, room[t], gives(*known[t]))
+                give, take = _of(bins[s], lengths, given, kind), _of(bins[t], lengths, taken, back)
+                bins[s] = [i for i in bins[s] if i not in give] + take
+                bins[t] = [i for i in bins[t] if i not in take] + give
+                room[s] += given - taken
+                room[t] -= given - taken
+                known[s], known[t], moved = sums(s), sums(t), True
+                if room[t]:
+                    targets.add(t, room[t], gives(*known[t]))
+                else:
+                    del known[t]
+            if bins[s]:
+                targets.add(s, room[s], gives(*known[s]))
+            else:
+                del known[s]
+    return [b for b in bins if b]
 
 
 def pack(documents: DataFrame, vocabulary: str | None = None, capacity: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -1,4 +1,5 @@
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -159,6 +160,26 @@ def test_local_search_empties_bins():
     assert square(better) > square(poor)
 
 
+def test_local_search_goes_on_until_no_exchange_is_left():
+    """Near-equal lengths, where best fit leaves room in every bin; and bins of more than 64 pieces."""
+    state, lengths = 1, []
+    for _ in range(300):
+        state = state * 48271 % 2147483647
+        lengths.append(600 + state % 161)
+    bins = packing.best_fit(lengths, 2048)
+    better = packing.improve(bins, lengths, 2048)
+    assert sorted(i for b in better for i in b) == list(range(300))
+    fill = [sum(lengths[i] for i in b) for b in better]
+    assert max(fill) <= 2048 and len(better) <= 0.95 * len(bins)
+    some = lambda b, n: [sum(x) for x in itertools.combinations([lengths[i] for i in b], n)]
+    for s, t in itertools.permutations(range(len(better)), 2):
+        a, b = better[s], better[t]
+        steps = [(g, x) for g in some(a, 1) for k in (0, 1, 2) for x in some(b, k)] + [(g, x) for g in some(a, 2) for k in (0, 1) for x in some(b, k)]
+        assert not any(0 < g - x <= 2048 - fill[t] and fill[t] + g - x > fill[s] for g, x in steps)
+    many = [6, *[1] * 67, 2, 3]  # 6 can go only where 2 and 3 come back
+    assert sorted(sorted(many[i] for i in b) for b in packing.improve([[0], [*range(1, 70)]], many, 73)) == [[1] * 67 + [6], [2, 3]]
+
+
 def test_section_tokens(spark, odd_documents, no_documents, documents):
     df = odd_documents.select("doc_id", "text").where("doc_id is not null").dropDuplicates(["doc_id"]).union(documents.select("doc_id", "text").limit(30).withColumn("doc_id", F.col("doc_id") + 100))
     got = defaultdict(dict)
