@@ -527,13 +527,23 @@ def _walls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rooms.barrier_edges(lines, "storey", ("x", "z"), ("x2", "z2"))
 
 
+def _loops(walls: DataFrame) -> DataFrame:
+    found = rooms.loops(rooms.face_cycles(rooms.half_edges(walls)))
+    return found.select("storey", F.col("face.a.x").alias("x"), F.col("face.a.z").alias("z"), F.col("n").cast("long").alias("n"), _r("area"), _r("perimeter"))
+
+
+def _adjacency(walls: DataFrame) -> DataFrame:
+    cycles = graph.settled(rooms.face_cycles(rooms.half_edges(walls)))
+    out = rooms.adjacency(cycles, rooms.loops(cycles))
+    return out.select("storey", F.col("left.a.x").alias("left_x"), F.col("left.a.z").alias("left_z"), F.col("right.a.x").alias("right_x"), F.col("right.a.z").alias("right_z"), _r("shared"))
+
+
 @query("WITH RECURSIVE" + _GRID + """
     SELECT storey, face.ax::DOUBLE AS x, face.az::DOUBLE AS z, count(*) AS n, round(max(area), 4) AS area, round(max(perimeter), 4)::DOUBLE AS perimeter FROM g GROUP BY storey, face
 """)
 def room_loops(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Faces of the wall graph of each storey."""
-    found = rooms.loops(rooms.face_cycles(rooms.half_edges(_walls(spark, sf_dir))))
-    return found.select("storey", F.col("face.a.x").alias("x"), F.col("face.a.z").alias("z"), F.col("n").cast("long").alias("n"), _r("area"), _r("perimeter"))
+    return _loops(_walls(spark, sf_dir))
 
 
 @query("WITH RECURSIVE" + _GRID + """
@@ -542,6 +552,36 @@ def room_loops(spark: SparkSession, sf_dir: str) -> DataFrame:
 """)
 def room_adjacency(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Neighbouring rooms and the wall they share."""
-    cycles = graph.settled(rooms.face_cycles(rooms.half_edges(_walls(spark, sf_dir))))
-    out = rooms.adjacency(cycles, rooms.loops(cycles))
-    return out.select("storey", F.col("left.a.x").alias("left_x"), F.col("left.a.z").alias("left_z"), F.col("right.a.x").alias("right_x"), F.col("right.a.z").alias("right_z"), _r("shared"))
+    return _adjacency(_walls(spark, sf_dir))
+
+
+# storeys of 108 customers each, so that the building grows with the table and every row adds a wall
+_BUILDING = """
+    n AS (SELECT c_custkey AS k, c_custkey // 108 AS storey, c_custkey % 12 AS x, (c_custkey // 12) % 9 AS z FROM customer),
+    w AS (SELECT DISTINCT storey, x AS ax, z AS az, x + 1 AS bx, z AS bz FROM n WHERE k % 5 <> 0 UNION SELECT DISTINCT storey, x, z, x, z + 1 FROM n WHERE k % 5 = 0 OR k % 7 <> 0),
+""" + _GRID[_GRID.index("    h AS") :]
+
+
+def _building(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Wall lines of all customers: one or two for each, on storeys of 108."""
+    n = _t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), F.expr("c_custkey div 108").alias("storey"), (F.col("c_custkey") % 12).cast("double").alias("x"), F.expr("cast((c_custkey div 12) % 9 as double)").alias("z"))
+    ends = F.array(F.when(F.col("k") % 5 != 0, F.struct((F.col("x") + 1).alias("x"), F.col("z").alias("z"))), F.when((F.col("k") % 5 == 0) | (F.col("k") % 7 != 0), F.struct(F.col("x").alias("x"), (F.col("z") + 1).alias("z"))))
+    lines = n.select("storey", "x", "z", F.explode(ends).alias("e")).where("e is not null").select("storey", "x", "z", F.col("e.x").alias("x2"), F.col("e.z").alias("z2"))
+    return rooms.barrier_edges(lines, "storey", ("x", "z"), ("x2", "z2"))
+
+
+@query("WITH RECURSIVE" + _BUILDING + """
+    SELECT storey, face.ax::DOUBLE AS x, face.az::DOUBLE AS z, count(*) AS n, round(max(area), 4) AS area, round(max(perimeter), 4)::DOUBLE AS perimeter FROM g GROUP BY storey, face
+""")
+def building_loops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faces of the wall graph of each storey, over all customers."""
+    return _loops(_building(spark, sf_dir))
+
+
+@query("WITH RECURSIVE" + _BUILDING + """
+    SELECT a.storey, a.face.ax::DOUBLE AS left_x, a.face.az::DOUBLE AS left_z, b.face.ax::DOUBLE AS right_x, b.face.az::DOUBLE AS right_z, count(*)::DOUBLE AS shared
+    FROM g a JOIN g b ON a.storey = b.storey AND a.sx = b.tx AND a.sz = b.tz AND a.tx = b.sx AND a.tz = b.sz AND a.face < b.face GROUP BY a.storey, a.face, b.face
+""")
+def building_adjacency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Neighbouring rooms and the wall they share, over all customers."""
+    return _adjacency(_building(spark, sf_dir))

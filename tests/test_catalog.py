@@ -45,3 +45,13 @@ def test_order_and_partitions_do_not_matter(spark, sf_dir, tmp_path):
     o.orderBy("o_custkey", "o_totalprice").repartition(13).write.parquet(f"{tmp_path}/orders.parquet")
     a, b = (sorted(map(tuple, catalog.fingerprint(spark, d).collect())) for d in (sf_dir, str(tmp_path)))
     assert a == b
+
+
+def test_every_customer_adds_walls(spark, sf_dir, tmp_path):
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    n = c.count()
+    more = c.withColumn("c_custkey", c["c_custkey"] + 3780).union(c)  # 35 storeys up, where the same walls are left out
+    more.write.parquet(f"{tmp_path}/customer.parquet")
+    one, two = catalog._building(spark, sf_dir).count(), catalog._building(spark, str(tmp_path)).count()
+    assert one >= n and two == 2 * one
+    assert catalog.building_loops(spark, str(tmp_path)).count() == 2 * catalog.building_loops(spark, sf_dir).count()
