@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import uuid
 from collections.abc import Sequence
 
@@ -40,12 +41,12 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         labels = new.select("node", "component")
 
 
-def hops(edges: DataFrame, sources: DataFrame, limit: int = 50, a: str = "a", b: str = "b") -> DataFrame:
-    """(node, hops) from the nearest source over undirected edges; nodes that can't be reached are not listed."""
+def hops(edges: DataFrame, sources: DataFrame, limit: int | None = 50, a: str = "a", b: str = "b") -> DataFrame:
+    """(node, hops) from the nearest source over undirected edges; nodes that can't be reached are not listed; no limit: until nothing new is found."""
     both = edges.select(F.col(a).alias("x"), F.col(b).alias("y"))
     both = settled(both.union(both.select("y", "x")).distinct())
     known = settled(sources.select(F.col(sources.columns[0]).alias("node"), F.lit(0).alias("hops")).distinct())
-    for depth in range(1, limit + 1):
+    for depth in itertools.count(1) if limit is None else range(1, limit + 1):
         edge = known.where(F.col("hops") == depth - 1).join(both, F.col("node") == F.col("x")).select(F.col("y").alias("node")).distinct()
         fresh = settled(edge.join(known, "node", "left_anti").withColumn("hops", F.lit(depth)))
         if fresh.isEmpty():

@@ -291,6 +291,40 @@ def bfs_hops(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.hops(e, first, 12)
 
 
+_ALL_EDGES = "SELECT DISTINCT 'C' || o_custkey AS a, 'S' || l_suppkey AS b FROM lineitem JOIN orders ON o_orderkey = l_orderkey"
+
+
+def _all_trade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every customer with every supplier of its orders."""
+    node = lambda letter, c: F.concat(F.lit(letter), F.col(c).cast("string"))
+    lines = _t(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_suppkey")
+    return lines.join(_t(spark, sf_dir, "orders"), "o_orderkey").select(node("C", "o_custkey").alias("a"), node("S", "l_suppkey").alias("b")).distinct()
+
+
+@query(f"""
+    WITH RECURSIVE e AS ({_ALL_EDGES}), u AS (SELECT a AS x, b AS y FROM e UNION SELECT b, a FROM e),
+    r(node, component) USING KEY (node) AS (SELECT DISTINCT x, x FROM u
+      UNION (SELECT k.node, min(r.component) FROM r JOIN u ON u.x = r.node JOIN recurring.r AS k ON k.node = u.y WHERE r.component < k.component GROUP BY k.node))
+    SELECT node, component FROM r
+""")
+def trade_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers and suppliers linked by any trade."""
+    return graph.connected_components(_all_trade(spark, sf_dir))
+
+
+@query(f"""
+    WITH RECURSIVE e AS ({_ALL_EDGES}), u AS (SELECT a AS x, b AS y FROM e UNION SELECT b, a FROM e),
+    r(node, hops) USING KEY (node) AS (SELECT min(x), 0 FROM u
+      UNION (SELECT u.y, min(r.hops) + 1 FROM r JOIN u ON u.x = r.node LEFT JOIN recurring.r AS k ON k.node = u.y WHERE k.node IS NULL GROUP BY u.y))
+    SELECT node, hops FROM r
+""")
+def trade_hops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hops from the first node over all trades, until nothing new is found."""
+    e = graph.settled(_all_trade(spark, sf_dir))
+    first = e.select("a").union(e.select("b")).agg(F.min("a").alias("node"))
+    return graph.hops(e, first, None)
+
+
 @query("""
     SELECT p.p_brand, p.p_partkey, round(p.p_retailprice, 2) AS p_retailprice, p.p_size FROM part p
     WHERE NOT EXISTS (SELECT 1 FROM part q WHERE q.p_brand = p.p_brand AND q.p_retailprice <= p.p_retailprice AND q.p_size >= p.p_size AND (q.p_retailprice < p.p_retailprice OR q.p_size > p.p_size))

@@ -55,3 +55,26 @@ def test_every_customer_adds_walls(spark, sf_dir, tmp_path):
     one, two = catalog._building(spark, sf_dir).count(), catalog._building(spark, str(tmp_path)).count()
     assert one >= n and two == 2 * one
     assert catalog.building_loops(spark, str(tmp_path)).count() == 2 * catalog.building_loops(spark, sf_dir).count()
+
+
+def test_all_trades_like_brute_force(spark, tmp_path):
+    """Two chains, one of 20 hops; quantities and discounts are such that none is rare."""
+    pairs = [(k, k) for k in range(1, 11)] + [(k + 1, k) for k in range(1, 11)] + [(50, 60), (51, 60)]
+    spark.createDataFrame([(i, c) for i, (c, _) in enumerate(pairs)], "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame([(i, s, 1.0, 0.0) for i, (_, s) in enumerate(pairs)], "l_orderkey long, l_suppkey long, l_quantity double, l_discount double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    near = {}
+    for c, s in pairs:
+        near.setdefault(f"C{c}", set()).add(f"S{s}")
+        near.setdefault(f"S{s}", set()).add(f"C{c}")
+
+    def hops(first):
+        seen, now = {first: 0}, [first]
+        for x in now:
+            for y in near[x] - set(seen):
+                seen[y] = seen[x] + 1
+                now.append(y)
+        return seen
+
+    assert {r.node: r.hops for r in catalog.trade_hops(spark, str(tmp_path)).collect()} == hops(min(near))
+    assert max(hops(min(near)).values()) == 20
+    assert {r.node: r.component for r in catalog.trade_components(spark, str(tmp_path)).collect()} == {x: min(hops(x)) for x in near}
