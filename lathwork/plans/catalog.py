@@ -382,12 +382,26 @@ def debounce(spark: SparkSession, sf_dir: str) -> DataFrame:
 """)
 def quantize(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Coordinates to whole numbers and back, per label and axis."""
-    rows = _t(spark, sf_dir, "embeddings").select("label", F.posexplode(F.slice("embedding", 1, 8)).alias("axis", "x"))
+    return _quantized(_t(spark, sf_dir, "embeddings").select("label", F.posexplode(F.slice("embedding", 1, 8)).alias("axis", "x")))
+
+
+def _quantized(rows: DataFrame) -> DataFrame:
     rows = rows.select("label", (F.col("axis") + 1).alias("axis"), F.col("x").cast("double").alias("x"))
     out = encode.dequantize(encode.quantize(rows, ["label", "axis"], ["x"]), ["x"])
     return out.groupBy("label", "axis").agg(F.count("*").alias("n"), F.round(F.max(F.abs(F.col("x_back") - F.col("x"))), 6).alias("max_error"), F.max("q_x").alias("max_code"))
 
 
+@query("""
+    WITH u AS (SELECT label, unnest(range(1, len(embedding) + 1)) AS axis, unnest(embedding)::DOUBLE AS x FROM embeddings),
+    b AS (SELECT *, min(x) OVER w AS lo, max(x) OVER w AS hi FROM u WINDOW w AS (PARTITION BY label, axis)),
+    s AS (SELECT *, CASE WHEN hi > lo THEN (hi - lo) / CASE WHEN (hi - lo) / 65535 / 2 <= 0.001 THEN 65535.0 ELSE 4294967295.0 END ELSE 1 END AS scale FROM b)
+    SELECT label, axis::INTEGER AS axis, count(*) AS n, round(max(abs(lo + floor((x - lo) / scale + 0.5) * scale - x)), 6) AS max_error, max(floor((x - lo) / scale + 0.5)::BIGINT) AS max_code FROM s GROUP BY 1, 2
+""")
+def quantize_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All components of the embeddings to whole numbers and back, per label and axis."""
+    return _quantized(_t(spark, sf_dir, "embeddings").select("label", F.posexplode("embedding").alias("axis", "x")))
+
+
 @query("""
     WITH p AS (SELECT l_orderkey, l_linenumber, l_quantity AS x, floor(l_extendedprice * 100 + 0.5) AS z FROM lineitem),
     c AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, x, z) AS k, count(*) OVER (PARTITION BY l_orderkey) AS n FROM p),

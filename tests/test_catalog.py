@@ -78,3 +78,10 @@ def test_all_trades_like_brute_force(spark, tmp_path):
     assert {r.node: r.hops for r in catalog.trade_hops(spark, str(tmp_path)).collect()} == hops(min(near))
     assert max(hops(min(near)).values()) == 20
     assert {r.node: r.component for r in catalog.trade_components(spark, str(tmp_path)).collect()} == {x: min(hops(x)) for x in near}
+
+
+def test_every_axis_is_quantized(spark, sf_dir):
+    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    rows = catalog.quantize_embeddings(spark, sf_dir).collect()
+    assert {r.axis for r in rows} == set(range(1, 65))
+    assert sum(r.n for r in rows) == 64 * e.count()
