@@ -437,18 +437,34 @@ def dictionary_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
       UNION ALL SELECT 'negative balance', c_custkey::VARCHAR FROM customer WHERE NOT coalesce(c_acctbal >= 0, false)) GROUP BY 1
 """)
 def integrity_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Dangling keys, duplicates and range errors by reason."""
+    """Dangling keys, duplicates and range errors by reason; labels are held against longer documents only."""
+    return _integrity(spark, sf_dir, _t(spark, sf_dir, "documents").where("n_chars > 500"))
+
+
+def _integrity(spark: SparkSession, sf_dir: str, documents: DataFrame) -> DataFrame:
     o, c = _t(spark, sf_dir, "orders"), _t(spark, sf_dir, "customer")
     return quality.report(
         [
             quality.dangling(o, "o_custkey", c, "c_custkey", "order without customer", "o_orderkey"),
-            quality.dangling(_t(spark, sf_dir, "labels"), "doc_id", _t(spark, sf_dir, "documents").where("n_chars > 500").withColumnRenamed("doc_id", "d"), "d", "label without document", "doc_id"),
+            quality.dangling(_t(spark, sf_dir, "labels"), "doc_id", documents.withColumnRenamed("doc_id", "d"), "d", "label without document", "doc_id"),
             quality.duplicates(_t(spark, sf_dir, "part"), ["p_name"], "repeated part name"),
             quality.broken(c, F.col("c_acctbal") >= 0, "negative balance", "c_custkey"),
         ]
     )
 
 
+@query("""
+    SELECT reason, count(*) AS n, min(id) AS example FROM (
+      SELECT 'order without customer' AS reason, o_orderkey::VARCHAR AS id FROM orders WHERE o_custkey IS NOT NULL AND o_custkey NOT IN (SELECT c_custkey FROM customer)
+      UNION ALL SELECT 'label without document', doc_id::VARCHAR FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents)
+      UNION ALL SELECT 'repeated part name', p_name FROM part GROUP BY p_name HAVING count(*) > 1
+      UNION ALL SELECT 'negative balance', c_custkey::VARCHAR FROM customer WHERE NOT coalesce(c_acctbal >= 0, false)) GROUP BY 1
+""")
+def integrity_of_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dangling keys, duplicates and range errors by reason, labels held against all documents."""
+    return _integrity(spark, sf_dir, _t(spark, sf_dir, "documents"))
+
+
 @query("""
     SELECT o_orderpriority, sha256(string_agg(d, '' ORDER BY d)) AS fingerprint, count(*) AS n
     FROM (SELECT o_orderpriority, sha256(o_orderkey::VARCHAR || '|' || o_custkey::VARCHAR || '|' || o_orderstatus) AS d FROM orders) GROUP BY 1

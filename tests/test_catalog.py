@@ -85,3 +85,15 @@ def test_every_axis_is_quantized(spark, sf_dir):
     rows = catalog.quantize_embeddings(spark, sf_dir).collect()
     assert {r.axis for r in rows} == set(range(1, 65))
     assert sum(r.n for r in rows) == 64 * e.count()
+
+
+def test_planted_dangling_keys(spark, sf_dir, tmp_path):
+    """A label of a short document is none; labels and orders without a partner are."""
+    for t in ("customer", "part", "documents"):
+        spark.read.parquet(f"{sf_dir}/{t}.parquet").write.parquet(f"{tmp_path}/{t}.parquet")
+    short = spark.read.parquet(f"{sf_dir}/documents.parquet").where("n_chars <= 500").first().doc_id
+    spark.createDataFrame([(short, 1, 0), (-7, 1, 0), (-8, 0, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, -1), (2, None)], "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    got = {r.reason: (r.n, r.example) for r in catalog.integrity_of_all(spark, str(tmp_path)).collect()}
+    assert got["label without document"] == (2, "-7") and got["order without customer"] == (1, "1")
+    assert "label without document" not in {r.reason for r in catalog.integrity_of_all(spark, sf_dir).collect()}
