@@ -155,13 +155,25 @@ def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, words: int, pe
     return pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(check, "a binary, b binary")
 
 
-def jaccard_components(documents: DataFrame, words: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _all_candidates(postings: DataFrame, classes: DataFrame, percent: int, salts: int = 16) -> DataFrame:
+    """(a, b): all pairs of classes, a < b, that share a prefix shingle or a group; each list is dealt over ``salts`` tasks."""
+    salt = F.pmod(F.xxhash64("cid"), F.lit(salts)).cast("int").alias("salt")
+    every = F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt")
+    lists = stored(postings.select("token", "g", "n", "pos").join(classes.select("g", "cid"), "g").select("token", "cid", "n", "pos"), "lists")
+    x, y = lists.select("*", salt).alias("x"), lists.select("*", every).alias("y")
+    shared = x.join(y, F.expr("x.token = y.token and x.salt = y.salt and x.cid < y.cid and " + _may_link("x", "y", percent))).select(F.col("x.cid").alias("a"), F.col("y.cid").alias("b"))
+    u, v = classes.select("g", "cid", salt).alias("u"), classes.select("g", "cid", every).alias("v")
+    within = u.join(v, F.expr("u.g = v.g and u.salt = v.salt and u.cid < v.cid")).select(F.col("u.cid").alias("a"), F.col("v.cid").alias("b"))
+    return shared.union(within).distinct()
+
+
+def jaccard_components(documents: DataFrame, words: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text", exact_links: bool = False) -> DataFrame:
     """One row per input row: doc_id, key (xxhash64 of the text), n_shingles, component_id, class_id (hex
     digest of the shingle set), n_links.
 
     component_id is the smallest doc_id reachable by links; n_links counts the verified links of the document's
-    class with other classes (links inside a component that were not needed to find it are not verified, so it
-    is a lower bound).  Null or wordless texts have an empty set and link with nothing.  Rows that repeat a
+    class with other classes.  With exact_links it counts all links there are; without, links inside a component
+    that were not needed to find it are not verified, so it is a lower bound.  Null or wordless texts have an empty set and link with nothing.  Rows that repeat a
     doc_id each get a row.  A null doc_id is kept and never is a component's id unless all its ids are null.
     An empty table gives no rows; other columns are ignored.
     """
@@ -203,6 +215,9 @@ def jaccard_components(documents: DataFrame, words: int = 3, percent: int = 90,
     more = stored(_verified(rest, classes, docs, words, percent), "links")
     links = links.union(more)
     label = components(links)
+    if exact_links:
+        inner = stored(_all_candidates(postings, classes, percent).join(pairs.union(rest), ["a", "b"], "left_anti"), "inner")
+        links = links.union(stored(_verified(inner, classes, docs, words, percent), "links"))
     degree = links.select(F.col("a").alias("cid")).union(links.select("b")).groupBy("cid").agg(F.count("*").alias("n_links"))
     known = classes.select("cid", "first_id").join(label.withColumnRenamed("node", "cid"), "cid", "left").select("cid", "first_id", F.coalesce("label", "cid").alias("label"))
     least = known.groupBy("label").agg(F.min("first_id").alias("component_id"))

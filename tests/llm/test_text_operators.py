@@ -85,6 +85,20 @@ def test_jaccard_components_like_all_pairs(spark, odd_documents, words, percent)
     assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()) == brute_components(rows, words, percent)
 
 
+def test_exact_links_like_all_pairs(spark):
+    word = [f"w{i}" for i in range(60)]
+    copies = [(i, " ".join(word[:i] + ["new"] + word[i:])) for i in range(0, 60, 3)] + [(90 + i, " ".join(word[i:])) for i in range(4)] + [(99, " ".join(word))]
+    rows = copies + near_copies(30) + [(500, None), (501, "one")]
+    sets = {i: frozenset(jaccard_join.shingle_hashes(t or "", 3).tolist()) for i, t in enumerate(t for _, t in rows)}
+    classes = set(sets.values()) - {frozenset()}
+    links = {s: sum(1 for q in classes if q != s and 100 * len(s & q) >= 90 * len(s | q)) for s in classes}
+    want = Counter((rows[i][0], links.get(s, 0)) for i, s in sets.items())
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    assert Counter((r.doc_id, r.n_links) for r in jaccard_join.jaccard_components(df, exact_links=True).collect()) == want
+    short = sum(r.n_links for r in jaccard_join.jaccard_components(df).collect())
+    assert short < sum(n * k for (_, n), k in want.items()), short
+
+
 def test_jaccard_components_of_nothing(no_documents):
     assert jaccard_join.jaccard_components(no_documents).count() == 0
 
