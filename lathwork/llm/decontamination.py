@@ -1,6 +1,7 @@
 """Benchmark decontamination by greedy string tiling.
 
-Seeds, the hashes of every ``min_match`` consecutive words of a benchmark item, are joined with the documents' own;
+Seeds, the hashes of every ``min_match`` consecutive words of a benchmark item (of all words of a shorter one), are
+joined with the documents' own;
 for each document and item that share one, greedy string tiling finds passages in any order: repeatedly the
 longest match of at least ``min_match`` words that overlaps no earlier one is marked, candidates found by
 running Karp-Rabin hashes.  The share of an item's words that end up marked is its coverage.
@@ -76,19 +77,27 @@ def tiles(item: np.ndarray, doc: np.ndarray, min_match: int) -> list[tuple[int,
     return found
 
 
-def _seed_table(benchmark: DataFrame, min_match: int) -> DataFrame:
-    """(item_id, item, seed): item is the words' hashes; items shorter than min_match have none."""
+def _seeds(h: np.ndarray, sizes: list[int]) -> np.ndarray:
+    """Distinct running hashes of each of these numbers of words."""
+    return np.unique(np.concatenate([np.zeros(0, np.uint64), *(running(h, k) for k in sizes)])).view(np.int64)
+
+
+def _seed_table(items: DataFrame, min_match: int) -> DataFrame:
+    """(item_key, k, seed): every k consecutive words of an item; k is min_match, or the words of a shorter item."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
-            ids, flat = [], []
-            for item_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                seeds = np.unique(running(word_hashes(text), min_match)).view(np.int64)
-                ids += [item_id] * len(seeds)
+            keys, sizes, flat = [], [], []
+            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                h = word_hashes(text)
+                k = min(min_match, len(h))
+                seeds = _seeds(h, [k] if k else [])
+                keys += [key] * len(seeds)
+                sizes += [k] * len(seeds)
                 flat.append(seeds)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(np.concatenate(flat) if flat else np.zeros(0, np.int64))], names=["item_id", "seed"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(sizes, pa.int32()), pa.array(np.concatenate(flat) if flat else np.zeros(0, np.int64))], names=["item_key", "k", "seed"])
 
-    return benchmark.mapInArrow(each, "item_id long, seed long")
+    return items.select("item_key", "text").mapInArrow(each, "item_key long, k int, seed long").distinct()
 
 
 def contaminated(
@@ -105,26 +114,27 @@ def contaminated(
     """One row per document and item whose coverage is reached: doc_id, key, item_id, coverage, n_tiles, longest.
 
     key is xxhash64 of the text, so that rows that repeat a doc_id with another text are told apart; equal rows
-    give one result row.  Null texts are empty and match nothing; items shorter than min_match words can't be
-    found; a null doc_id is kept; empty tables give no rows; other columns are ignored.
+    give one result row.  Null texts are empty and match nothing; an item shorter than min_match words is
+    found where all its words stand in a row; a null item_id is kept, as items are told apart by their text; a null doc_id is kept; empty tables give no rows; other columns are ignored.
     """
     docs = text_rows(documents, id_col, text_col)
-    items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.coalesce(F.col(item_text_col), F.lit("")).alias("text"))
+    items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.coalesce(F.col(item_text_col), F.lit("")).alias("text")).withColumn("item_key", F.xxhash64("text"))
     seeds = stored(_seed_table(items, min_match), "seeds")
     n_seeds = seeds.count()
+    sizes = sorted(r["k"] for r in seeds.select("k").distinct().collect())  # one, or a few if there are short items
     if n_seeds <= broadcast_seeds:
-        candidates = _by_broadcast(docs, seeds, min_match)
+        candidates = _by_broadcast(docs, seeds, sizes)
     else:
-        candidates = _by_shuffle(docs, seeds, min_match)
-    # only pairs whose shared seeds could cover enough; item texts join by id
-    pairs = candidates.join(items.select("item_id", F.col("text").alias("item")), "item_id")
+        candidates = _by_shuffle(docs, seeds, sizes)
+    # only pairs whose shared seeds could cover enough; items join by a key of their text
+    pairs = candidates.join(items.select("item_key", "item_id", F.col("text").alias("item")).distinct(), "item_key")
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
             out = []
             for doc_id, key, text, item_id, item in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 a = word_hashes(item)
-                found = tiles(a, word_hashes(text), min_match)
+                found = tiles(a, word_hashes(text), min(min_match, len(a)))
                 covered = sum(n for _, _, n in found)
                 if len(a) and covered >= coverage * len(a):
                     out.append({"doc_id": doc_id, "key": key, "item_id": item_id, "coverage": covered / len(a), "n_tiles": len(found), "longest": found[0][2]})
@@ -133,43 +143,43 @@ def contaminated(
     return pairs.select("doc_id", "key", "text", "item_id", "item").mapInArrow(each, "doc_id long, key long, item_id long, coverage double, n_tiles int, longest int").distinct()
 
 
-def _by_broadcast(docs: DataFrame, seeds: DataFrame, min_match: int) -> DataFrame:
+def _by_broadcast(docs: DataFrame, seeds: DataFrame, sizes: list[int]) -> DataFrame:
     """Documents with the items they share a seed with; the seeds, at most broadcast_seeds, go to every task."""
     table = seeds.orderBy("seed").toPandas()
-    known = docs.sparkSession.sparkContext.broadcast((table["seed"].to_numpy(np.int64), table["item_id"].to_numpy(np.int64)))
+    known = docs.sparkSession.sparkContext.broadcast((table["seed"].to_numpy(np.int64), table["item_key"].to_numpy(np.int64)))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seed, item = known.value
         for batch in sliced(batches):
             rows, items = [], []
             for r, text in enumerate(batch.column(2).to_pylist()):
-                h = running(word_hashes(text), min_match).view(np.int64)
+                h = _seeds(word_hashes(text), sizes)
                 at = np.minimum(np.searchsorted(seed, h), max(0, len(seed) - 1))
-                hit = np.unique(h[seed[at] == h]) if len(seed) and len(h) else h[:0]
+                hit = h[seed[at] == h] if len(seed) and len(h) else h[:0]
                 if len(hit):
                     lo, hi = np.searchsorted(seed, hit, "left"), np.searchsorted(seed, hit, "right")
                     found = np.unique(np.concatenate([item[a:b] for a, b in zip(lo, hi, strict=True)]))
                     rows += [r] * len(found)
                     items += found.tolist()
             took = [c.take(pa.array(rows, pa.int64())) for c in batch.columns]
-            yield pa.RecordBatch.from_arrays([*took, pa.array(items, pa.int64())], names=["doc_id", "key", "text", "item_id"])
+            yield pa.RecordBatch.from_arrays([*took, pa.array(items, pa.int64())], names=["doc_id", "key", "text", "item_key"])
 
-    return docs.select("doc_id", F.xxhash64("text").alias("key"), "text").mapInArrow(each, "doc_id long, key long, text string, item_id long")
+    return docs.select("doc_id", F.xxhash64("text").alias("key"), "text").mapInArrow(each, "doc_id long, key long, text string, item_key long")
 
 
-def _by_shuffle(docs: DataFrame, seeds: DataFrame, min_match: int) -> DataFrame:
+def _by_shuffle(docs: DataFrame, seeds: DataFrame, sizes: list[int]) -> DataFrame:
     """The same through a shuffle of the documents' distinct seeds, for benchmarks too large to broadcast."""
 
     def each(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            own = [np.unique(running(word_hashes(t), min_match)).view(np.int64) for t in f["text"]]
+            own = [_seeds(word_hashes(t), sizes) for t in f["text"]]
             n = [len(x) for x in own]
             yield pd.DataFrame({"doc_id": f["doc_id"].repeat(n).array, "key": f["key"].repeat(n).array, "seed": np.concatenate(own) if own else np.zeros(0, np.int64)})
 
     keyed = docs.select("doc_id", F.xxhash64("text").alias("key"), "text")
-    found = keyed.mapInPandas(each, "doc_id long, key long, seed long").join(seeds, "seed").select("doc_id", "key", "item_id").distinct()
+    found = keyed.mapInPandas(each, "doc_id long, key long, seed long").join(seeds, "seed").select("doc_id", "key", "item_key").distinct()
     d, f = keyed.alias("d"), found.alias("f")
-    return d.join(f, F.expr("d.key = f.key and d.doc_id <=> f.doc_id")).select("d.doc_id", "d.key", "d.text", "f.item_id")
+    return d.join(f, F.expr("d.key = f.key and d.doc_id <=> f.doc_id")).select("d.doc_id", "d.key", "d.text", "f.item_key")
 
 
 def remove_contaminated(documents: DataFrame, benchmark: DataFrame, **options) -> DataFrame:

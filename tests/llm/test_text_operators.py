@@ -301,6 +301,15 @@ def test_decontamination(spark, sf_dir, documents, odd_documents, no_documents):
     assert {r.doc_id for r in left.collect()} == {r.doc_id for r in df.collect()} - {d for d, _ in want}
 
 
+def test_short_items_and_items_without_an_id(spark):
+    bench = spark.createDataFrame([(1, "Quite short item"), (None, "an item of six words here"), (3, ""), (4, None), (5, "an item of six words here")], "item_id long, text string")
+    df = spark.createDataFrame([(1, "so a quite short item it is"), (2, "quite short, no item"), (3, "see an item of six words here too"), (4, None)], "doc_id long, text string")
+    for most in (1000, 0):
+        got = {(r.doc_id, r.item_id, r.coverage) for r in decontamination.contaminated(df, bench, broadcast_seeds=most).collect()}
+        assert got == {(1, 1, 1.0), (3, None, 1.0), (3, 5, 1.0)}
+        assert {r.doc_id for r in decontamination.remove_contaminated(df, bench, broadcast_seeds=most).collect()} == {2, 4}
+
+
 def test_toxicity_on_held_out_rows(spark, odd_documents, no_documents):
     d = "/root/testdata/sf0.1"
     labels = spark.read.parquet(f"{d}/labels.parquet")
