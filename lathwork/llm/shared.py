@@ -2,20 +2,26 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 LOCAL_FALLBACK = "/tmp/checkpoints/lathwork"
+BATCH_ROWS = 1024
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; where the session has none (tests), a local one that is then set."""
+    """The folder in ``spark.checkpoint.dir``.  Where a session of one machine has none (tests), a local one is set;
+    on a cluster, where a local folder is not shared, that is an error."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = LOCAL_FALLBACK
         spark.conf.set("spark.checkpoint.dir", found)
         spark.sparkContext.setCheckpointDir(found)
@@ -30,14 +36,36 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """Writes ``df`` as Parquet in the shared folder and reads it back: lineage ends there and survives lost executors."""
     path = new_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.parquet(path)
+    out = df.sparkSession.read.parquet(path)
+    out.stored_at = path
+    return out
+
+
+def removed(*tables: DataFrame) -> None:
+    """Deletes stored tables from which nothing will be read any more."""
+    for t in tables:
+        jvm, path = t.sparkSession._jvm, t.stored_at
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Texts go to Python a few MB at a time, whatever their length, unless the session asks for still fewer rows."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) in (0, 10_000):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
 def text_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only (doc_id, text), with a null text as the empty one; other columns, whatever their names, stay out of the way."""
+    small_batches(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
+def text_keys(text: Column) -> tuple[Column, Column]:
+    """Two 64-bit hashes, key and check, by which a text is found again; together 128 bits."""
+    return F.xxhash64(text).alias("key"), F.xxhash64(F.lit("check"), text).alias("check")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -59,7 +87,17 @@ def sliced(batches: Iterator[pa.RecordBatch], rows: int = 512, keep: str = "") -
     for name, drop in KEPT.items():
         if name != keep:
             drop()
+    give_back()
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
+    give_back()
+
+
+def give_back() -> None:
+    """Freed memory goes back to the machine: Arrow's pool and, with glibc, the C heap keep it otherwise."""
     pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass

@@ -1,16 +1,17 @@
-"""Token ids of whole texts by a public byte-level BPE file and the tokenizers library, with a memo of words.
+"""Token ids of whole texts by a public byte-level BPE file and the tokenizers library, with a memo of pieces.
 
 A byte-level BPE file cuts a text before its merges.  A single space between two characters that are not white
-space always starts a new piece, so does a stop or comma after a letter, and a single line feed is a piece.  So a text
-may be cut there, each piece encoded once by the library and kept in a bounded memo.  Texts in which a space touches
-other white space go to the library whole.  tests/llm holds the
-result against the library's own on whole texts.  Strings of special tokens inside a text are ordinary text.
+space always starts a new piece, so does ASCII punctuation after a letter (but for the apostrophe), and a single line
+feed is a piece.  So a text may be cut there, each piece encoded once by the library and kept in a bounded memo.
+Texts in which a space touches other white space, and those that hold a string of a special token, go to the library
+whole and get what its defaults give.  tests/llm holds the result against the library's own on whole texts.
 """
 
 from __future__ import annotations
 
 import os
 import re
+from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -20,11 +21,14 @@ from .shared import KEPT
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-MEMO_ENTRIES = 400_000
+YOUNG_ENTRIES = 150_000
 SLICE_CHARS = 1_000_000
+_ODD_SPACE = re.compile(r"[^\S \n]")
 _TOUCHING = re.compile(r" \s|\s ")
 _DOUBLE = re.compile(r"\s\s")
-_NOT_AFTER_LETTER = re.compile(r"[^A-Za-zÀ-ÖØ-öø-ÿ][.,]")
+_LATIN = "A-Za-zÀ-ÖØ-öø-ÿ"
+_AFTER_LETTER = re.compile(rf"[!-&(-/:-@\[-`{{-~](?<=[{_LATIN}].)")
+_LATIN_WORD = re.compile(f" ?[{_LATIN}]+").fullmatch
 
 
 def default_vocabulary() -> str:
@@ -33,6 +37,39 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def _byte_level() -> dict[int, str]:
+    """How the space and Latin letters are spelled inside a byte-level vocabulary, as the library says."""
+    from tokenizers import pre_tokenizers
+
+    spell = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+    return {c: spell(chr(c))[0][0] for c in (32, *range(0xC0, 0x100))}
+
+
+class Memo:
+    """Pieces to their bytes, in two generations: what was not asked for since the last change of them is let go."""
+
+    def __init__(self) -> None:
+        self.young: dict[str, object] = {}
+        self.old: dict[str, object] = {}
+
+    def find(self, pieces: list[str]) -> tuple[list, list[int]]:
+        """What is known of each piece, and the places of those that are not."""
+        got = list(map(self.young.get, pieces))
+        if None not in got:
+            return got, []
+        unknown, old = [], self.old
+        for i in [i for i, x in enumerate(got) if x is None]:
+            if (x := old.get(pieces[i])) is None:
+                unknown.append(i)
+            else:
+                got[i] = self.young[pieces[i]] = x
+        return got, unknown
+
+    def tidy(self) -> None:
+        if len(self.young) > YOUNG_ENTRIES:
+            self.old, self.young = self.young, {}
+
+
 class Encoder:
     """Ids as little-endian uint16 (the vocabulary has under 65,536 entries), and how many characters each adds."""
 
@@ -40,71 +77,79 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         if self.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("the vocabulary has more than 65,536 entries")
-        self.ids: dict[str, bytes] = {}
-        self.ends: dict[str, bytes] = {}
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.said = _byte_level()
+        self.ids, self.spans = Memo(), Memo()
 
     def pieces(self, text: str) -> list[str]:
+        """The text cut where the vocabulary always cuts; a list of one piece is the whole text."""
         if not text:
             return []
-        if "\x01" in text or _TOUCHING.search(text):
+        if "\x01" in text or "  " in text or " \n" in text or "\n " in text or any(s in text for s in self.special):
             return [text]
-        if not _DOUBLE.search(text):
+        double = "\n\n" in text
+        if _ODD_SPACE.search(text):
+            if _TOUCHING.search(text):
+                return [text]
+            double = double or _DOUBLE.search(text)
+        if not double:
             text = text.replace("\n", "\x01\n\x01")
-        if not _NOT_AFTER_LETTER.search(text):
-            text = text.replace(".", "\x01.").replace(",", "\x01,")
-        return [x for x in text.replace(" ", "\x01 ").split("\x01") if x]
-
-    def _learn(self, lists: list[list[str]], offsets: bool) -> tuple[dict, dict]:
-        """Fills the memo; single whole texts are encoded for now only."""
-        once: dict[str, bytes] = {}
-        once_ends: dict[str, bytes] = {}
-        if len(self.ids) > MEMO_ENTRIES:
-            self.ids.clear()
-            self.ends.clear()
-        known = self.ends if offsets else self.ids
-        new = set().union(*(p for p in lists if len(p) > 1)).difference(known)
-        whole = {p[0] for p in lists if len(p) == 1 and p[0] not in known}
-        encode = self.tokenizer.encode_batch if offsets else self.tokenizer.encode_batch_fast
-        for group, ids, ends in ((new, self.ids, self.ends), (whole, once, once_ends)):
-            group = list(group)
-            for i in range(0, len(group), 4096):
-                part = group[i : i + 4096]
-                for x, e in zip(part, encode(part, add_special_tokens=False), strict=True):
-                    ids[x] = np.array(e.ids, "<u2").tobytes()
-                    if offsets:
-                        ends[x] = np.array(e.offsets, "<u4").reshape(-1, 2).tobytes()
-        return once, once_ends
+        text = _AFTER_LETTER.sub("\x01\\g<0>", text)
+        return text.replace(" ", "\x01 ").split("\x01")
+
+    def _learn(self, new: list[str]) -> dict[str, bytes]:
+        """Ids of pieces that are new.  Latin words, one piece for the vocabulary too, go to the library's BPE model at once."""
+        out: dict[str, bytes] = {"": b""}
+        rest, merge, said = [], self.tokenizer.model.tokenize, self.said
+        for x in new:
+            if _LATIN_WORD(x):
+                out[x] = array("H", [t.id for t in merge(x.translate(said))]).tobytes()
+            elif x:
+                rest.append(x)
+        for i in range(0, len(rest), 4096):
+            part = rest[i : i + 4096]
+            for x, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
+                out[x] = array("H", e.ids).tobytes()
+        return out
+
+    def _learn_spans(self, new: list[str]) -> dict[str, tuple[bytes, bytes]]:
+        """Ids and each token's first and one-past-last character."""
+        out = {"": (b"", b"")}
+        for i in range(0, len(new), 4096):
+            part = new[i : i + 4096]
+            for x, e in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False), strict=True):
+                out[x] = np.array(e.ids, "<u2").tobytes(), np.array(e.offsets, "<u4").reshape(-1, 2).tobytes()
+        return out
+
+    def _found(self, texts: Iterable[str], memo: Memo, learn) -> Iterator[tuple[list[str], list]]:
+        """Pieces of each text and what is kept of each; single whole texts are not kept."""
+        for lists in self._slices(texts):
+            found = [memo.find(p) for p in lists]
+            new = list({p[i] for p, (_, unknown) in zip(lists, found, strict=True) for i in unknown})
+            learnt = learn(new)
+            for p, (got, unknown) in zip(lists, found, strict=True):
+                for i in unknown:
+                    got[i] = learnt[p[i]]
+                if len(p) > 1:
+                    memo.young.update((p[i], got[i]) for i in unknown)
+                yield p, got
+            memo.tidy()
 
     def encode(self, texts: Iterable[str]) -> Iterator[np.ndarray]:
-        for lists in self._slices(texts):
-            once, _ = self._learn(lists, False)
-            memo = self.ids
-            for p in lists:
-                if len(p) == 1:
-                    yield np.frombuffer(once.get(p[0]) or memo[p[0]], "<u2")
-                else:
-                    yield np.frombuffer(b"".join(map(memo.__getitem__, p)), "<u2")
+        for _, got in self._found(texts, self.ids, self._learn):
+            yield np.frombuffer(b"".join(got), "<u2")
 
     def encode_with_spans(self, texts: Iterable[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """Ids, and each token's first and one-past-last character in the whole text (code points)."""
-        for lists in self._slices(texts):
-            once, once_ends = self._learn(lists, True)
-            for p in lists:
-                if len(p) == 1:
-                    ids, spans = once.get(p[0]) or self.ids[p[0]], once_ends.get(p[0]) or self.ends[p[0]]
-                    s = np.frombuffer(spans, "<u4").reshape(-1, 2).astype(np.int64)
-                    yield np.frombuffer(ids, "<u2"), s[:, 0], s[:, 1]
-                    continue
-                ids = b"".join(map(self.ids.__getitem__, p))
-                spans = [self.ends[x] for x in p]
-                s = np.frombuffer(b"".join(spans), "<u4").reshape(-1, 2).astype(np.int64)
-                chars = np.fromiter(map(len, p), np.int64, len(p))
-                tokens = np.fromiter(map(len, spans), np.int64, len(p)) >> 3
-                s += np.repeat(np.cumsum(chars) - chars, tokens)[:, None]
-                yield np.frombuffer(ids, "<u2"), s[:, 0], s[:, 1]
+        for p, got in self._found(texts, self.spans, self._learn_spans):
+            spans = [x for _, x in got]
+            s = np.frombuffer(b"".join(spans), "<u4").reshape(-1, 2).astype(np.int64)
+            chars = np.fromiter(map(len, p), np.int64, len(p))
+            tokens = np.fromiter(map(len, spans), np.int64, len(p)) >> 3
+            s += np.repeat(np.cumsum(chars) - chars, tokens)[:, None]
+            yield np.frombuffer(b"".join([x for x, _ in got]), "<u2"), s[:, 0], s[:, 1]
 
     def _slices(self, texts: Iterable[str]) -> Iterator[list[list[str]]]:
         held, size = [], 0

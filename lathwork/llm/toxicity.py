@@ -5,7 +5,11 @@ inflected forms meet, and for beginnings that two, or four, of its words share o
 2**19 places.  The machine adds a weight for each term and, for each pair of terms,
 the inner product of their factors: what an insult and a group mention say together, neither says alone.
 
-    y = bias + sum of w_i + ((sum of v_i)^2 - sum of v_i^2) / (2 n),   score = 1 / (1 + exp(-y)),   n = terms that the model knows
+    y = bias + sum of s_i w_i + ((sum of v_i)^2 - sum of v_i^2) / (2 n),   score = 1 / (1 + exp(-y)),   n = terms that the model knows
+
+The model knows every term that enough rows hold, whatever it says by itself, so that pairs of terms that are neutral
+one by one are learned.  Only a term's own weight is held back, by s_i, which goes from nought to one with the
+evidence that the term alone tells the labels apart.
 
 It is fitted by AdaGrad on at most ``max_train_rows`` labelled rows (those of smallest doc_id hash), in one task;
 scoring is one pass over all texts with 10 MB of weights broadcast.
@@ -22,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import KEPT, sliced, stored, text_rows
+from .shared import KEPT, sliced, stored, text_keys, text_rows
 
 BITS, FACTORS, MEMO = 19, 4, 150_000
 BEGINNINGS, OFTEN = range(3, 8), (2, 4)
@@ -52,8 +56,8 @@ def term_places(text: str) -> np.ndarray:
     return np.unique(np.concatenate((places, *often)))
 
 
-def informative(rows: list[np.ndarray], labels: np.ndarray, least_rows: int, least_z: float) -> np.ndarray:
-    """Terms whose share among rows of label 1 differs from that among the others by ``least_z`` standard errors."""
+def term_statistics(rows: list[np.ndarray], labels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """By term, the rows that hold it, and how many standard errors its shares under the two labels lie apart."""
     size, ones = 1 << BITS, max(1.0, float(labels.sum()))
     noughts = max(1.0, len(labels) - ones)
     seen, with_one = np.zeros(size), np.zeros(size)
@@ -63,15 +67,16 @@ def informative(rows: list[np.ndarray], labels: np.ndarray, least_rows: int, lea
         seen += np.bincount(flat, minlength=size)
         with_one += np.bincount(flat, weights=marks, minlength=size)
     p = np.clip(seen / (ones + noughts), 1e-9, 1 - 1e-9)
-    z = (with_one / ones - (seen - with_one) / noughts) / np.sqrt(p * (1 - p) * (1 / ones + 1 / noughts))
-    return (seen >= least_rows) & (np.abs(z) >= least_z)
+    return seen, (with_one / ones - (seen - with_one) / noughts) / np.sqrt(p * (1 - p) * (1 / ones + 1 / noughts))
 
 
-def train(rows: list[np.ndarray], labels: np.ndarray, epochs: int = 15, rate: float = 0.3, least_rows: int = 3, least_z: float = 3.0, seed: int = 11) -> tuple[float, np.ndarray, np.ndarray]:
-    """Bias, weights and factors; terms that tell nothing about the label stay at nought."""
+def train(rows: list[np.ndarray], labels: np.ndarray, epochs: int = 10, rate: float = 0.3, pair_rate: float = 0.1, least_rows: int = 3, half_z: float = 3.0, seed: int = 11) -> tuple[float, np.ndarray, np.ndarray]:
+    """Bias, weights and factors.  Terms in fewer than ``least_rows`` rows stay at nought; all others take part in pairs.
+    A term's own weight counts by z^4 / (z^4 + half_z^4), z its standard errors from telling nothing."""
     rng = np.random.default_rng(seed)
     size = 1 << BITS
-    known = informative(rows, labels, least_rows, least_z)
+    seen, z = term_statistics(rows, labels)
+    known, own = seen >= least_rows, z**4 / (z**4 + half_z**4)
     rows = [r[known[r]] for r in rows]
     w, v = np.zeros(size), rng.normal(0, 0.01, (size, FACTORS)) * known[:, None]
     gw, gv, bias, gb = np.full(size, 1e-2), np.full((size, FACTORS), 1e-2), 0.0, 1e-2
@@ -81,26 +86,26 @@ def train(rows: list[np.ndarray], labels: np.ndarray, epochs: int = 15, rate: fl
         for i in rng.permutation(len(rows)):
             at = rows[i]
             n = max(1, len(at))
-            vs = v[at]
+            vs, share = v[at], own[at]
             total = vs.sum(axis=0)
-            y = bias + w[at].sum() + (total @ total - (vs * vs).sum()) / (2 * n)
+            y = bias + w[at] @ share + (total @ total - (vs * vs).sum()) / (2 * n)
             err = 1 / (1 + np.exp(-np.clip(y, -30, 30))) - labels[i]
             if abs(err) < 1e-3:
                 continue
             gb += err * err
             bias -= rate * err / np.sqrt(gb)
-            g = err + 1e-5 * w[at]
+            g = err * share + 3e-3 * w[at]
             gw[at] += g * g
             w[at] -= rate * g / np.sqrt(gw[at])
-            g = err * (total - vs) / n + 1e-5 * vs
+            g = err * (total - vs) / n + 1e-2 * vs
             gv[at] += g * g
-            v[at] -= rate * g / np.sqrt(gv[at])
-    return bias, w.astype(np.float32), v.astype(np.float32)
+            v[at] -= pair_rate * g / np.sqrt(gv[at])
+    return bias, (w * own).astype(np.float32), v.astype(np.float32)
 
 
 def fit(documents: DataFrame, labels: DataFrame, max_train_rows: int = 16_000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> tuple[float, np.ndarray, np.ndarray]:
-    """The model from labelled rows with crc32(doc_id) mod 5 not 0.  Labels that are null or differ on one doc_id: the
-    largest counts.  Without labelled rows the model says 0.5 for all."""
+    """The model from labelled rows with crc32(doc_id) mod 5 not 0.  Of labels that differ on one doc_id the largest
+    counts, of rows that repeat one the text of smallest hash.  Without labelled rows the model says 0.5 for all."""
     marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("y")).where("y is not null and doc_id is not null and crc32(cast(cast(doc_id as string) as binary)) % 5 <> 0")
     marks = marks.groupBy("doc_id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train_rows)
     few = F.broadcast(stored(marks, "labels"))  # at most max_train_rows rows of two numbers
@@ -112,7 +117,8 @@ def fit(documents: DataFrame, labels: DataFrame, max_train_rows: int = 16_000, i
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found) if found else np.zeros(0, np.int32)))
             yield pa.RecordBatch.from_arrays([batch.column(0), lists, batch.column(2)], names=["doc_id", "places", "y"])
 
-    rows = stored(text_rows(documents, id_col, text_col).join(few, "doc_id").select("doc_id", "text", "y").mapInArrow(places, "doc_id long, places array<int>, y int"), "training")
+    one = text_rows(documents, id_col, text_col).join(few, "doc_id").groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.max("y").alias("y"))
+    rows = stored(one.mapInArrow(places, "doc_id long, places array<int>, y int"), "training")
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = []
@@ -131,7 +137,7 @@ def fit(documents: DataFrame, labels: DataFrame, max_train_rows: int = 16_000, i
 
 
 def score(documents: DataFrame, model: tuple[float, np.ndarray, np.ndarray], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: doc_id, key (xxhash64 of the text), score, predicted."""
+    """One row per input row: doc_id, key and check (two hashes of the text), score, predicted."""
     known = documents.sparkSession.sparkContext.broadcast(model)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -139,15 +145,15 @@ def score(documents: DataFrame, model: tuple[float, np.ndarray, np.ndarray], id_
         squares = (v * v).sum(axis=1)
         for batch in sliced(batches, keep="terms"):
             out = []
-            for text in batch.column(2).to_pylist():
+            for text in batch.column(3).to_pylist():
                 at = term_places(text)
                 total = v.take(at, axis=0).sum(axis=0, dtype=np.float64)
                 y = bias + w[at].sum(dtype=np.float64) + (total @ total - squares[at].sum(dtype=np.float64)) / (2 * max(1, np.count_nonzero(squares[at])))
                 out.append(1 / (1 + np.exp(-np.clip(y, -500, 500))))
             s = np.array(out, np.float64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(s), pa.array((s >= 0.5).astype(np.int32))], names=["doc_id", "key", "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(s), pa.array((s >= 0.5).astype(np.int32))], names=["doc_id", "key", "check", "score", "predicted"])
 
-    return text_rows(documents, id_col, text_col).select("doc_id", F.xxhash64("text").alias("key"), "text").mapInArrow(each, "doc_id long, key long, score double, predicted int")
+    return text_rows(documents, id_col, text_col).select("doc_id", *text_keys(F.col("text")), "text").mapInArrow(each, "doc_id long, key long, check long, score double, predicted int")
 
 
 def toxicity(documents: DataFrame, labels: DataFrame, max_train_rows: int = 16_000) -> DataFrame:
@@ -164,5 +170,7 @@ def toxicity(documents: DataFrame, labels: DataFrame, max_train_rows: int = 16_0
 def remove_toxic(documents: DataFrame, labels: DataFrame, max_train_rows: int = 16_000, threshold: float = 0.5) -> DataFrame:
     """The documents whose score stays under the threshold; all columns stay.  Rejected texts are few and narrow: the
     anti-join moves their keys, not the texts, while they are small enough to broadcast."""
-    bad = stored(score(documents, fit(documents, labels, max_train_rows)).where(F.col("score") >= threshold).select(F.col("key").alias("_bad_key")).distinct(), "toxic")
-    return documents.join(bad, F.xxhash64(F.coalesce(documents["text"], F.lit(""))) == bad["_bad_key"], "left_anti")
+    bad = score(documents, fit(documents, labels, max_train_rows)).where(F.col("score") >= threshold)
+    bad = stored(bad.select(F.col("key").alias("_bad_key"), F.col("check").alias("_bad_check")).distinct(), "toxic")
+    key, check = text_keys(F.coalesce(documents["text"], F.lit("")))
+    return documents.join(bad, (key == bad["_bad_key"]) & (check == bad["_bad_check"]), "left_anti")

@@ -15,9 +15,7 @@ from lathwork.llm import components, decontamination, id_codec, jaccard_join, pa
 def plain_tokenizer():
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(tokens.default_vocabulary())
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(tokens.default_vocabulary())
 
 
 AWKWARD = ["", " ", "  ", "a", " a", "a ", "a  b", "a\n b", "a \nb", "a\n\nb", "Don't stop. 12,5 %", "\ta b c d", "x  y", "<|endoftext|> z", "é́ ñ 東京 🙂🙂 ok", "a\x1c b", "!!! ??? a.b,c;d", "\x01 a \x01"]
@@ -342,3 +340,34 @@ def test_factorization_learns_pairs():
         return bias + w[at].sum() + (total @ total - (v[at] ** 2).sum()) / (2 * n)
 
     assert score("slur group") > 0 > max(score("slur"), score("group"))
+
+
+def double_loop(model, places):
+    """A score with every pair of known terms written out."""
+    bias, w, v = model
+    known = [p for p in places.tolist() if (v[p] ** 2).sum() > 0]
+    pairs = sum(float(v[a].astype(float) @ v[b].astype(float)) for i, a in enumerate(known) for b in known[:i])
+    return 1 / (1 + np.exp(-(bias + sum(float(w[p]) for p in places.tolist()) + pairs / max(1, len(known)))))
+
+
+def test_factorization_learns_pairs_of_neutral_terms(spark):
+    """Two words that tell nothing alone: the label is that just one of them is there.  Scores are held to a double loop."""
+    rng = np.random.default_rng(3)
+    texts, labels = [], []
+    for _ in range(3000):
+        a, b = rng.random(2) < 0.5
+        texts.append(" ".join(["left"] * int(a) + ["right"] * int(b) + [f"n{i}" for i in rng.integers(0, 60, 8)]))
+        labels.append(float(a != b))
+    rows = [toxicity.term_places(t) for t in texts]
+    model = toxicity.train(rows[:2000], np.array(labels[:2000]))
+    df = spark.createDataFrame(list(enumerate(texts[2000:])), "doc_id long, text string")
+    got = {r.doc_id: r.score for r in toxicity.score(df, model).collect()}
+    want = {i: double_loop(model, r) for i, r in enumerate(rows[2000:])}
+    assert all(abs(got[i] - want[i]) < 1e-6 for i in want)
+    assert sum((got[i] >= 0.5) == (labels[2000 + i] == 1) for i in want) > 0.98 * len(want)
+
+
+def test_training_takes_one_row_for_each_id(spark):
+    df = spark.createDataFrame([(1, f"word{i} again and again", i % 2) for i in range(50)] + [(2, "some other words", 1)], "doc_id long, text string, toxic int")
+    model = toxicity.fit(df.select("doc_id", "text"), df.select("doc_id", "toxic"))
+    assert model[1].any() == False  # noqa: E712  two rows at most, so no term is in three
