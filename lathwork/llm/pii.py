@@ -1,11 +1,13 @@
 """Personal data: base patterns, and contextual extraction bootstrapped from what they find.
 
 Base kinds are email, ip, card and phone (regular expressions, checks, no retries).  Every base match is a seed entity.
-The words in front of it induce lexical patterns; Spark counts how often a pattern stands before an entity and how
-often it stands in the corpus at all, and scores the bipartite graph of patterns and instances in rounds: a pattern is
-as good as the instances it meets, weighed against all its occurrences; an instance is as good as its patterns.
-Patterns of high confidence then bring in identifiers that the base does not see (an address spelled with "(at)", a
-number without its plus sign or with a wrong check digit) where they stand in such a context.
+The words beside known entities (the last one and the last two in front, the first one behind) are lexical patterns.
+Loosely shaped strings (an address spelled with "(at)", a number without its plus sign or with a wrong check digit)
+are candidates.  Spark scores the bipartite graph of patterns and instances in rounds: a pattern is as good as the
+share of known entities of its kind among all seeds and candidates of any kind that stand there, taken at the lower
+end of its 95 % interval, so that few or mixed cases count for little; an instance is as good as its good patterns
+together.  Instances that are good enough are known from then on, wherever they stand, and induce patterns of their
+own in the next round; rounds end when none is new.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import sliced, small_enough, stored, text_rows
+from .shared import sliced, small_batches, small_enough, stored, text_keys, text_rows
 
 KINDS = ("email", "ip", "card", "phone")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -36,7 +38,7 @@ _LOOSE = {
     "phone": re.compile(r"(?<![\w.+-])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![\w-])"),
 }
 _WORD = re.compile(r"[^\W\d_]+")
-_BEFORE = 80  # characters looked at in front of an entity for its context words
+_BESIDE = 80  # characters looked at on either side of an entity for its context words
 
 
 def luhn(digits: str) -> bool:
@@ -90,12 +92,13 @@ def loose_spans(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str,
     return found
 
 
-def contexts(text: str, start: int) -> list[str]:
-    """Lexical patterns in front of a place: the last word, and the last two, lower-cased."""
-    words = _WORD.findall(text[max(0, start - _BEFORE) : start].lower())
-    if start > _BEFORE and words and text[start - _BEFORE - 1].isalpha():
+def contexts(text: str, start: int, end: int) -> list[str]:
+    """Lexical patterns beside a place, lower-cased: the last word in front, the last two, and the first word behind."""
+    words = _WORD.findall(text[max(0, start - _BESIDE) : start].lower())
+    if start > _BESIDE and words and text[start - _BESIDE - 1].isalpha():
         words = words[1:]  # it may have been cut
-    return [" ".join(words[-n:]) for n in (1, 2) if len(words) >= n]
+    behind = _WORD.search(text[end : end + _BESIDE].lower())
+    return ["<" + " ".join(words[-n:]) for n in (1, 2) if len(words) >= n] + ([">" + behind[0]] if behind else [])
 
 
 def joined(spans: list[tuple[str, int, int]]) -> str:
@@ -103,101 +106,76 @@ def joined(spans: list[tuple[str, int, int]]) -> str:
 
 
 _SPAN = "struct<kind:string,start:int,end:int,instance:long,patterns:array<string>>"
-SCHEMA = f"doc_id long, key long, n_email long, n_ip long, n_card long, n_phone long, base string, base_sha256 string, seeds array<{_SPAN}>, loose array<{_SPAN}>"
+SCHEMA = f"doc_id long, key long, check long, n_email long, n_ip long, n_card long, n_phone long, base string, base_sha256 string, seeds array<{_SPAN}>, loose array<{_SPAN}>"
 
 
 def extract(docs: DataFrame) -> DataFrame:
     """One pass: per document its base spans, their digest, and seeds and candidates with their contexts."""
     span = pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("instance", pa.int64()), ("patterns", pa.list_(pa.string()))])
     kinds = [f"n_{k}" for k in KINDS]
-    schema = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), *((k, pa.int64()) for k in kinds), ("base", pa.string()), ("base_sha256", pa.string()), ("seeds", pa.list_(span)), ("loose", pa.list_(span))])
+    schema = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("check", pa.int64()), *((k, pa.int64()) for k in kinds), ("base", pa.string()), ("base_sha256", pa.string()), ("seeds", pa.list_(span)), ("loose", pa.list_(span))])
 
     def rows(text: str, spans: list[tuple[str, int, int]]) -> list[dict]:
         name = lambda s: int.from_bytes(hashlib.blake2b(s.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
-        return [{"kind": k, "start": a, "end": b, "instance": name(text[a:b]), "patterns": contexts(text, a)} for k, a, b in spans]
+        return [{"kind": k, "start": a, "end": b, "instance": name(text[a:b]), "patterns": contexts(text, a, b)} for k, a, b in spans]
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
             out = []
-            for doc_id, key, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for doc_id, key, check, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 base = base_spans(text)
                 n = {f"n_{k}": sum(1 for s in base if s[0] == k) for k in KINDS}
                 said = joined(base)
-                out.append({"doc_id": doc_id, "key": key, **n, "base": said, "base_sha256": hashlib.sha256(said.encode()).hexdigest(), "seeds": rows(text, base), "loose": rows(text, loose_spans(text, base))})
+                out.append({"doc_id": doc_id, "key": key, "check": check, **n, "base": said, "base_sha256": hashlib.sha256(said.encode()).hexdigest(), "seeds": rows(text, base), "loose": rows(text, loose_spans(text, base))})
             yield pa.RecordBatch.from_pylist(out, schema=schema)
 
-    return docs.select("doc_id", F.xxhash64("text").alias("key"), "text").mapInArrow(each, SCHEMA)
+    return docs.select("doc_id", *text_keys(F.col("text")), "text").mapInArrow(each, SCHEMA)
 
 
-def pattern_counts(docs: DataFrame, patterns: DataFrame, most: int = 200_000) -> DataFrame:
-    """(pattern, occurrences) of the given patterns in all texts: what follows them may be anything.
+def lower_share(k: Column, n: Column, z: float = 1.96) -> Column:
+    """The lower end of the Wilson interval of the share k / n."""
+    p = F.least(k / n, F.lit(1.0))
+    return (p + z * z / (2 * n) - z * F.sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n)
 
-    Up to ``most`` patterns go to every task; beyond that the texts' words and pairs of words are counted and joined.
-    """
-    if small_enough(patterns, most):
-        known = patterns.sparkSession.sparkContext.broadcast(frozenset(r["pattern"] for r in patterns.toLocalIterator()))
-
-        def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            from collections import Counter
-
-            wanted, count = known.value, Counter()
-            firsts = {p.partition(" ")[0] for p in wanted}
-            for batch in sliced(batches):
-                for text in batch.column(0).to_pylist():
-                    words = _WORD.findall(text.lower())
-                    count.update(w for w in words if w in wanted)
-                    count.update(p for a, b in zip(words, words[1:]) if a in firsts and (p := f"{a} {b}") in wanted)
-            yield pa.RecordBatch.from_arrays([pa.array(list(count), pa.string()), pa.array(list(count.values()), pa.int64())], names=["pattern", "n"])
-
-        parts = docs.select("text").mapInArrow(each, "pattern string, n long") if known.value else docs.sparkSession.createDataFrame([], "pattern string, n long")
-    else:
-
-        def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            from collections import Counter
-
-            for batch in sliced(batches):
-                count: Counter = Counter()
-                for text in batch.column(0).to_pylist():
-                    w = _WORD.findall(text.lower())
-                    count.update(w)
-                    count.update(map(" ".join, zip(w, w[1:])))
-                yield pa.RecordBatch.from_arrays([pa.array(list(count), pa.string()), pa.array(list(count.values()), pa.int64())], names=["pattern", "n"])
 
-        parts = docs.select("text").mapInArrow(words, "pattern string, n long").join(patterns, "pattern", "left_semi")
-    return parts.groupBy("pattern").agg(F.sum("n").alias("occurrences"))
+def _few(df: DataFrame, rows: int = 200_000) -> DataFrame:
+    return F.broadcast(df) if small_enough(df, rows) else df
 
 
-def bootstrap(found: DataFrame, docs: DataFrame, least_seeds: int = 3, confidence: float = 0.5, rounds: int = 3) -> DataFrame:
-    """Patterns with (kind, pattern, score) from the stored result of :func:`extract`, scored in rounds."""
+def bootstrap(found: DataFrame, least_known: int = 3, confidence: float = 0.5) -> DataFrame:
+    """Candidates that become known, (kind, instance, score), from the stored result of :func:`extract`."""
     place = lambda c, seed: found.select(F.explode(c).alias("s")).select("s.kind", "s.instance", F.explode("s.patterns").alias("pattern"), F.lit(seed).alias("seed"))
-    edges = place("seeds", 1.0).unionByName(place("loose", 0.0)).groupBy("kind", "pattern", "instance").agg(F.count("*").alias("n"), F.max("seed").alias("seed"))
+    edges = place("seeds", True).unionByName(place("loose", False)).groupBy("kind", "pattern", "instance").agg(F.count("*").alias("n"), F.max("seed").alias("seed"))
     edges = stored(edges, "edges")
-    induced = edges.where("seed = 1").groupBy("kind", "pattern").agg(F.countDistinct("instance").alias("k")).where(F.col("k") >= least_seeds).select("kind", "pattern")
-    induced = stored(induced, "induced")
-    corpus = stored(pattern_counts(docs, stored(induced.select("pattern").distinct(), "patterns")), "corpus")
-    edges = stored(edges.join(induced, ["kind", "pattern"]).join(corpus, "pattern"), "graph")
-    instances = edges.groupBy("kind", "instance").agg(F.max("seed").alias("r"))
-    for _ in range(rounds):
-        patterns = edges.join(instances, ["kind", "instance"]).groupBy("kind", "pattern").agg((F.sum(F.col("n") * F.col("r")) / F.max("occurrences")).alias("score"))
-        patterns = stored(patterns, "scores")
-        weight = F.sum(F.col("n") * F.col("score")) / F.sum("n")
-        instances = edges.join(patterns, ["kind", "pattern"]).groupBy("kind", "instance").agg(F.greatest(F.max("seed"), weight).alias("r"))
-        instances = stored(instances, "instances")
-    return patterns.where(F.col("score") >= confidence)
-
-
-def personal_data(documents: DataFrame, least_seeds: int = 3, confidence: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: doc_id, key, n_<kind> (base), base_sha256, spans (base and added), n_added.
+    # patterns with no candidate, and those that so few instances meet that they could never be one, find nothing
+    slots = edges.groupBy("pattern").agg(F.sum("n").alias("slots"), F.count("*").alias("k"), F.min("seed").alias("all_seeds")).where(f"not all_seeds and k > {least_known}").select("pattern", "slots")
+    edges = stored(edges.join(_few(stored(slots, "slots")), "pattern"), "graph")
+    known = stored(edges.where("seed").select("kind", "instance", F.lit(1.0).alias("score")).distinct(), "known")
+    while True:
+        met = edges.join(_few(known), ["kind", "instance"])
+        patterns = met.groupBy("kind", "pattern").agg(F.count("*").alias("k"), F.sum(F.col("n") * F.col("score")).alias("m"), F.max("slots").alias("slots"))
+        patterns = patterns.select("kind", "pattern", "k", lower_share(F.col("m"), F.col("slots")).alias("good")).where((F.col("k") >= least_known) & (F.col("good") >= confidence))
+        patterns = stored(patterns.select("kind", "pattern", "good"), "patterns")
+        open_edges = edges.where("not seed").join(_few(known), ["kind", "instance"], "left_anti")
+        fresh = open_edges.join(_few(patterns), ["kind", "pattern"]).groupBy("kind", "instance").agg((1 - F.exp(F.sum(F.log1p(-F.col("good"))))).alias("score"))
+        fresh = stored(fresh.where(F.col("score") >= confidence), "fresh")
+        if fresh.isEmpty():
+            return known.where("score < 1")
+        known = stored(known.unionByName(fresh), "known")
+
+
+def personal_data(documents: DataFrame, least_known: int = 3, confidence: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per input row: doc_id, key, check, n_<kind> (base), base_sha256, spans (base and added), n_added.
 
     Null and empty texts have no spans; very long ones are read whole; repeated rows give repeated results; a null
     doc_id is kept; an empty table gives no rows; other columns are ignored.
     """
     docs = text_rows(documents, id_col, text_col)
     found = stored(extract(docs).withColumn("row", F.monotonically_increasing_id()), "pii")
-    good = bootstrap(found, docs, least_seeds, confidence)
-    loose = found.select("row", F.explode("loose").alias("s")).select("row", "s.kind", "s.start", "s.end", F.explode("s.patterns").alias("pattern"))
-    added = loose.join(good, ["kind", "pattern"], "left_semi").select("row", "kind", "start", "end").distinct().groupBy("row").agg(F.collect_list(F.struct("kind", "start", "end")).alias("added"))
-    return found.join(added, "row", "left").select("doc_id", "key", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", _all_spans().alias("spans"), F.coalesce(F.size("added"), F.lit(0)).cast("long").alias("n_added"))
+    good = stored(bootstrap(found, least_known, confidence), "accepted")
+    loose = found.select("row", F.explode("loose").alias("s")).select("row", "s.kind", "s.start", "s.end", "s.instance")
+    added = loose.join(_few(good), ["kind", "instance"], "left_semi").groupBy("row").agg(F.collect_list(F.struct("kind", "start", "end")).alias("added"))
+    return found.join(added, "row", "left").select("doc_id", "key", "check", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", _all_spans().alias("spans"), F.coalesce(F.size("added"), F.lit(0)).cast("long").alias("n_added"))
 
 
 def _all_spans() -> Column:
@@ -223,11 +201,10 @@ def redact(documents: DataFrame, **options) -> DataFrame:
 
     Base spans are found again where the text is; only the few documents with added spans bring theirs by a join.
     """
-    more = personal_data(documents, **options).where("n_added > 0").select(F.col("key").alias("_pii_key"), F.col("spans").alias("_pii_spans")).distinct()
-    more = stored(more, "added")
-    if small_enough(more, 100_000):
-        more = F.broadcast(more)
-    marked = documents.join(more, F.xxhash64(F.coalesce(documents["text"], F.lit(""))) == F.col("_pii_key"), "left").drop("_pii_key")
+    more = personal_data(documents, **options).where("n_added > 0").select(F.col("key").alias("_pii_key"), F.col("check").alias("_pii_check"), F.col("spans").alias("_pii_spans")).distinct()
+    more = _few(stored(more, "added"), 100_000)
+    key, check = text_keys(F.coalesce(documents["text"], F.lit("")))
+    marked = documents.join(more, (key == more["_pii_key"]) & (check == more["_pii_check"]), "left").drop("_pii_key", "_pii_check")
     names = documents.columns
     at_text, at_spans = names.index("text"), len(names)
 
@@ -238,5 +215,6 @@ def redact(documents: DataFrame, **options) -> DataFrame:
             cols[at_text] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays(cols, names=names)
 
+    small_batches(documents.sparkSession)
     out = marked.mapInArrow(each, documents.schema)
     return out.withColumn("n_chars", F.char_length("text").cast(documents.schema["n_chars"].dataType)) if "n_chars" in names else out

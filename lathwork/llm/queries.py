@@ -24,7 +24,7 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.personal_data(table(spark, sf_dir, "documents")).drop("key")
+    return pii.personal_data(table(spark, sf_dir, "documents")).drop("key", "check")
 
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -245,19 +245,80 @@ def test_base_spans_random():
 
 def test_personal_data_and_bootstrap(spark, odd_documents, no_documents):
     rows = [(i, f"some words then please mail contact{i}@mail.example.com today") for i in range(8)]
-    rows += [(50, "some words then please mail hidden (at) example.com now"), (51, "nothing like a context hidden (at) example.com here"), (52, "please call 12")]
+    rows += [(50, "some words then please mail hidden (at) example.com now"), (51, "nothing like a context unseen (at) example.org here"), (53, "elsewhere hidden (at) example.com"), (52, "please call 12")]
     got = {r.doc_id: r for r in pii.personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got[0].n_email == 1 and got[0].n_added == 0
     text = rows[8][1]
     at = text.index("hidden")
     assert got[50].n_email == 0 and got[50].n_added == 1 and got[50].spans == f"email:{at}:{at + len('hidden (at) example.com')}"
     assert got[51].n_added == 0 and got[51].spans == ""
+    assert got[53].spans == "email:10:33"  # what is known by one context is known anywhere
     said = ",".join(f"{k}:{a}:{b}" for k, a, b in slow_base(rows[0][1]))
     assert got[0].base_sha256 == hashlib.sha256(said.encode()).hexdigest() and got[0].spans == said
     assert pii.personal_data(odd_documents).count() == odd_documents.count()
     assert pii.personal_data(no_documents).count() == 0
 
 
+def slow_bootstrap(texts, least=3, confidence=0.5):
+    """Added spans of each text, by dictionaries and loops."""
+    places = []  # text, kind, span, instance, patterns, seed
+    for t, text in enumerate(texts):
+        base = slow_base(text)
+        for seed, spans in ((True, base), (False, pii.loose_spans(text, base))):
+            for kind, a, b in spans:
+                left = [w.lower() for w in re.findall(r"[^\W\d_]+", text[:a])]
+                right = [w.lower() for w in re.findall(r"[^\W\d_]+", text[b:])]
+                patterns = [("L", *left[-n:]) for n in (1, 2) if len(left) >= n] + [("R", w) for w in right[:1]]
+                places.append((t, kind, (a, b), text[a:b], patterns, seed))
+    slots = Counter(p for x in places for p in x[4])
+    known = {(x[1], x[3]): 1.0 for x in places if x[5]}
+    while True:
+        mass, who = Counter(), defaultdict(set)
+        for _, kind, _, instance, patterns, _ in places:
+            for p in patterns:
+                if (kind, instance) in known:
+                    mass[kind, p] += known[kind, instance]
+                    who[kind, p].add(instance)
+        good = {}
+        for (kind, p), m in mass.items():
+            n, z = slots[p], 1.96
+            share = min(1.0, m / n)
+            low = (share + z * z / (2 * n) - z * (share * (1 - share) / n + z * z / (4 * n * n)) ** 0.5) / (1 + z * z / n)
+            if len(who[kind, p]) >= least and low >= confidence:
+                good[kind, p] = low
+        fresh = {}
+        for _, kind, _, instance, _, _ in places:
+            if (kind, instance) not in known:
+                miss = 1.0
+                for p in {p for x in places if (x[1], x[3]) == (kind, instance) for p in x[4]}:
+                    miss *= 1 - good.get((kind, p), 0.0)
+                if 1 - miss >= confidence:
+                    fresh[kind, instance] = 1 - miss
+        if not fresh:
+            break
+        known |= fresh
+    return [sorted((x[1], *x[2]) for x in places if x[0] == t and not x[5] and (x[1], x[3]) in known) for t in range(len(texts))]
+
+
+def test_bootstrap_rounds_like_loops(spark):
+    """Contexts found by seeds, contexts found by what those found, and contexts that stand before anything."""
+    rng = random.Random(8)
+    texts = [f"so mail user{i}@corp.org now" for i in range(9)] + [f"so mail via{i} (at) corp.org then" for i in range(2)]
+    texts += [f"please ping via{i} (at) corp.org soon" for i in range(2)] + [f"please ping other{i}@corp.org soon" for i in range(7)] + ["please ping new (at) corp.org soon", "ring new (at) corp.org", "ring lone (at) corp.org"]
+    texts += [f"the {'4111 1111 1111 1111' if i % 2 else '4111 1111 1111 11%02d' % (i + 20)} and" for i in range(30)]
+    for _ in range(150):
+        name = f"{rng.choice('abc')}{rng.randrange(25)}"
+        texts.append(f"{rng.choice(['call', 'write', 'see', 'from'])} {rng.choice(['me', 'us'])} {name}{rng.choice(['@x.org', '@x.org', '@x.org', ' (at) x.org', '(at)x.org'])} {rng.choice(['today', 'or', 'and'])}")
+    want = slow_bootstrap(texts)
+    got = {r.doc_id: r for r in pii.personal_data(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)).collect()}
+    for i, text in enumerate(texts):
+        base = Counter(f"{k}:{a}:{b}" for k, a, b in slow_base(text))
+        assert Counter(s for s in got[i].spans.split(",") if s) - base == Counter(f"{k}:{a}:{b}" for k, a, b in want[i]), text
+    added = {texts[i] for i in range(len(texts)) if want[i]}
+    assert "please ping new (at) corp.org soon" in added and "ring new (at) corp.org" in added and "ring lone (at) corp.org" not in added
+    assert not any(t.startswith("the 4") for t in added)
+
+
 def test_redaction(spark):
     rows = [(1, "mail a@b.co or +1 (988) 555-2485.", "en", "s", 0), (2, None, "en", None, 0), (None, "clean", None, "s", 5)]
     out = pii.redact(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"))
@@ -275,6 +336,45 @@ def test_tiles():
     assert decontamination.tiles(h(""), h("a b c"), 3) == []
 
 
+def slow_tiles(item, doc, least):
+    """Longest matches of unmarked words by comparing every two places, again and again."""
+    item, doc, found = list(item), list(doc), []
+    used, taken = set(), set()
+    while True:
+        best = []
+        for i in range(len(item)):
+            for j in range(len(doc)):
+                n = 0
+                while i + n < len(item) and j + n < len(doc) and item[i + n] == doc[j + n] and i + n not in used and j + n not in taken:
+                    n += 1
+                best.append((-n, i, j))
+        n, i, j = min(best, default=(0, 0, 0))
+        if -n < max(1, least):
+            return found
+        found.append((i, j, -n))
+        used.update(range(i, i - n))
+        taken.update(range(j, j - n))
+
+
+def test_tiles_like_comparing_all_places():
+    rng = random.Random(12)
+    for _ in range(400):
+        words = "ab" if rng.random() < 0.4 else "abcdefgh"
+        item, doc = (rng.choices(words, k=rng.randint(0, 16)) for _ in range(2))
+        least = rng.randint(1, 4)
+        h = [decontamination.word_hashes(" ".join(x)) for x in (item, doc)]
+        assert decontamination.tiles(*h, least) == slow_tiles(item, doc, least), (item, doc, least)
+
+
+def test_tiles_of_many_equal_words():
+    same = decontamination.word_hashes("y " * 20_000)
+    assert decontamination.tiles(same, same, 5) == [(0, 0, 20_000)]
+    assert decontamination.tiles(same[:300], same, 5) == [(0, 0, 300)]
+    pieces = [f"a{i} b{i} c{i} d{i} e{i}" for i in range(1500)]
+    mixed = decontamination.word_hashes(" x ".join(reversed(pieces)))
+    assert sum(n for _, _, n in decontamination.tiles(decontamination.word_hashes(" ".join(pieces)), mixed, 5)) == 7500
+
+
 def test_decontamination(spark, sf_dir, documents, odd_documents, no_documents):
     bench = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     items = [(r.item_id, r.text) for r in bench.collect()]
