@@ -13,7 +13,6 @@ are shuffled and joined.
 from __future__ import annotations
 
 import re
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -46,34 +45,67 @@ def running(h: np.ndarray, k: int) -> np.ndarray:
     return out ^ (out >> np.uint64(31))
 
 
+class _Words:
+    """The words of one text: hashes of all runs of any length from their running sums, and which words are marked."""
+
+    def __init__(self, h: np.ndarray, last: int) -> None:
+        self.h, self.last, self.used = h, last, np.zeros(len(h), bool)
+        self.sums, self.powers = np.zeros(len(h) + 1, np.uint64), np.ones(last + 1, np.uint64)
+        np.multiply.accumulate(np.full(last, _M), out=self.powers[1:])
+        np.cumsum(h * self.powers[: len(h)], out=self.sums[1:])
+
+    def runs(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """(places, hashes) of the runs of k words none of which is marked."""
+        n = len(self.h) - k + 1
+        if n <= 0:
+            return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        taken = np.concatenate(([0], np.cumsum(self.used)))
+        at = np.flatnonzero(taken[k:] == taken[:n])
+        # each word was multiplied by its place's power; the power of what follows makes runs at all places comparable
+        return at, (self.sums[at + k] - self.sums[at]) * self.powers[self.last - at]
+
+
 def tiles(item: np.ndarray, doc: np.ndarray, min_match: int) -> list[tuple[int, int, int]]:
-    """Greedy tiles (place in item, place in doc, words), longest first; ties go to the earlier item place, then doc."""
-    seeds = defaultdict(list)
-    for i, s in enumerate(running(item, min_match).tolist()):
-        seeds[s].append(i)
-    hashes = running(doc, min_match)
-    at = np.flatnonzero(np.isin(hashes, np.fromiter(seeds, np.uint64, len(seeds))))
-    starts = [(i, int(j)) for j in at for i in seeds[int(hashes[j])]]
-    item_l, doc_l = item.tolist(), doc.tolist()
-    used_item, used_doc, found = [False] * len(item_l), set(), []
-    while starts:
-        best, places = min_match - 1, []
-        for i, j in starts:
-            n = 0
-            while i + n < len(item_l) and j + n < len(doc_l) and item_l[i + n] == doc_l[j + n] and not used_item[i + n] and j + n not in used_doc:
-                n += 1
-            if n > best:
-                best, places = n, [(i, j)]
-            elif n == best >= min_match:
-                places.append((i, j))
-        if best < min_match:
+    """Greedy tiles (place in item, place in doc, words), longest first; ties go to the earlier item place, then doc.
+
+    The longest match of unmarked words is found by halving: if there is one of k words, there is one of every
+    fewer.  Each try compares running hashes of that length, so time goes with the words of both texts, not with
+    their product, however often words repeat.
+    """
+    if min_match < 1 or len(item) < min_match or len(doc) < min_match:
+        return []
+    last = max(len(item), len(doc))
+    a, b = _Words(item, last), _Words(doc, last)
+    found: list[tuple[int, int, int]] = []
+
+    def shared(k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        (i, x), (j, y) = a.runs(k), b.runs(k)
+        hit = np.isin(x, y)
+        return i[hit], x[hit], j, y
+
+    most = min(len(item), len(doc))
+    while most >= min_match:
+        low, high = min_match - 1, most  # there is a match of low words (or it is too few), none of more than high
+        while low < high:
+            k = (low + high + 1) // 2
+            low, high = (k, high) if len(shared(k)[0]) else (low, k - 1)
+        if low < min_match:
             break
-        for i, j in sorted(places):
-            if not any(used_item[i : i + best]) and not any(x in used_doc for x in range(j, j + best)):
-                found.append((i, j, best))
-                used_item[i : i + best] = [True] * best
-                used_doc.update(range(j, j + best))
-        starts = [(i, j) for i, j in starts if not used_item[i] and j not in used_doc]
+        i_at, x, j_at, y = shared(low)
+        order = np.argsort(y, kind="stable")
+        y, j_at = y[order], j_at[order]
+        lo, hi = np.searchsorted(y, x, "left"), np.searchsorted(y, x, "right")
+        for i, p, q in zip(i_at.tolist(), lo.tolist(), hi.tolist(), strict=True):
+            # earlier tiles are as long or longer: one that overlaps covers an end
+            if a.used[i] or a.used[i + low - 1]:
+                continue
+            places = j_at[p:q]
+            free = places[~(b.used[places] | b.used[places + low - 1])]
+            if len(free) and (item[i : i + low] == doc[free[0] : free[0] + low]).all():
+                j = int(free[0])
+                found.append((i, j, low))
+                a.used[i : i + low] = b.used[j : j + low] = True
+        most = low - 1
     return found
 
 
@@ -82,22 +114,26 @@ def _seeds(h: np.ndarray, sizes: list[int]) -> np.ndarray:
     return np.unique(np.concatenate([np.zeros(0, np.uint64), *(running(h, k) for k in sizes)])).view(np.int64)
 
 
-def _seed_table(items: DataFrame, min_match: int) -> DataFrame:
-    """(item_key, k, seed): every k consecutive words of an item; k is min_match, or the words of a shorter item."""
+def _seed_table(items: DataFrame, min_match: int, coverage: float) -> DataFrame:
+    """(item_key, k, seed, words, needed): every k consecutive words of an item; k is min_match, or the words of a
+    shorter item; words are those that the seed's places in the item can cover, needed those that count as found."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
-            keys, sizes, flat = [], [], []
+            keys, sizes, needed, flat, words = [], [], [], [], []
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 h = word_hashes(text)
                 k = min(min_match, len(h))
-                seeds = _seeds(h, [k] if k else [])
+                seeds, times = np.unique(running(h, k) if k else h, return_counts=True)
                 keys += [key] * len(seeds)
                 sizes += [k] * len(seeds)
-                flat.append(seeds)
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(sizes, pa.int32()), pa.array(np.concatenate(flat) if flat else np.zeros(0, np.int64))], names=["item_key", "k", "seed"])
+                needed += [coverage * len(h)] * len(seeds)
+                flat.append(seeds.view(np.int64))
+                words.append(times * k)
+            join = lambda x: pa.array(np.concatenate(x) if x else np.zeros(0, np.int64), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(sizes, pa.int32()), join(flat), join(words), pa.array(needed, pa.float64())], names=["item_key", "k", "seed", "words", "needed"])
 
-    return items.select("item_key", "text").mapInArrow(each, "item_key long, k int, seed long").distinct()
+    return items.select("item_key", "text").mapInArrow(each, "item_key long, k int, seed long, words long, needed double").distinct()
 
 
 def contaminated(
@@ -119,14 +155,14 @@ def contaminated(
     """
     docs = text_rows(documents, id_col, text_col)
     items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.coalesce(F.col(item_text_col), F.lit("")).alias("text")).withColumn("item_key", F.xxhash64("text"))
-    seeds = stored(_seed_table(items, min_match), "seeds")
+    seeds = stored(_seed_table(items, min_match, coverage), "seeds")
     n_seeds = seeds.count()
     sizes = sorted(r["k"] for r in seeds.select("k").distinct().collect())  # one, or a few if there are short items
     if n_seeds <= broadcast_seeds:
         candidates = _by_broadcast(docs, seeds, sizes)
     else:
         candidates = _by_shuffle(docs, seeds, sizes)
-    # only pairs whose shared seeds could cover enough; items join by a key of their text
+    # only pairs whose shared seeds could cover enough of the item; items join by a key of their text
     pairs = candidates.join(items.select("item_key", "item_id", F.col("text").alias("item")).distinct(), "item_key")
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,10 +182,10 @@ def contaminated(
 def _by_broadcast(docs: DataFrame, seeds: DataFrame, sizes: list[int]) -> DataFrame:
     """Documents with the items they share a seed with; the seeds, at most broadcast_seeds, go to every task."""
     table = seeds.orderBy("seed").toPandas()
-    known = docs.sparkSession.sparkContext.broadcast((table["seed"].to_numpy(np.int64), table["item_key"].to_numpy(np.int64)))
+    known = docs.sparkSession.sparkContext.broadcast((table["seed"].to_numpy(np.int64), table["item_key"].to_numpy(np.int64), table["words"].to_numpy(np.int64), table["needed"].to_numpy(np.float64)))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seed, item = known.value
+        seed, item, words, needed = known.value
         for batch in sliced(batches):
             rows, items = [], []
             for r, text in enumerate(batch.column(2).to_pylist()):
@@ -158,7 +194,9 @@ def _by_broadcast(docs: DataFrame, seeds: DataFrame, sizes: list[int]) -> DataFr
                 hit = h[seed[at] == h] if len(seed) and len(h) else h[:0]
                 if len(hit):
                     lo, hi = np.searchsorted(seed, hit, "left"), np.searchsorted(seed, hit, "right")
-                    found = np.unique(np.concatenate([item[a:b] for a, b in zip(lo, hi, strict=True)]))
+                    places = np.concatenate([np.arange(a, b) for a, b in zip(lo, hi, strict=True)])
+                    found, first, which = np.unique(item[places], return_index=True, return_inverse=True)
+                    found = found[np.bincount(which, weights=words[places]) >= needed[places][first] - 1e-9]
                     rows += [r] * len(found)
                     items += found.tolist()
             took = [c.take(pa.array(rows, pa.int64())) for c in batch.columns]
@@ -172,12 +210,13 @@ def _by_shuffle(docs: DataFrame, seeds: DataFrame, sizes: list[int]) -> DataFram
 
     def each(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
+            f = f.drop_duplicates(["doc_id", "key"])
             own = [_seeds(word_hashes(t), sizes) for t in f["text"]]
             n = [len(x) for x in own]
             yield pd.DataFrame({"doc_id": f["doc_id"].repeat(n).array, "key": f["key"].repeat(n).array, "seed": np.concatenate(own) if own else np.zeros(0, np.int64)})
 
     keyed = docs.select("doc_id", F.xxhash64("text").alias("key"), "text")
-    found = keyed.mapInPandas(each, "doc_id long, key long, seed long").join(seeds, "seed").select("doc_id", "key", "item_key").distinct()
+    found = keyed.mapInPandas(each, "doc_id long, key long, seed long").join(seeds, "seed").groupBy("doc_id", "key", "item_key").agg(F.sum("words").alias("words"), F.max("needed").alias("needed")).where("words >= needed - 1e-9")
     d, f = keyed.alias("d"), found.alias("f")
     return d.join(f, F.expr("d.key = f.key and d.doc_id <=> f.doc_id")).select("d.doc_id", "d.key", "d.text", "f.item_key")
 
