@@ -6,8 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 COMPASS = ("N", "NE", "E", "SE", "S", "SW", "W", "NW")
-#: fixed values: solar factor by orientation
-SOLAR_FACTORS = {"N": 130.0, "NE": 113.0, "E": 113.0, "SE": 113.0, "S": 113.0, "SW": 176.0, "W": 243.0, "NW": 211.0}
+#: fixed values: solar factor in W/m2 by orientation, and that of a roof
+SOLAR_FACTORS = {"N": 130.0, "NE": 113.0, "E": 243.0, "SE": 176.0, "S": 130.0, "SW": 176.0, "W": 243.0, "NW": 113.0, "roof": 320.0}
 
 
 def _c(x: Column | str | float) -> Column:
@@ -67,6 +67,44 @@ def solar_factor(direction: Column | str) -> Column:
     return F.create_map(*(F.lit(x) for kv in SOLAR_FACTORS.items() for x in kv))[_c(direction)]
 
 
+def sun_exposure(degrees: Column | str) -> Column:
+    """Between 0.72 for facades to the north and south and 1.14 for those to the east and west."""
+    return 0.72 + 0.42 * F.abs(F.sin(F.radians(_c(degrees))))
+
+
+def heading(degrees: Column | str) -> Column:
+    """Unit vector (x, y, z) of a compass direction in plan."""
+    turn = F.radians(_c(degrees))
+    return F.struct(F.sin(turn).alias("x"), F.lit(0.0).alias("y"), F.cos(turn).alias("z"))
+
+
+def turn_between(a: Column | str, b: Column | str) -> Column:
+    """The smaller angle between two directions, 0 to 180."""
+    d = F.abs(_c(a) - _c(b))
+    return F.least(d, 360 - d)
+
+
+def decimal_comma(x: Column | str, digits: int = 0) -> Column:
+    """The number as text with points between thousands and a decimal comma."""
+    return F.translate(F.format_number(half_up(x, digits), digits), ",.", ".,")
+
+
+def wrapping_product(a: Column, b: Column) -> Column:
+    """Product of two unsigned 32-bit numbers modulo 2**32, in two halves so that nothing overflows."""
+    low, high = a.bitwiseAND(F.lit(0xFFFF)), F.shiftright(a, 16)
+    return (low * b + F.shiftleft((high * b).bitwiseAND(F.lit(0xFFFF)), 16)).bitwiseAND(F.lit(0xFFFFFFFF))
+
+
+def seeded_uniform(seed: int, turn: Column) -> Column:
+    """The turn-th number (from 1) in [0, 1) of the public-domain generator mulberry32, for any turn at once."""
+    mask = F.lit(0xFFFFFFFF)
+    # fixed values: the generator's step and its shifts
+    s = (F.lit(seed) + turn * F.lit(0x6D2B79F5)).bitwiseAND(mask)
+    t = wrapping_product(s.bitwiseXOR(F.shiftright(s, 15)), s.bitwiseOR(F.lit(1)))
+    t = t.bitwiseXOR((t + wrapping_product(t.bitwiseXOR(F.shiftright(t, 7)), t.bitwiseOR(F.lit(61)))).bitwiseAND(mask))
+    return t.bitwiseXOR(F.shiftright(t, 14)) / F.lit(4294967296.0)
+
+
 def overlap(a0: Column | str, a1: Column | str, b0: Column | str, b1: Column | str) -> Column:
     """Length that two intervals share, 0 if apart."""
     return F.greatest(F.lit(0.0), F.least(_c(a1), _c(b1)) - F.greatest(_c(a0), _c(b0)))

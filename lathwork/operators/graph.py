@@ -4,15 +4,15 @@ from __future__ import annotations
 
 import itertools
 import uuid
-from collections.abc import Sequence
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def _shared(spark: SparkSession) -> str:
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = "/tmp/checkpoints/lathwork"
         spark.conf.set("spark.checkpoint.dir", found)
         spark.sparkContext.setCheckpointDir(found)
@@ -41,8 +41,11 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         labels = new.select("node", "component")
 
 
-def hops(edges: DataFrame, sources: DataFrame, limit: int | None = 50, a: str = "a", b: str = "b") -> DataFrame:
-    """(node, hops) from the nearest source over undirected edges; nodes that can't be reached are not listed; no limit: until nothing new is found."""
+def hops(edges: DataFrame, sources: DataFrame, limit: int | None = None, a: str = "a", b: str = "b") -> DataFrame:
+    """(node, hops) from the nearest source over undirected edges; nodes that can't be reached are not listed.
+
+    Goes on until nothing new is found; with a limit, nodes farther away are not listed either.
+    """
     both = edges.select(F.col(a).alias("x"), F.col(b).alias("y"))
     both = settled(both.union(both.select("y", "x")).distinct())
     known = settled(sources.select(F.col(sources.columns[0]).alias("node"), F.lit(0).alias("hops")).distinct())
@@ -61,10 +64,10 @@ def degrees(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     return both.union(both.select("other", "node")).distinct().groupBy("node").agg(F.count("*").alias("degree"))
 
 
-def hierarchy(nodes: DataFrame, node: str, parent: str, attribute: str, name: str, limit: int = 50) -> DataFrame:
+def hierarchy(nodes: DataFrame, node: str, parent: str, attribute: str, name: str, limit: int = 1000) -> DataFrame:
     """Every node below the roots with depth, path of names and the attribute of its nearest ancestor that has one.
 
-    A path that would meet a node again stops there.
+    A path that would meet a node again stops there; one of more than ``limit`` levels is an error.
     """
     rows = nodes.select(F.col(node).alias("node"), F.col(parent).alias("parent"), F.col(name).cast("string").alias("name"), F.col(attribute).alias("own"))
     level = settled(rows.where("parent is null").select("node", F.lit(0).alias("depth"), F.col("name").alias("path"), F.col("own").alias("inherited"), F.array("node").alias("seen")))
@@ -74,9 +77,9 @@ def hierarchy(nodes: DataFrame, node: str, parent: str, attribute: str, name: st
         below = rows.join(p, "parent").where(~F.expr("array_contains(_seen, node)"))
         level = settled(below.select("node", F.lit(depth).alias("depth"), F.concat_ws("/", "_path", "name").alias("path"), F.coalesce("own", "_inherited").alias("inherited"), F.concat("_seen", F.array("node")).alias("seen")))
         if level.isEmpty():
-            break
+            return out.drop("seen")
         out = out.unionByName(level)
-    return out.drop("seen")
+    raise ValueError(f"the hierarchy has more than {limit} levels")
 
 
 def on_cycles(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -92,6 +95,15 @@ def on_cycles(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     return left.select(F.col("a").alias("node")).distinct()
 
 
-def nearest_ancestor(levels: Sequence[Column]) -> Column:
-    """The first attribute that is set, from the row itself up."""
-    return F.coalesce(*levels)
+def without_access(nodes: DataFrame, passages: DataFrame, node: str, a: str = "a", b: str = "b") -> DataFrame:
+    """Nodes with no passage at all."""
+    used = passages.select(F.col(a).alias(node)).union(passages.select(F.col(b))).distinct()
+    return nodes.join(used, node, "left_anti")
+
+
+def neighbours(edges: DataFrame, a: str = "a", b: str = "b", cost: str | None = None) -> DataFrame:
+    """(node, other, links, cost): each node's distinct neighbours, with the number of links and their summed measure."""
+    measure = F.col(cost) if cost else F.lit(1.0)
+    one = edges.select(F.col(a).alias("node"), F.col(b).alias("other"), measure.alias("cost"))
+    both = one.unionByName(one.select(F.col("other").alias("node"), F.col("node").alias("other"), "cost")).where("node <> other")
+    return both.groupBy("node", "other").agg(F.count("*").alias("links"), F.sum("cost").alias("cost"))

@@ -45,6 +45,18 @@ def leakage(train: DataFrame, holdout: DataFrame, keys: Sequence[str]) -> DataFr
 
 
 def fingerprint(df: DataFrame, keys: Sequence[str], row: Column) -> DataFrame:
-    """Per key the SHA-256 of its rows' digests in sorted order, so order and partitioning do not matter."""
+    """Per key the SHA-256 of its rows' digests in sorted order, so order and partitioning do not matter.
+
+    The digests of a key are one value: for keys of some hundred thousand rows.  For larger ones use :func:`fingerprint_of_many`.
+    """
     digests = df.select(*keys, F.sha2(row, 256).alias("_d"))
     return digests.groupBy(*keys).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("_d")), ""), 256).alias("fingerprint"), F.count("*").alias("n"))
+
+
+def fingerprint_of_many(df: DataFrame, keys: Sequence[str], row: Column, nibbles: int = 3) -> DataFrame:
+    """The same in two levels, for keys of any size: digests are digested by their first hex digits (4,096 ranges at
+    three), then the ranges of a key in order.  More rows want more digits: a range should hold some hundred thousand."""
+    digests = df.select(*keys, F.sha2(row, 256).alias("_d"))
+    ranges = digests.groupBy(*keys, F.substring("_d", 1, nibbles).alias("_p")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("_d")), ""), 256).alias("_r"), F.count("*").alias("_n"))
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("_p", "_r"))), lambda x: x["_r"])
+    return ranges.groupBy(*keys).agg(F.sha2(F.array_join(ordered, ""), 256).alias("fingerprint"), F.sum("_n").alias("n"))

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .graph import settled
+
 
 def top(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int = 1, name: str = "rank") -> DataFrame:
     """The first k rows of each key; the order should end in a unique column."""
@@ -48,19 +50,23 @@ def stratified_sample(df: DataFrame, stratum: str, id_col: str, most: int, seed:
 
 def evenly_spaced(df: DataFrame, order: Sequence[str], count: int) -> DataFrame:
     """``count`` rows at even steps through the order (all, if fewer).  Places come from a range sort, not one window."""
-    spark = df.sparkSession
-    ordered = df.orderBy(*order)
-    n = df.count()
+    cut = settled(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
+    n = cut.count()
     if n <= count:
-        return ordered
-    placed = spark.createDataFrame(ordered.rdd.zipWithIndex().map(lambda x: (*x[0], x[1])), df.schema.add("_at", "long"))
-    wanted = [i * n // count for i in range(count)]
-    return placed.where(F.col("_at").isin(wanted)).drop("_at")
-
-
-def bands_of_groups(df: DataFrame, key: str, bounds: Sequence[tuple[float, str]], value: str, otherwise: str) -> Column:
+        return cut.drop("_range")
+    sizes = cut.groupBy("_range").agg(F.count("*").alias("_n"))
+    before = sizes.select("_range", (F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")).alias("_before"))  # a row a range
+    inside = F.row_number().over(Window.partitionBy("_range").orderBy(*order)) - 1
+    placed = cut.withColumn("_i", inside).join(F.broadcast(before), "_range").withColumn("_at", F.col("_i") + F.col("_before"))
+    # the places are i * n // count: a place is one if the first i that reaches it gives it back
+    i = F.expr(f"(_at * {count} + {n} - 1) div {n}")
+    placed = placed.withColumn("_i", i).where(f"_i < {count} and (_i * {n}) div {count} = _at")
+    return placed.drop("_range", "_i", "_before", "_at")
+
+
+def suggested(value: Column, bounds: Sequence[tuple[float, str]], otherwise: str) -> Column:
     """A label by the first bound that the value reaches."""
-    out = F.when(F.col(value) >= bounds[0][0], bounds[0][1])
+    out = F.when(value >= bounds[0][0], bounds[0][1])
     for low, label in bounds[1:]:
-        out = out.when(F.col(value) >= low, label)
+        out = out.when(value >= low, label)
     return out.otherwise(otherwise)

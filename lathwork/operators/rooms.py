@@ -104,11 +104,10 @@ def holes(found: DataFrame) -> DataFrame:
     return i.join(o, box).where(inside).select(F.col("i.storey").alias("storey"), F.col("i.face").alias("inner"), F.col("o.face").alias("outer"))
 
 
-def opposite_walls(walls: DataFrame, keys: Sequence[str], thick: tuple[float, float] = (0.05, 0.6), least_overlap: float = 0.45) -> DataFrame:
-    """Wall sides that face each other: (keys, left, right, thickness, overlap), each side in one pair at most.
+def candidate_pairs(walls: DataFrame, keys: Sequence[str], thick: tuple[float, float] = (0.05, 0.6), least_overlap: float = 0.45) -> DataFrame:
+    """(keys, left, right, thickness, overlap): sides of opposite sign at a wall's thickness from each other that overlap.
 
-    Columns: id, axis, at (place across), lo, hi (extent along), side (+1 or -1).  Candidates are joined by axis and cell of
-    the greatest thickness; a pair is taken if it is the best of both its sides, round after round until none is left.
+    Columns: id, axis, at (place across), lo, hi (extent along), side (+1 or -1); joined by axis and cell of the greatest thickness.
     """
     width = thick[1]
     plus = walls.where("side > 0").withColumn("cell", F.floor(F.col("at") / width).cast("long"))
@@ -118,7 +117,15 @@ def opposite_walls(walls: DataFrame, keys: Sequence[str], thick: tuple[float, fl
     apart = F.abs(F.col("a.at") - F.col("b.at"))
     shared = numbers.overlap_ratio(F.col("a.lo"), F.col("a.hi"), F.col("b.lo"), F.col("b.hi"))
     pairs = a.join(b, [*on, apart.between(*thick)]).select(*(F.col(f"a.{k}").alias(k) for k in keys), F.col("a.id").alias("left"), F.col("b.id").alias("right"), apart.alias("thickness"), shared.alias("overlap"))
-    open_pairs = settled(pairs.where(F.col("overlap") >= least_overlap))
+    return pairs.where(F.col("overlap") >= least_overlap)
+
+
+def opposite_walls(walls: DataFrame, keys: Sequence[str], thick: tuple[float, float] = (0.05, 0.6), least_overlap: float = 0.45) -> DataFrame:
+    """Wall sides that face each other: the pairs of :func:`candidate_pairs`, each side in one pair at most.
+
+    A pair is taken if it is the best of both its sides, round after round until none is left.
+    """
+    open_pairs = settled(candidate_pairs(walls, keys, thick, least_overlap))
     taken = None
     while not open_pairs.isEmpty():
         best = [F.desc("overlap"), F.col("thickness"), F.col("left"), F.col("right")]

@@ -22,12 +22,13 @@ def strongest(evidence: DataFrame, id_col: str) -> DataFrame:
     return best.groupBy(id_col).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("key", "strength")))).alias("evidence"))
 
 
-def classify(subjects: DataFrame, id_col: str, rules: Sequence[dict], evidence_col: str = "evidence", margin: float = 0.08) -> DataFrame:
-    """id, category, score, margin, rule_id, trace: the best rule of the best category.
+def classify(subjects: DataFrame, id_col: str, rules: Sequence[dict], evidence_col: str = "evidence", margin: float = 0.08, conflict: str | None = None, conflict_margin: float = 0.18) -> DataFrame:
+    """id, category, score, margin, rule_id, confidence, trace, contested: the best rule of the best category.
 
     A rule counts if its required keys are there; its score is base plus the weighted strengths, within 0 and 1;
     each category takes its best rule.  Below the rule's threshold, or nearer than ``margin`` to the next category,
-    the category is unknown.  Rules are literals of the plan, so there is no join and no shuffle before the ranking.
+    the category is unknown; where the evidence has the key ``conflict``, nearer than ``conflict_margin`` will do for
+    that.  Rules of no score don't count.  Rules are literals of the plan, so there is no join and no shuffle before the ranking.
     """
     e = F.col(evidence_col)
     scored = []
@@ -44,12 +45,15 @@ def classify(subjects: DataFrame, id_col: str, rules: Sequence[dict], evidence_c
         used = F.filter(F.array(*(F.lit(k) for k in r["signals"])), lambda k: F.map_contains_key(e, k))
         score = F.least(F.greatest(total, F.lit(0.0)), F.lit(1.0))
         scored.append(F.when(ok, F.struct(score.alias("score"), F.lit(r["category"]).alias("category"), F.lit(r["rule_id"]).alias("rule_id"), F.lit(float(r["threshold"])).alias("threshold"), used.alias("used"))))
-    found = F.filter(F.array(*scored), lambda x: x.isNotNull())
+    found = F.filter(F.array(*scored), lambda x: x.isNotNull() & (x["score"] > 0))
     ranked = F.array_sort(found, lambda a, b: F.when(a["score"] > b["score"], -1).when(a["score"] < b["score"], 1).when(a["category"] < b["category"], -1).when(a["category"] > b["category"], 1).when(a["rule_id"] < b["rule_id"], -1).otherwise(1))
-    rows = subjects.select(id_col, ranked.alias("r")).withColumn("top", F.get("r", F.lit(0)))
+    needed = F.when(F.map_contains_key(e, F.lit(conflict)), conflict_margin).otherwise(margin) if conflict else F.lit(margin)
+    rows = subjects.select(id_col, ranked.alias("r"), needed.alias("needed")).withColumn("top", F.get("r", F.lit(0)))
     other = F.get(F.filter("r", lambda x: x["category"] != F.col("top.category")), F.lit(0))["score"]
     rows = rows.withColumn("gap", F.col("top.score") - F.coalesce(other, F.lit(0.0)))
-    sure = F.col("top").isNotNull() & (F.col("top.score") >= F.col("top.threshold")) & (F.col("gap") >= margin)
+    # compared to nine places: sums of weights in another order differ beyond them
+    clear = other.isNull() | (F.round("gap", 9) >= F.col("needed"))
+    sure = F.col("top").isNotNull() & (F.round("top.score", 9) >= F.col("top.threshold")) & clear
     doubt = F.least(F.greatest(1 - 0.6 * F.coalesce(F.col("top.score"), F.lit(0.0)), F.lit(0.25)), F.lit(0.9))
     return rows.select(
         id_col,
@@ -59,6 +63,7 @@ def classify(subjects: DataFrame, id_col: str, rules: Sequence[dict], evidence_c
         F.when(sure, F.col("top.rule_id")).alias("rule_id"),
         F.when(sure, F.col("top.score")).otherwise(doubt).alias("confidence"),
         F.col("top.used").alias("trace"),
+        F.coalesce(other.isNotNull() & (F.round("gap", 9) < margin), F.lit(False)).alias("contested"),
     )
 
 

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.numbers import _c, ratio
+from ..functions.numbers import _c, half_up, ratio
 
 
 def with_overrides(base: DataFrame, overrides: Column, names: Sequence[str]) -> DataFrame:
@@ -15,29 +15,40 @@ def with_overrides(base: DataFrame, overrides: Column, names: Sequence[str]) ->
     return base.withColumns({n: F.coalesce(F.element_at(overrides, F.lit(n)), F.col(n)) for n in names})
 
 
-def delta_status(base: Column | str, proposed: Column | str, lower_is_better: bool, within: float = 0.005) -> Column:
-    """improved, degraded or unchanged, missing_in_base or missing_in_proposed."""
-    b, p = _c(base), _c(proposed)
-    change = p - b
-    better = change < 0 if lower_is_better else change > 0
+def change(base: Column | str, proposed: Column | str) -> Column:
+    """The difference to three places, 0 under 0.00001 and where a side is null or not finite."""
+    d = half_up(_c(proposed) - _c(base), 3)
+    return F.when(F.abs(d) >= 1e-5, d).otherwise(0.0)
+
+
+def percentage(base: Column | str, proposed: Column | str) -> Column:
+    """The change in percent of the base's size to two places, 0 for a base of nothing."""
+    size = F.abs(_c(base))
+    return F.when(size > 1e-6, half_up(100 * change(base, proposed) / size, 2)).otherwise(0.0)
+
+
+def delta_status(base: Column | str, proposed: Column | str, lower_is_better: bool) -> Column:
+    """improved, degraded or unchanged; not_applicable where a side is null or not finite."""
+    d = half_up(_c(proposed) - _c(base), 3)
+    better = d < 0 if lower_is_better else d > 0
     return (
-        F.when(b.isNull() & p.isNull(), "missing")
-        .when(b.isNull(), "missing_in_base")
-        .when(p.isNull(), "missing_in_proposed")
-        .when(F.abs(change) <= within, "unchanged")
+        F.when(d.isNull(), "not_applicable")
+        .when(F.abs(d) < 1e-5, "unchanged")
         .when(better, "improved")
         .otherwise("degraded")
     )
 
 
 def compare(base: DataFrame, proposed: DataFrame, keys: Sequence[str], metrics: dict[str, bool]) -> DataFrame:
-    """Full outer by key: for each metric its two values, difference, percentage and status; True: lower is better."""
-    b = base.select(*keys, *(F.col(m).alias(f"base_{m}") for m in metrics))
-    p = proposed.select(*keys, *(F.col(m).alias(f"proposed_{m}") for m in metrics))
+    """Full outer by key: presence (both, missing_in_base, missing_in_proposed), and for each metric its two values,
+    difference, percentage and status; True: lower is better."""
+    b = base.select(*keys, *(F.col(m).alias(f"base_{m}") for m in metrics), F.lit(True).alias("_b"))
+    p = proposed.select(*keys, *(F.col(m).alias(f"proposed_{m}") for m in metrics), F.lit(True).alias("_p"))
     out = b.join(p, list(keys), "full_outer")
+    out = out.withColumn("presence", F.when(F.col("_b").isNull(), "missing_in_base").when(F.col("_p").isNull(), "missing_in_proposed").otherwise("both")).drop("_b", "_p")
     for m, lower in metrics.items():
         x, y = F.col(f"base_{m}"), F.col(f"proposed_{m}")
-        out = out.withColumn(f"{m}_delta", y - x).withColumn(f"{m}_pct", 100 * ratio(y - x, x)).withColumn(f"{m}_status", delta_status(x, y, lower))
+        out = out.withColumn(f"{m}_delta", change(x, y)).withColumn(f"{m}_pct", percentage(x, y)).withColumn(f"{m}_status", delta_status(x, y, lower))
     return out
 
 

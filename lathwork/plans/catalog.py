@@ -2,33 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geometry, numbers, text
 from ..operators import encode, engineering, graph, joins, quality, rank, rooms, rules, scenario, stats
-
-
-def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def _r(c: str, digits: int = 4) -> Column:
-    return F.round(c, digits).alias(c)
-
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str) -> Callable:
-    def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-        QUERIES[f.__name__], ORACLES[f.__name__] = f, sql
-        return f
-
-    return add
+from .registry import ORACLES, QUERIES, query
+from .registry import rounded as _r
+from .registry import table as _t
 
 
 CASCADE = [("widget|gear", "mechanical"), ("bolt|screw|nut", "fastener")]
@@ -214,8 +195,10 @@ def envelope_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
     WITH r AS (SELECT n_name, year(o_orderdate) AS y, sum(o_totalprice) AS v FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey WHERE year(o_orderdate) IN (1996, 1997) GROUP BY 1, 2)
-    SELECT n_name, round(b.v, 2) AS base_revenue, round(p.v, 2) AS proposed_revenue, round(p.v - b.v, 2) AS revenue_delta,
-           CASE WHEN b.v IS NULL THEN 'missing_in_base' WHEN p.v IS NULL THEN 'missing_in_proposed' WHEN abs(p.v - b.v) <= 0.005 THEN 'unchanged' WHEN p.v > b.v THEN 'improved' ELSE 'degraded' END AS revenue_status
+    SELECT n_name, round(b.v, 2) AS base_revenue, round(p.v, 2) AS proposed_revenue, coalesce(CASE WHEN abs(p.v - b.v) >= 0.0005 THEN round(p.v - b.v, 2) END, 0) AS revenue_delta,
+           coalesce(CASE WHEN abs(p.v - b.v) >= 0.0005 AND abs(b.v) > 0.000001 THEN floor((floor((p.v - b.v) * 1000 + 0.5) / 1000) / abs(b.v) * 10000 + 0.5) / 100 END, 0) AS revenue_pct,
+           CASE WHEN b.v IS NULL OR p.v IS NULL THEN 'not_applicable' WHEN abs(p.v - b.v) < 0.0005 THEN 'unchanged' WHEN p.v > b.v THEN 'improved' ELSE 'degraded' END AS revenue_status,
+           CASE WHEN b.v IS NULL THEN 'missing_in_base' WHEN p.v IS NULL THEN 'missing_in_proposed' ELSE 'both' END AS presence
     FROM (SELECT * FROM r WHERE y = 1996) b FULL JOIN (SELECT * FROM r WHERE y = 1997) p USING (n_name)
 """)
 def scenario_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -224,25 +207,27 @@ def scenario_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = _t(spark, sf_dir, "customer").join(F.broadcast(_t(spark, sf_dir, "nation")), F.col("n_nationkey") == F.col("c_nationkey")).select(F.col("c_custkey").alias("o_custkey"), "n_name")
     per = o.join(c, "o_custkey").groupBy("n_name", "y").agg(F.sum("v").alias("revenue"))
     out = scenario.compare(per.where("y = 1996"), per.where("y = 1997"), ["n_name"], {"revenue": False})
-    return out.select("n_name", _r("base_revenue", 2), _r("proposed_revenue", 2), _r("revenue_delta", 2), "revenue_status")
+    return out.select("n_name", _r("base_revenue", 2), _r("proposed_revenue", 2), _r("revenue_delta", 2), "revenue_pct", "revenue_status", "presence")
 
 
 @query("""
-    WITH w AS (SELECT l_suppkey % 8 AS f, l_quantity AS wall, l_quantity * l_discount * 5 AS glass,
-                      CASE list_extract(['N','NE','E','SE','S','SW','W','NW'], (floor((((l_suppkey * 45.0 + l_linenumber + 22.5) % 360)) / 45) + 1)::INTEGER)
-                        WHEN 'N' THEN 130 WHEN 'S' THEN 113 * 1 WHEN 'SW' THEN 176 WHEN 'W' THEN 243 WHEN 'NW' THEN 211 ELSE 113 END::DOUBLE AS sf,
-                      list_extract(['N','NE','E','SE','S','SW','W','NW'], (floor((((l_suppkey * 45.0 + l_linenumber + 22.5) % 360)) / 45) + 1)::INTEGER) AS facade FROM lineitem),
-    s AS (SELECT facade, sum(wall) AS w, sum(glass) AS g, CASE WHEN sum(glass) <> 0 THEN sum(glass * sf) / sum(glass) ELSE 0 END AS sf FROM w GROUP BY 1),
-    o AS (SELECT facade, w + g AS area, g / (w + g) AS wwr, sf FROM s)
-    SELECT facade, round(area, 2) AS facade_area, round(wwr, 6) AS wwr, round(0.58 * 2.0 * (1 - wwr) * 10 + 5.8 * wwr * 5 + 0.5 * wwr * sf, 4) AS ottv FROM o
+    WITH w AS (SELECT list_extract(['N','NE','E','SE','S','SW','W','NW'], (floor((((l_suppkey * 45.0 + l_linenumber + 22.5) % 360)) / 45) + 1)::INTEGER) AS facade,
+                      l_quantity AS wall, l_quantity * l_discount * 5 AS glass, 2 + l_tax AS u, 0.5 + l_discount AS a, 5.6 + l_tax AS ug, 0.8 - l_discount AS sc FROM lineitem),
+    s AS (SELECT facade, sum(wall) AS w, sum(glass) AS g, sum(wall * u) / sum(wall) AS u, sum(wall * a) / sum(wall) AS a, CASE WHEN sum(glass) > 0 THEN sum(glass * ug) / sum(glass) ELSE 0 END AS ug,
+                 CASE WHEN sum(glass) > 0 THEN sum(glass * sc) / sum(glass) ELSE 0 END AS sc,
+                 CASE facade WHEN 'N' THEN 130 WHEN 'NE' THEN 113 WHEN 'E' THEN 243 WHEN 'SE' THEN 176 WHEN 'S' THEN 130 WHEN 'SW' THEN 176 WHEN 'W' THEN 243 ELSE 113 END AS sf FROM w GROUP BY 1),
+    o AS (SELECT facade, greatest(0, w - g) + g AS area, g, least(1, g / w) AS wwr, floor((a * u * (1 - least(1, g / w)) * 15 + ug * least(1, g / w) * 9 + sc * least(1, g / w) * sf) * 10 + 0.5) / 10 AS ottv FROM s)
+    SELECT facade, round(area, 2) AS facade_area, round(wwr, 6) AS wwr, ottv FROM o
+    UNION ALL SELECT NULL, round(sum(area), 2), floor(sum(g) / sum(area) * 1000 + 0.5) / 1000, floor(sum(ottv * area) / sum(area) * 10 + 0.5) / 10 FROM o
 """)
 def facade_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Heat transfer by facade direction from wall and glass areas."""
+    """Heat transfer by facade direction, and of the whole, from wall and glass areas."""
     direction = numbers.compass(F.col("l_suppkey") * 45.0 + F.col("l_linenumber"))
-    rows = _t(spark, sf_dir, "lineitem").select(direction.alias("facade"), F.col("l_quantity").alias("wall"), (F.col("l_quantity") * F.col("l_discount") * 5).alias("glass"))
-    rows = rows.withColumn("sf", numbers.solar_factor("facade"))
-    out = engineering.facade_transfer(rows, ["facade"], "wall", "glass", 2.0, 5.8, 0.5, "sf")
-    return out.select("facade", _r("facade_area", 2), _r("wwr", 6), _r("ottv"))
+    rows = _t(spark, sf_dir, "lineitem").select(direction.alias("facade"), F.col("l_quantity").alias("wall"), (F.col("l_quantity") * F.col("l_discount") * 5).alias("glass"), "l_tax", "l_discount")
+    walls = rows.select("facade", F.col("wall").alias("area"), (2 + F.col("l_tax")).alias("u"), (0.5 + F.col("l_discount")).alias("a"))
+    panes = rows.select("facade", F.col("glass").alias("area"), (5.6 + F.col("l_tax")).alias("ug"), (0.8 - F.col("l_discount")).alias("sc"))
+    out = engineering.facade_transfer(walls, panes, "facade", "area", 33.0 - 24.0, "u", "a", "ug", "sc")
+    return out.select("facade", _r("facade_area", 2), _r("wwr", 6), "ottv")
 
 
 @query("""
@@ -488,8 +473,8 @@ def rollup_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-    WITH p AS (SELECT event_id, value, greatest(-3, least(3, (value / 10 + 20 - 24.5) * 0.3)) AS pmv FROM events WHERE value IS NOT NULL)
-    SELECT event_id, round(pmv, 4) AS pmv, floor(greatest(5, least(100, 100 - 95 * exp(-0.03353 * pmv ** 4 - 0.2179 * pmv ** 2))) * 10 + 0.5) / 10 AS ppd,
+    WITH p AS (SELECT event_id, value, greatest(-3, least(3, (value / 10 + 20 - (24 - (1.1 - 1.2) * 3 - (0.5 - 0.6) * 4 + (0.1 - 0.15) * 1.5)) * 0.35 + (50 - 50) * 0.015)) AS pmv FROM events WHERE value IS NOT NULL)
+    SELECT event_id, round(pmv, 6) AS pmv, floor(greatest(5, least(100, 100 - 95 * exp(-0.03353 * pmv ** 4 - 0.2179 * pmv ** 2))) * 10 + 0.5) / 10 AS ppd,
            round(17.8 + 0.31 * (value / 10), 6) AS neutral, abs(value / 10 + 20 - (17.8 + 0.31 * (value / 10))) <= 3.5 AS comfortable FROM p
 """)
 def comfort(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -497,7 +482,7 @@ def comfort(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = F.col("value") / 10
     band = engineering.adaptive_band(t)
     vote = engineering.pmv(t + 20)
-    return _t(spark, sf_dir, "events").where("value is not null").select("event_id", F.round(vote, 4).alias("pmv"), engineering.ppd(vote).alias("ppd"), F.round(band["neutral"], 6).alias("neutral"), (F.abs(t + 20 - band["neutral"]) <= 3.5).alias("comfortable"))
+    return _t(spark, sf_dir, "events").where("value is not null").select("event_id", F.round(vote, 6).alias("pmv"), engineering.ppd(vote).alias("ppd"), F.round(band["neutral"], 6).alias("neutral"), (F.abs(t + 20 - band["neutral"]) <= 3.5).alias("comfortable"))
 
 
 @query("""
@@ -649,3 +634,8 @@ def building_loops(spark: SparkSession, sf_dir: str) -> DataFrame:
 def building_adjacency(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Neighbouring rooms and the wall they share, over all customers."""
     return _adjacency(_building(spark, sf_dir))
+
+
+from . import building, graphs  # noqa: E402, F401  they register theirs
+
+__all__ = ["ORACLES", "QUERIES"]
