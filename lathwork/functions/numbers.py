@@ -105,6 +105,13 @@ def seeded_uniform(seed: int, turn: Column) -> Column:
     return t.bitwiseXOR(F.shiftright(t, 14)) / F.lit(4294967296.0)
 
 
+def cell_hash(x: Column | str, y: Column | str, z: Column | str, cell: float) -> Column:
+    """An unsigned 32-bit hash of the cube of a grid that a point lies in; neighbouring cubes may share one."""
+    # fixed values: a large prime an axis
+    turn = lambda v, p: (F.floor(_c(v) / cell).cast("bigint") * F.lit(p)).bitwiseAND(F.lit(0xFFFFFFFF))
+    return turn(x, 73856093).bitwiseXOR(turn(y, 19349663)).bitwiseXOR(turn(z, 83492791))
+
+
 def overlap(a0: Column | str, a1: Column | str, b0: Column | str, b1: Column | str) -> Column:
     """Length that two intervals share, 0 if apart."""
     return F.greatest(F.lit(0.0), F.least(_c(a1), _c(b1)) - F.greatest(_c(a0), _c(b0)))

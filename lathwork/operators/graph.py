@@ -107,3 +107,24 @@ def neighbours(edges: DataFrame, a: str = "a", b: str = "b", cost: str | None =
     one = edges.select(F.col(a).alias("node"), F.col(b).alias("other"), measure.alias("cost"))
     both = one.unionByName(one.select(F.col("other").alias("node"), F.col("node").alias("other"), "cost")).where("node <> other")
     return both.groupBy("node", "other").agg(F.count("*").alias("links"), F.sum("cost").alias("cost"))
+
+
+def circulation(rooms: DataFrame, openings: DataFrame, room: str = "room") -> DataFrame:
+    """How people get about: per room its access, steps to an exit, likelihood of circulation and a movement score.
+
+    rooms have room, use and width; openings room, other (null for the outside), kind, exterior and width.  Doors and
+    open passages are ways; exits are rooms with an exterior door, corridors and staircases.
+    """
+    ways = openings.where(F.col("kind").isin("door", "open_passage")).where(F.col(room).isNotNull())
+    hub = F.coalesce(F.col("use").isin("corridor", "staircase"), F.lit(False))
+    outside = ways.where(F.col("exterior") & (F.col("kind") == "door")).select(room).distinct()
+    exits = settled(rooms.where(hub).select(room).union(outside).distinct())
+    steps = hops(ways.where("other is not null").select(F.col(room).alias("a"), F.col("other").alias("b")), exits).select(F.col("node").alias(room), F.col("hops").alias("steps"))
+    to_exit = exits.select(F.col(room).alias("other"), F.lit(True).alias("_exit"))
+    per = ways.join(to_exit, "other", "left").groupBy(room).agg(F.count("*").alias("ways"), F.max((F.col("exterior") & (F.col("kind") == "door")).cast("int")).alias("_out"), F.sum((F.col("exterior") | F.coalesce("_exit", F.lit(False))).cast("int")).alias("entrances"), F.min("width").alias("_narrow"))
+    r = rooms.join(per, room, "left").join(steps, room, "left").fillna(0, ["ways", "_out", "entrances"])
+    isolated, dead_end = F.col("ways") == 0, (F.col("ways") == 1) & (F.col("_out") == 0)
+    likely = F.when(hub, 0.95).when(F.col("ways") >= 3, 0.7).when(dead_end | isolated, 0.05).otherwise(0.2)
+    score = F.least(F.lit(100.0), F.col("ways") * 20 + likely * 40 + F.when(dead_end, 0).otherwise(20))
+    access = F.when(isolated, "isolated").when(F.col("steps").isNull(), "unreachable").when(dead_end, "dead_end").otherwise("accessible")
+    return r.select(room, "ways", "entrances", "steps", access.alias("access"), likely.alias("likelihood"), F.least("width", "_narrow").alias("clear_width"), F.when(isolated, 0.0).otherwise(F.floor(score + 0.5).cast("double")).alias("movement"))

@@ -66,3 +66,42 @@ def recommended(df: DataFrame, keys: Sequence[str], id_col: str) -> DataFrame:
     """The row of the smallest objective in each key, ties to the smaller id."""
     w = Window.partitionBy(*keys).orderBy("objective", id_col)
     return df.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+
+
+#: fixed values: the least and the greatest value of an override, and whether the least itself is allowed; null: no bound
+OVERRIDE_LIMITS: dict[str, tuple[float | None, float | None, bool]] = {
+    "indoorDesignTempC": (-50, 60, True),
+    "outdoorDesignTempC": (-60, 60, True),
+    "relativeHumidityPercent": (0, 100, True),
+    "localWindSpeedMs": (0, 100, True),
+    "localWindDirectionDeg": (None, None, True),
+    "projectNorthDeg": (None, None, True),
+    "coefficientOfUtilization": (0, 1, False),
+    "lightLossFactor": (0, 1, False),
+    "defaultLuminaireFluxLm": (0, None, False),
+    "acSafetyMargin": (0, 2, True),
+    "defaultWallUValue": (0, None, True),
+    "defaultGlazingUValue": (0, None, True),
+    "wwrOverride": (0, 1, True),
+    "occupancyMultiplier": (0, None, True),
+    "wallUValueMultiplier": (0, None, True),
+    "glazingUValueMultiplier": (0, None, True),
+    "shadingCoefficientMultiplier": (0, None, True),
+    "solarFactorMultiplier": (0, None, True),
+}
+
+
+def override_issues(overrides: Column | str) -> Column:
+    """Names, in order, of the overrides in a map that are not finite or out of their bounds; null values and names
+    without bounds raise no issue."""
+    m = _c(overrides)
+    issues = []
+    for name, (low, high, closed) in OVERRIDE_LIMITS.items():
+        v = F.try_element_at(m, F.lit(name))
+        bad = F.isnan(v) | (F.abs(v) == float("inf"))
+        if low is not None:
+            bad = bad | (v < low if closed else v <= low)
+        if high is not None:
+            bad = bad | (v > high)
+        issues.append(F.when(v.isNotNull() & bad, F.lit(name)))
+    return F.filter(F.array(*issues), lambda x: x.isNotNull())

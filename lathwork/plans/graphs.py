@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import numbers, text
-from ..operators import graph, joins, quality, rank, rooms, stats
+from ..operators import graph, joins, quality, rank, rooms, scenario, stats
 from .registry import query, table
 
 
@@ -135,3 +135,51 @@ def repetition_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 def fingerprint_in_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order-free digests of large groups, in two levels."""
     return quality.fingerprint_of_many(table(spark, sf_dir, "orders"), ["o_orderpriority"], F.concat_ws("|", F.col("o_orderkey").cast("string"), F.col("o_custkey").cast("string")))
+
+
+@query("""
+    WITH RECURSIVE r AS (SELECT c_custkey AS room, CASE c_mktsegment WHEN 'MACHINERY' THEN 'corridor' ELSE 'office' END AS use, 0.7 + (c_custkey % 9) / 10 AS width FROM customer WHERE c_custkey % 13 <> 1 OR c_acctbal > 0),
+    w AS (SELECT o_custkey AS room, CASE WHEN o_orderkey % 10 <> 0 THEN (o_custkey * 3 + o_orderkey % 2) % 1000 END AS other, CASE o_orderstatus WHEN 'F' THEN 'door' ELSE 'open_passage' END AS kind, o_orderkey % 10 = 0 AS exterior, 0.6 + (o_orderkey % 7) / 10 AS width FROM orders WHERE o_totalprice > 470000),
+    x AS (SELECT room FROM r WHERE use = 'corridor' UNION SELECT room FROM w WHERE exterior AND kind = 'door'),
+    u AS (SELECT room AS a, other AS b FROM w WHERE other IS NOT NULL UNION SELECT other, room FROM w WHERE other IS NOT NULL),
+    h(node, steps) USING KEY (node) AS (SELECT room, 0 FROM x UNION (SELECT u.b, min(h.steps) + 1 FROM h JOIN u ON u.a = h.node LEFT JOIN recurring.h AS k ON k.node = u.b WHERE k.node IS NULL GROUP BY u.b)),
+    p AS (SELECT w.room, count(*) AS ways, bool_or(exterior AND kind = 'door') AS door, sum((exterior OR x.room IS NOT NULL)::INTEGER) AS entrances, min(width) AS narrow FROM w LEFT JOIN x ON x.room = w.other GROUP BY 1),
+    q AS (SELECT r.room, coalesce(ways, 0) AS ways, coalesce(entrances, 0)::BIGINT AS entrances, steps, use, coalesce(ways, 0) = 0 AS isolated, coalesce(ways, 0) = 1 AND NOT door AS dead, least(r.width, coalesce(narrow, r.width))::DOUBLE AS clear_width FROM r LEFT JOIN p USING (room) LEFT JOIN h ON h.node = r.room),
+    l AS (SELECT *, CASE WHEN use = 'corridor' THEN 0.95::DOUBLE WHEN ways >= 3 THEN 0.7::DOUBLE WHEN dead OR isolated THEN 0.05::DOUBLE ELSE 0.2::DOUBLE END AS likelihood FROM q)
+    SELECT room, ways, entrances, steps, CASE WHEN isolated THEN 'isolated' WHEN steps IS NULL THEN 'unreachable' WHEN dead THEN 'dead_end' ELSE 'accessible' END AS access, likelihood, round(clear_width, 4) AS clear_width,
+           CASE WHEN isolated THEN 0 ELSE floor(least(100, ways * 20 + likelihood * 40 + CASE WHEN dead THEN 0 ELSE 20 END) + 0.5) END::DOUBLE AS movement FROM l
+""")
+def human_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Access, steps to an exit and movement, with customers as rooms and large orders as openings."""
+    c, key = table(spark, sf_dir, "customer").where("c_custkey % 13 <> 1 or c_acctbal > 0"), F.col("o_orderkey")
+    rooms_ = c.select(F.col("c_custkey").alias("room"), F.when(F.col("c_mktsegment") == "MACHINERY", "corridor").otherwise("office").alias("use"), (0.7 + (F.col("c_custkey") % 9) / 10).alias("width"))
+    o = table(spark, sf_dir, "orders").where("o_totalprice > 470000")
+    openings = o.select(F.col("o_custkey").alias("room"), F.when(key % 10 != 0, (F.col("o_custkey") * 3 + key % 2) % 1000).alias("other"), F.when(F.col("o_orderstatus") == "F", "door").otherwise("open_passage").alias("kind"), (key % 10 == 0).alias("exterior"), (0.6 + (key % 7) / 10).alias("width"))
+    out = graph.circulation(rooms_, openings)
+    return out.select("room", "ways", "entrances", "steps", "access", "likelihood", F.round("clear_width", 4).alias("clear_width"), "movement")
+
+
+@query("""
+    SELECT l_orderkey || '/' || l_linenumber || '/' || l_partkey AS id, concat_ws(',', CASE WHEN l_quantity * 2 > 60 THEN 'indoorDesignTempC' END, CASE WHEN l_linenumber * 20 > 100 THEN 'relativeHumidityPercent' END,
+           CASE WHEN l_discount <= 0 THEN 'lightLossFactor' END, CASE WHEN l_tax * 40 > 2 THEN 'acSafetyMargin' END, CASE WHEN l_tax - 0.02 < 0 THEN 'defaultWallUValue' END) AS issues FROM lineitem
+""")
+def override_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Overrides of a design that are out of their bounds."""
+    li = table(spark, sf_dir, "lineitem")
+    m = F.create_map(F.lit("indoorDesignTempC"), F.col("l_quantity") * 2, F.lit("relativeHumidityPercent"), F.col("l_linenumber") * 20.0, F.lit("lightLossFactor"), F.col("l_discount"), F.lit("acSafetyMargin"), F.col("l_tax") * 40, F.lit("defaultWallUValue"), F.col("l_tax") - 0.02, F.lit("unbounded"), F.lit(-1.0))
+    return li.select(F.concat_ws("/", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string"), F.col("l_partkey").cast("string")).alias("id"), F.array_join(scenario.override_issues(m), ",").alias("issues"))
+
+
+@query("""
+    WITH c AS (SELECT s_suppkey, s_nationkey, list_transform(string_split(s_name, ''), lambda c: ord(c)::BIGINT) AS codes, s_acctbal AS x, (s_suppkey % 50)::DOUBLE AS z FROM supplier),
+    r AS (SELECT s_nationkey, list_sort(list(printf('%.3f', floor(x / 0.001 + 0.5) * 0.001) || ',' || printf('%.3f', z))) AS p FROM c GROUP BY 1)
+    SELECT s_suppkey, list_reduce(list_prepend(2166136261::BIGINT, codes), lambda h, c: ((xor(h, c)::HUGEINT * 16777619) % 4294967296)::BIGINT) AS hash,
+           'detected-room:' || s_nationkey || ':' || substr(sha256('room:' || s_nationkey || ':' || array_to_string(p, '|')), 1, 12) AS room,
+           xor(xor(((floor(x / 2)::BIGINT * 73856093) & 4294967295)::BIGINT, ((floor(z / 2)::BIGINT * 19349663) & 4294967295)::BIGINT), ((floor(1.0) ::BIGINT * 83492791) & 4294967295)::BIGINT) AS cell
+    FROM c JOIN r USING (s_nationkey)
+""")
+def stable_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hashes of names, ids of rooms by their corners and of cells in space."""
+    s = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey", "s_name", F.col("s_acctbal").alias("x"), (F.col("s_suppkey") % 50).cast("double").alias("z"))
+    r = s.groupBy("s_nationkey").agg(text.room_id(F.col("s_nationkey"), F.collect_list(F.struct("x", "z"))).alias("room"))
+    return s.join(r, "s_nationkey").select("s_suppkey", F.conv(text.stable_hash("s_name"), 36, 10).cast("bigint").alias("hash"), "room", numbers.cell_hash("x", "z", F.lit(2.0), 2.0).alias("cell"))
