@@ -19,7 +19,7 @@ SHARD_ROWS, QUERY_ROWS, LEAF = 8192, 4096, 96
 
 
 def finite_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """(vec_id, v): only vectors that are neither null, empty nor zero and have finite components throughout."""
+    """(vec_id, v), a row for each row: only vectors that are neither null, empty nor zero and have finite components throughout."""
     v = F.col("v")
     bad = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     some = F.exists(v, lambda x: x != 0)
@@ -52,8 +52,10 @@ class Tree:
         self.nodes[me] = (point, radius, inside, outside)
         return me
 
-    def search(self, q: np.ndarray, own: np.ndarray, ids: np.ndarray, k: int, factor: float) -> tuple[np.ndarray, np.ndarray]:
-        """For each query its k nearest rows (indices, -1 for none) other than those with its own id.
+    def search(self, q: np.ndarray, own: np.ndarray, rows_of: np.ndarray, ids: np.ndarray, k: int, factor: float, slack: float) -> tuple[np.ndarray, np.ndarray]:
+        """For each query its k nearest rows (indices, -1 for none) other than its own; own and rows_of number the rows.
+
+        ``slack`` covers the rounding of distances, which grows with the norms.
 
         All queries go down together, nearer side first for each; only those that a side may still serve go on.
         """
@@ -68,7 +70,7 @@ class Tree:
                 rows = self.order[at[0] : at[1]]
                 d = np.maximum((q[who] ** 2).sum(axis=1)[:, None] + (self.x[rows] ** 2).sum(axis=1) - 2 * q[who] @ self.x[rows].T, 0)
                 d = np.sqrt(d)
-                d[own[who][:, None] == ids[rows][None, :]] = np.inf
+                d[own[who][:, None] == rows_of[rows][None, :]] = np.inf
                 all_d = np.concatenate((best_d[who], d), axis=1)
                 all_i = np.concatenate((best_i[who], np.broadcast_to(rows, d.shape)), axis=1)
                 key = np.where(all_i < 0, np.iinfo(np.int64).max, ids[all_i])
@@ -83,7 +85,7 @@ class Tree:
                 visit(first, who[mine])
                 # a side is left out if it lies beyond the worst neighbour so far, sooner for factors above one
                 gap = np.abs(d[mine] - radius) * factor
-                visit(second, who[mine][gap <= best_d[who[mine], -1] + 1e-6])
+                visit(second, who[mine][gap <= best_d[who[mine], -1] + slack])
 
         visit(0, np.arange(n))
         return best_d, best_i
@@ -100,41 +102,43 @@ def _scores(q: np.ndarray, x: np.ndarray) -> np.ndarray:
 def nearest(vectors: DataFrame, is_query: Column, k: int = 20, factor: float = 1.0, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank (from 1), vec_id, score: each query's k nearest by inner product, ties to the smaller vec_id.
 
-    is_query is a condition on vec_id.  Vectors that are null, empty, zero, of another length than most, or hold
-    null or non-finite components take no part.  Fewer candidates than k: all of them.  Rows that repeat a vec_id
-    count once, by their smallest vector.  An empty table gives no rows; other columns are ignored.
+    is_query is a condition on vec_id.  Vectors that are null, empty, zero, or hold null or non-finite components take
+    no part; neither do rows without a vec_id.  Vectors of another length than the query's have no inner product with
+    it and are no candidates.  Fewer candidates than k: all of them.  Rows that repeat a vec_id are rows of their own:
+    each is a candidate for all but itself, and each that is a query is answered.  An empty table gives no rows; other
+    columns are ignored.
     """
-    clean = finite_vectors(vectors, id_col, vector_col)
-    length = clean.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
-    width = length[0]["n"] if length else 0
-    clean = stored(clean.where(F.size("v") == width).groupBy("vec_id").agg(F.min("v").alias("v")), "vectors")
+    clean = finite_vectors(vectors, id_col, vector_col).withColumn("row", F.monotonically_increasing_id()).withColumn("width", F.size("v"))
+    clean = stored(clean, "vectors")
     norm = F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)
     rows, top = clean.agg(F.count("*"), F.max(norm)).first()
     queries = clean.where(is_query)
     n_queries = queries.count()
     shards, blocks = max(1, -(-rows // SHARD_ROWS)), max(1, -(-n_queries // QUERY_ROWS))
     limit = (top or 0.0) * (1 + 1e-12)
-    number = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")
-    left = clean.select("vec_id", "v", number(shards).alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-    right = queries.select("vec_id", "v", number(blocks).alias("block"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
+    slack = 1e-6 * (limit**0.5)
+    number = lambda n: F.pmod(F.xxhash64("row"), F.lit(n)).cast("int")
+    left = clean.select("row", "vec_id", "v", "width", number(shards).alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+    right = queries.select("row", "vec_id", "v", "width", number(blocks).alias("block"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
 
     def each(base: pd.DataFrame, ask: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
+        empty = pd.DataFrame({"query_row": pd.Series(dtype="int64"), "query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
         if not len(base) or not len(ask):
             return empty
-        base, ask = base.sort_values("vec_id"), ask.sort_values("vec_id")
-        ids, own = base["vec_id"].to_numpy(), ask["vec_id"].to_numpy()
+        base, ask = base.sort_values(["vec_id", "row"]), ask.sort_values(["vec_id", "row"])
+        ids, own = base["vec_id"].to_numpy(), ask["row"].to_numpy()
         x, q = np.array(base["v"].tolist(), np.float64), np.array(ask["v"].tolist(), np.float64)
         lift = np.sqrt(np.maximum(limit - (x**2).sum(axis=1), 0))
         tree = Tree(np.column_stack((x, lift)))
         # a few more than asked for, so that rounding in distances can't swap who is on the edge
-        _, found = tree.search(np.column_stack((q, np.zeros(len(q)))), own, ids, k + 4, factor)
+        _, found = tree.search(np.column_stack((q, np.zeros(len(q)))), own, base["row"].to_numpy(), ids, k + 4, factor, slack)
         who, place = np.nonzero(found >= 0)
         rows = found[who, place]
-        return pd.DataFrame({"query_id": own[who], "vec_id": ids[rows], "score": _scores(q[who], x[rows])})
+        return pd.DataFrame({"query_row": own[who], "query_id": ask["vec_id"].to_numpy()[who], "vec_id": ids[rows], "score": _scores(q[who], x[rows])})
 
-    got = left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInPandas(each, "query_id long, vec_id long, score double")
+    on = ["width", "shard", "block"]
+    got = left.groupBy(*on).cogroup(right.groupBy(*on)).applyInPandas(each, "query_row long, query_id long, vec_id long, score double")
     # the k best of each query over the shards: k + 4 rows a shard and query
     best = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "vec_id"))), 1, k)
-    top_k = got.groupBy("query_id").agg(best.alias("b")).select("query_id", F.posexplode("b").alias("p", "x"))
+    top_k = got.groupBy("query_row", "query_id").agg(best.alias("b")).select("query_id", F.posexplode("b").alias("p", "x"))
     return top_k.select("query_id", (F.col("p") + 1).cast("int").alias("rank"), F.col("x.vec_id").alias("vec_id"), (-F.col("x.s")).alias("score"))

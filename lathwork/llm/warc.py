@@ -1,14 +1,15 @@
 """Content-addressed archive of WARC records.
 
-Two Parquet datasets in the shared folder: ``payloads`` holds each payload's bytes once, under its SHA-256;
-``records`` holds every record's exact head (version line to the blank line) and the address of its payload.
-Original records come back by joining the two.  Addresses are verified: payloads are digested again when read, and
-payloads of equal address must also agree in SHA-1 and length before one of them is kept for all.
+Two Parquet datasets in the shared folder: ``payloads`` holds each payload's bytes once, under its SHA-256, in
+buckets by that address; ``records`` holds every record's exact head (version line to the blank line) and the address
+of its payload.  Original records come back by joining the two, in place on the side of the payloads.  What an archive
+says is read from the records that the join gives back: version line, fields, length and bytes of the block; payloads
+are digested again, and a record whose bytes do not give its address and its own digest is not verified.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import new_path, stored
@@ -57,42 +58,70 @@ def write_archive(pages: DataFrame, least_bytes: int = 0, id_col: str = "page_id
     """Writes the two datasets; returns their paths.  A null page_id or url is allowed, a null html is empty.
 
     Repeated rows of one page_id and payload are one response, as none of them is another page.  Payloads move
-    through one shuffle, by address, and only those of the pages that hold one.
+    through one shuffle, by address, after each task has dropped those it has already: bytes of equal address are
+    equal, so any copy will do, and copies of one payload, however many, are one row a task.
     """
     spark = pages.sparkSession
     records, payloads = new_path(spark, "records"), new_path(spark, "payloads")
     plan_records(pages, least_bytes, id_col, url_col, html_col).write.option("compression", "zstd").parquet(records)
-    holders = spark.read.parquet(records).where("record_type = 'response'").select("address", "page_id").groupBy("address").agg(F.max("page_id").alias("holder"))
     html = F.coalesce(F.col(html_col), F.lit("")).cast("binary")
-    all_pages = pages.select(F.col(id_col).cast("long").alias("page_id"), F.sha2(html, 256).alias("address"), html.alias("payload"))
-    # a merge join by address alone, whatever the size, so that payloads move once and stay in place for the last step
-    # (an equality of page_id, if Spark saw one, would become a key of the shuffle too)
-    kept = all_pages.join(holders.hint("merge"), "address").where("coalesce(page_id = holder, page_id is null and holder is null)").select("address", "payload")
-    kept.dropDuplicates(["address"]).write.option("compression", "zstd").parquet(payloads)
+    kept = pages.select(F.sha2(html, 256).alias("address"), html.alias("payload")).dropDuplicates(["address"])
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    kept.write.bucketBy(buckets, "address").format("parquet").option("compression", "zstd").option("path", payloads).saveAsTable(_table_of(payloads))
     return records, payloads
 
 
-def read_records(spark, records: str, payloads: str) -> DataFrame:
-    """page_id, record: the original records, byte for byte, rebuilt from head and payload."""
-    heads, store = spark.read.parquet(records), spark.read.parquet(payloads)
+def _table_of(payloads: str) -> str:
+    """The session's name for the bucketed files, so that it knows where addresses lie."""
+    return "payloads_" + payloads.rsplit("-", 1)[-1]
+
+
+def _payloads(spark: SparkSession, payloads: str) -> DataFrame:
+    name = _table_of(payloads)
+    return spark.table(name) if spark.catalog.tableExists(name) else spark.read.parquet(payloads)
+
+
+def read_records(spark: SparkSession, records: str, payloads: str) -> DataFrame:
+    """page_id, address, record: the original records, byte for byte, rebuilt from head and payload."""
+    heads, store = spark.read.parquet(records), _payloads(spark, payloads)
     body = F.when(F.col("record_type") == "response", F.col("payload")).otherwise(F.lit(b""))
-    return heads.join(store, "address", "left").select("page_id", F.concat("head", body, F.lit(b"\r\n\r\n")).alias("record"))
+    return heads.join(store.hint("merge"), "address", "left").select("page_id", "address", F.concat("head", body, F.lit(b"\r\n\r\n")).alias("record"))
+
+
+def parsed(records: DataFrame) -> DataFrame:
+    """What each record says: page_id and address as stored, record_type, target (page_id it refers to), said (digest of its
+    field), length, whether it is well formed, and size and digests of its block."""
+    text = F.col("record").cast("string")
+    head = F.substring_index(text, CRLF + CRLF, 1)
+    rows = records.select("page_id", "address", "record", head.alias("head"), (F.octet_length(head.cast("binary")) + 4).alias("at"))
+    field = lambda name, what: F.nullif(F.regexp_extract("head", f"\r\n{name}: {what}(?:\r\n|$)", 1), F.lit(""))
+    length = field("Content-Length", "([0-9]+)").cast("long")
+    rows = rows.select("page_id", "address", "record", "at", F.regexp_extract("head", "^WARC/1.1\r\nWARC-Type: ([a-z]+)(?:\r\n|$)", 1).alias("record_type"), field("WARC-Refers-To", "<urn:page:(-?[0-9]+)>").cast("long").alias("target"), field("WARC-Payload-Digest", "sha1:([A-Z2-7]+)").alias("said"), length.alias("length"))
+    block = F.expr("substring(record, at + 1, cast(length as int))")
+    whole = (F.octet_length("record") == F.col("at") + F.col("length") + 4) & (F.expr("substring(record, cast(at + length + 1 as int), 4)") == F.lit(b"\r\n\r\n"))
+    return rows.select("page_id", "address", "record_type", "target", "said", "length", whole.alias("whole"), F.sha1(block).alias("sha1"), F.sha2(block, 256).alias("sha256"))
 
 
-def describe_archive(spark, records: str, payloads: str) -> DataFrame:
-    """What the archive says of each record: page_id, payload_bytes, payload_digest, record_type, refers_to, verified.
+def describe_archive(spark: SparkSession, records: str, payloads: str) -> DataFrame:
+    """What the archive's records say: page_id, payload_bytes, payload_digest, record_type, refers_to, verified.
 
-    Lengths and digests are taken from the stored payloads, once each; type and reference from the heads.
+    Length and digest of a response are those of its own block.  A revisit has none: its are those of the response
+    that it refers to, by page and digest.
     """
-    store = spark.read.parquet(payloads).select("address", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha1("payload").alias("sha1"), (F.sha2("payload", 256) == F.col("address")).alias("whole"))
-    text = F.col("head").cast("string")
-    field = lambda name, what: F.regexp_extract(text, f"\r\n{name}: {what}\r\n", 1)
-    heads = spark.read.parquet(records).select("page_id", "address", field("WARC-Payload-Digest", "sha1:([A-Z2-7]+)").alias("said"), F.regexp_extract(text, "\r\nWARC-Record-ID: <urn:page:([^>]*)>", 1).alias("own"), F.regexp_extract(text, "WARC-Type: ([a-z]+)\r\n", 1).alias("record_type"), field("WARC-Refers-To", "<urn:page:(-?[0-9]+)>").alias("ref"))
-    joined = heads.join(store, "address", "left")
+    p = stored(parsed(read_records(spark, records, payloads)), "parsed")
     digest = base32_of_hex(F.col("sha1"))
-    return joined.select("page_id", "payload_bytes", digest.alias("payload_digest"), "record_type", F.when(F.col("ref") != "", F.col("ref").cast("long")).alias("refers_to"), F.coalesce(F.col("whole") & (digest == F.col("said")), F.lit(False)).alias("verified"))
+    p = p.withColumn("digest", F.when(F.col("record_type") == "response", digest))
+    good = F.coalesce(F.col("whole") & (F.col("digest") == F.col("said")) & (F.col("sha256") == F.col("address")), F.lit(False))
+    answers = p.where("record_type = 'response'").select("page_id", "address", "length", "digest", good.alias("good"))
+    held = answers.groupBy(F.col("page_id").alias("target"), F.col("digest").alias("said")).agg(F.max("length").alias("_length"), F.min("good").alias("_good"))
+    own = answers.select("page_id", F.col("length").alias("payload_bytes"), F.col("digest").alias("payload_digest"), F.lit("response").alias("record_type"), F.lit(None).cast("long").alias("refers_to"), F.col("good").alias("verified"))
+    again = p.where("record_type = 'revisit'").select("page_id", "target", "said", "whole", "length").alias("r")
+    again = again.join(held.alias("h"), F.expr("r.target <=> h.target and r.said = h.said"), "left")
+    empty = F.col("whole") & (F.col("length") == 0) & F.col("_good")
+    again = again.select("page_id", F.col("_length").alias("payload_bytes"), F.when(F.col("_length").isNotNull(), F.col("r.said")).alias("payload_digest"), F.lit("revisit").alias("record_type"), F.col("r.target").alias("refers_to"), F.coalesce(empty, F.lit(False)).alias("verified"))
+    return own.unionByName(again)
 
 
 def archived(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
-    """Writes an archive of the pages and describes it from what was written."""
+    """Writes an archive of the pages and describes it from its records."""
     return describe_archive(pages.sparkSession, *write_archive(pages, least_bytes))

@@ -46,6 +46,18 @@ def test_nearest_recall_by_factor(spark, sf_dir):
     assert recall[0] >= 0.9 and recall[1] <= recall[0]
 
 
+def test_nearest_of_repeated_ids_other_lengths_and_large_norms(spark):
+    rng = np.random.default_rng(9)
+    rows = [(i % 150, [float(x) for x in rng.normal(size=5) * 1e5]) for i in range(300)] + [(i, [float(x) for x in rng.normal(size=3)]) for i in range(200, 260)]
+    want = []
+    for a, (q, v) in enumerate(rows):
+        if q % 20 == 0:
+            near = sorted((-sum(x * y for x, y in zip(v, w, strict=True)), c) for b, (c, w) in enumerate(rows) if b != a and len(w) == len(v))[:6]
+            want += [(q, r + 1, c) for r, (_, c) in enumerate(near)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    assert sorted((r.query_id, r.rank, r.vec_id) for r in ann.nearest(df, F.col("vec_id") % 20 == 0, 6).collect()) == sorted(want)
+
+
 def test_nearest_of_few_and_none(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (3, [0.5, 1.0])], "vec_id long, embedding array<double>")
     assert [(r.query_id, r.rank, r.vec_id, r.score) for r in ann.nearest(df, F.col("vec_id") % 20 == 0).collect()] == [(0, 1, 3, 0.5)]
@@ -79,6 +91,17 @@ def test_archive_round_trip(spark):
         assert body[:-4] == (b"" if b"Type: revisit" in head else (h or "").encode()) and length == len(body) - 4
 
 
+def test_archive_says_what_its_records_hold(spark):
+    """A payload that was changed in the store is found, in its response and in what refers to it."""
+    df = spark.createDataFrame([(i, "u", f"page {i // 2} é") for i in range(6)], "page_id long, url string, html string")
+    records, payloads = warc.write_archive(df)
+    assert warc.describe_archive(spark, records, payloads).where("verified").count() == 6
+    other = warc.new_path(spark, "payloads")
+    spark.read.parquet(payloads).withColumn("payload", F.when(F.col("payload") == F.lit("page 1 é".encode()), F.lit("page 1 e.".encode())).otherwise(F.col("payload"))).write.parquet(other)
+    bad = {r.page_id for r in warc.describe_archive(spark, records, other).where("not verified").collect()}
+    assert bad == {2, 3}
+
+
 def test_archive_threshold_and_nothing(spark):
     df = spark.createDataFrame(PAGES, "page_id long, url string, html string")
     kinds = {r.page_id: r.record_type for r in warc.archived(df, least_bytes=2).collect()}
