@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import sliced, stored, text_rows
+from .shared import sliced, small_enough, stored, text_rows
 
 WORD = re.compile(r"\w+")
 _M = np.uint64(0x9E3779B97F4A7C15)
@@ -223,7 +223,9 @@ def _by_shuffle(docs: DataFrame, seeds: DataFrame, sizes: list[int]) -> DataFram
 
 def remove_contaminated(documents: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The documents that hold no item; all columns stay."""
-    bad = stored(contaminated(documents, benchmark, **options), "leaks").select(F.col("doc_id").alias("_bad_id"), F.col("key").alias("_bad_key")).distinct()
+    bad = stored(contaminated(documents, benchmark, **options).select(F.col("doc_id").alias("_bad_id"), F.col("key").alias("_bad_key")).distinct(), "leaks")
+    if small_enough(bad, 1_000_000):  # two numbers a row
+        bad = F.broadcast(bad)
     id_col, text_col = options.get("id_col", "doc_id"), options.get("text_col", "text")
     key = F.xxhash64(F.coalesce(documents[text_col], F.lit("")))
     return documents.join(bad, documents[id_col].cast("long").eqNullSafe(bad["_bad_id"]) & (key == bad["_bad_key"]), "left_anti")

@@ -7,8 +7,9 @@ Two texts link when the Jaccard similarity of their sets of word shingles reache
 2. One row per document: set size, digest of the set, and the prefix (the rarest shingles of which two linked
    sets must share one).  Equal sets collapse to a class, classes of equal prefix and size to a group.
 3. Groups that share a prefix shingle are compared with one of its groups only, that with the fewest rarer shingles (a number of pairs in
-   proportion to the postings), filtered by size and position, expanded to class representatives and verified on
-   whole texts; components of the verified links follow.
+   proportion to the postings), filtered by size and position, expanded to class representatives, filtered by the
+   most that two sets of such counts by bucket can share, and verified on whole texts; components of the verified
+   links follow.
 4. What is left are pairs that share a prefix shingle and lie in different components.  All of these are verified
    too, so that no link between components is lost, while a hot group of copies never becomes all its pairs.
 
@@ -27,10 +28,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import sliced, small_enough, stored, text_rows
+from .shared import removed, sliced, small_enough, stored, text_keys, text_rows
 
 SKETCH_BITS = 20
 SKETCH_WIDTH = 256
+COUNT_BITS = 7  # a set's shingles are counted in 2**7 buckets of a byte each
 M1, M2, M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
 
@@ -92,16 +94,17 @@ def needed_overlap(n: int, percent: int) -> int:
 
 
 def prefixes(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """(doc_id, key, n, cid, g, prefix): key finds the text again, cid is the set's digest, g the group's number."""
+    """(doc_id, key, check, n, cid, g, prefix, counts): key and check find the text again, cid is the set's digest, g the
+    group's number, counts how many shingles fall into each bucket (null if one has more than a byte holds)."""
     spark = docs.sparkSession
     rank = spark.sparkContext.broadcast(frequency_rank(docs, words))
-    mask, top = np.uint64((1 << SKETCH_BITS) - 1), np.uint64(64 - SKETCH_BITS)
+    mask, top, few = np.uint64((1 << SKETCH_BITS) - 1), np.uint64(64 - SKETCH_BITS), np.uint64((1 << COUNT_BITS) - 1)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = rank.value
         for batch in sliced(batches):
-            n, cid, g, flat, ends = [], [], [], [], [0]
-            for text in batch.column(2).to_pylist():
+            n, cid, g, flat, ends, counts = [], [], [], [], [0], []
+            for text in batch.column(3).to_pylist():
                 h = shingle_hashes(text, words)
                 # a bijection of the hash that sorts by rank first
                 h = (order[(h & mask).astype(np.int64)].astype(np.uint64) << top) | (h >> np.uint64(SKETCH_BITS))
@@ -112,12 +115,14 @@ def prefixes(docs: DataFrame, words: int, percent: int) -> DataFrame:
                 cid.append(xxhash.xxh3_128_digest(h.tobytes()))
                 p = h[: len(h) - needed_overlap(len(h), percent) + 1] if len(h) else h
                 g.append(xxhash.xxh3_64_intdigest(p.tobytes() + len(h).to_bytes(8, "little")) - (1 << 63))
+                buckets = np.bincount((h & few).astype(np.int64), minlength=1 << COUNT_BITS)
+                counts.append(buckets.astype(np.uint8).tobytes() if buckets.max() < 256 else None)
                 flat.append(p.view(np.int64))
                 ends.append(ends[-1] + len(p))
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(flat) if flat else np.zeros(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(cid, pa.binary()), pa.array(g, pa.int64()), lists], names=["doc_id", "key", "n", "cid", "g", "prefix"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(n, pa.int64()), pa.array(cid, pa.binary()), pa.array(g, pa.int64()), lists, pa.array(counts, pa.binary())], names=["doc_id", "key", "check", "n", "cid", "g", "prefix", "counts"])
 
-    return docs.select("doc_id", F.xxhash64("text").alias("key"), "text").mapInArrow(each, "doc_id long, key long, n long, cid binary, g long, prefix array<long>")
+    return docs.select("doc_id", *text_keys(F.col("text")), "text").mapInArrow(each, "doc_id long, key long, check long, n long, cid binary, g long, prefix array<long>, counts binary")
 
 
 def _may_link(a: str, b: str, percent: int) -> str:
@@ -129,11 +134,30 @@ def _may_link(a: str, b: str, percent: int) -> str:
     )
 
 
+def _possible(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Of (a, b) pairs of classes those that can link: two sets share at most the lesser count of each bucket, summed."""
+
+    def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches, 4096):
+            known = np.logical_and(*(c.is_valid().to_numpy(zero_copy_only=False) for c in batch.columns[4:6]))
+            x, y = (np.frombuffer(b"".join(v for v, k in zip(c.to_pylist(), known, strict=True) if k), np.uint8).reshape(-1, 1 << COUNT_BITS) for c in batch.columns[4:6])
+            size = batch.column(2).to_numpy() + batch.column(3).to_numpy()
+            most = np.full(batch.num_rows, np.iinfo(np.int64).max)
+            most[known] = np.minimum(x, y).sum(axis=1, dtype=np.int64)
+            keep = most >= -(-size * percent // (100 + percent))  # shared shingles needed, a whole number
+            yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep)) for c in batch.columns[:2]], names=["a", "b"])
+
+    one = sets.select(F.col("cid").alias("a"), F.col("n").alias("na"), F.col("counts").alias("x"))
+    two = sets.select(F.col("cid").alias("b"), F.col("n").alias("nb"), F.col("counts").alias("y"))
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "na", "nb", "x", "y").mapInArrow(bound, "a binary, b binary")
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """Of (a, b) pairs of classes those whose whole texts link; sets has the key of one text of each class."""
-    wanted = stored(pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).distinct().join(sets, "cid").select("cid", "key"), "wanted")
+    """Of (a, b) pairs of classes those whose whole texts link, stored; sets has the keys of one text of each class."""
+    pairs = stored(_possible(pairs, sets, percent), "possible")
+    wanted = stored(pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).distinct().join(sets, "cid").select("cid", "key", "check"), "wanted")
     few = F.broadcast(wanted) if small_enough(wanted, 500_000) else wanted
-    texts = docs.select(F.xxhash64("text").alias("key"), "text").join(few, "key").dropDuplicates(["cid"]).select("cid", "text")
+    texts = docs.select(*text_keys(F.col("text")), "text").join(few, ["key", "check"]).dropDuplicates(["cid"]).select("cid", "text")
     texts = stored(texts, "texts")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,7 +176,9 @@ def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, words: int, pe
 
     one = texts.select(F.col("cid").alias("a"), F.col("text").alias("x"))
     two = texts.select(F.col("cid").alias("b"), F.col("text").alias("y"))
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(check, "a binary, b binary")
+    found = stored(pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(check, "a binary, b binary"), "links")
+    removed(pairs, wanted, texts)
+    return found
 
 
 def _all_candidates(postings: DataFrame, classes: DataFrame, percent: int, salts: int = 16) -> DataFrame:
@@ -179,7 +205,7 @@ def jaccard_components(documents: DataFrame, words: int = 3, percent: int = 90,
     """
     docs = text_rows(documents, id_col, text_col)
     rows = stored(prefixes(docs, words, percent), "prefixes")
-    classes = stored(rows.where("n > 0").groupBy("cid").agg(F.min("doc_id").alias("first_id"), F.min(F.struct("g", "n", "key")).alias("s"), F.count("*").alias("copies")).select("cid", "first_id", "s.*"), "classes")
+    classes = stored(rows.where("n > 0").groupBy("cid").agg(F.min("doc_id").alias("first_id"), F.min(F.struct("g", "n", "key", "check", "counts")).alias("s"), F.count("*").alias("copies")).select("cid", "first_id", "s.*"), "classes")
     # one prefix for each group
     groups = rows.where("n > 0").select("g", "n", "prefix").groupBy("g", "n").agg(F.min("prefix").alias("prefix"))
     postings = groups.select("g", "n", F.posexplode("prefix").alias("pos", "token"))
@@ -196,7 +222,7 @@ def jaccard_components(documents: DataFrame, words: int = 3, percent: int = 90,
     pairs = pairs.join(spoken.select(F.col("g").alias("g1"), F.col("leader").alias("a")), "g1").join(spoken.select(F.col("g").alias("g2"), F.col("leader").alias("b")), "g2").select("a", "b")
     inside = classes.join(spoken, "g").where("cid <> leader").select(F.col("cid").alias("a"), F.col("leader").alias("b"))
     pairs = stored(pairs.union(inside).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
-    links = stored(_verified(pairs, classes, docs, words, percent), "links")
+    links = _verified(pairs, classes, docs, words, percent)
     label = components(links)
 
     # the rest: pairs in different components that share a prefix shingle or a group
@@ -212,12 +238,12 @@ def jaccard_components(documents: DataFrame, words: int = 3, percent: int = 90,
     u, v = named.alias("u"), named.alias("v")
     within = u.join(v, F.expr("u.g = v.g and u.cid < v.cid and u.label <> v.label")).select(F.col("u.cid").alias("a"), F.col("v.cid").alias("b"))
     rest = stored(rest.union(within).distinct().join(pairs, ["a", "b"], "left_anti"), "rest")
-    more = stored(_verified(rest, classes, docs, words, percent), "links")
+    more = _verified(rest, classes, docs, words, percent)
     links = links.union(more)
     label = components(links)
     if exact_links:
         inner = stored(_all_candidates(postings, classes, percent).join(pairs.union(rest), ["a", "b"], "left_anti"), "inner")
-        links = links.union(stored(_verified(inner, classes, docs, words, percent), "links"))
+        links = links.union(_verified(inner, classes, docs, words, percent))
     degree = links.select(F.col("a").alias("cid")).union(links.select("b")).groupBy("cid").agg(F.count("*").alias("n_links"))
     known = classes.select("cid", "first_id").join(label.withColumnRenamed("node", "cid"), "cid", "left").select("cid", "first_id", F.coalesce("label", "cid").alias("label"))
     least = known.groupBy("label").agg(F.min("first_id").alias("component_id"))

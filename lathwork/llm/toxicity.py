@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import KEPT, sliced, stored, text_keys, text_rows
+from .shared import KEPT, sliced, small_batches, stored, text_keys, text_rows
 
 BITS, FACTORS, MEMO = 19, 4, 150_000
 BEGINNINGS, OFTEN = range(3, 8), (2, 4)
@@ -136,21 +136,30 @@ def fit(documents: DataFrame, labels: DataFrame, max_train_rows: int = 16_000, i
     return bias, np.frombuffer(w, np.float32), np.frombuffer(v, np.float32).reshape(-1, FACTORS)
 
 
+def _scorer(model: tuple[float, np.ndarray, np.ndarray]):
+    bias, w, v = model
+    squares = (v * v).sum(axis=1)
+
+    def of(texts: list[str]) -> np.ndarray:
+        out = np.empty(len(texts))
+        for i, text in enumerate(texts):
+            at = term_places(text)
+            total = v.take(at, axis=0).sum(axis=0, dtype=np.float64)
+            y = bias + w[at].sum(dtype=np.float64) + (total @ total - squares[at].sum(dtype=np.float64)) / (2 * max(1, np.count_nonzero(squares[at])))
+            out[i] = 1 / (1 + np.exp(-np.clip(y, -500, 500)))
+        return out
+
+    return of
+
+
 def score(documents: DataFrame, model: tuple[float, np.ndarray, np.ndarray], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, key and check (two hashes of the text), score, predicted."""
-    known = documents.sparkSession.sparkContext.broadcast(model)
+    known = documents.sparkSession.sparkContext.broadcast(model)  # 10 MB, whatever the input
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bias, w, v = known.value
-        squares = (v * v).sum(axis=1)
+        of = _scorer(known.value)
         for batch in sliced(batches, keep="terms"):
-            out = []
-            for text in batch.column(3).to_pylist():
-                at = term_places(text)
-                total = v.take(at, axis=0).sum(axis=0, dtype=np.float64)
-                y = bias + w[at].sum(dtype=np.float64) + (total @ total - squares[at].sum(dtype=np.float64)) / (2 * max(1, np.count_nonzero(squares[at])))
-                out.append(1 / (1 + np.exp(-np.clip(y, -500, 500))))
-            s = np.array(out, np.float64)
+            s = of(batch.column(3).to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(s), pa.array((s >= 0.5).astype(np.int32))], names=["doc_id", "key", "check", "score", "predicted"])
 
     return text_rows(documents, id_col, text_col).select("doc_id", *text_keys(F.col("text")), "text").mapInArrow(each, "doc_id long, key long, check long, score double, predicted int")
@@ -168,9 +177,18 @@ def toxicity(documents: DataFrame, labels: DataFrame, max_train_rows: int = 16_0
 
 
 def remove_toxic(documents: DataFrame, labels: DataFrame, max_train_rows: int = 16_000, threshold: float = 0.5) -> DataFrame:
-    """The documents whose score stays under the threshold; all columns stay.  Rejected texts are few and narrow: the
-    anti-join moves their keys, not the texts, while they are small enough to broadcast."""
-    bad = score(documents, fit(documents, labels, max_train_rows)).where(F.col("score") >= threshold)
-    bad = stored(bad.select(F.col("key").alias("_bad_key"), F.col("check").alias("_bad_check")).distinct(), "toxic")
-    key, check = text_keys(F.coalesce(documents["text"], F.lit("")))
-    return documents.join(bad, (key == bad["_bad_key"]) & (check == bad["_bad_check"]), "left_anti")
+    """The documents whose score stays under the threshold; all columns stay, and without labels all documents.
+
+    Rows are scored where they are and let through or not, so nothing moves."""
+    model = fit(documents, labels, max_train_rows)
+    if model[0] == 0.0 and not model[1].any():  # nothing was learned
+        return documents
+    known, at = documents.sparkSession.sparkContext.broadcast(model), documents.columns.index("text")
+    small_batches(documents.sparkSession)
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = _scorer(known.value)
+        for batch in sliced(batches, keep="terms"):
+            yield batch.filter(pa.array(of([t or "" for t in batch.column(at).to_pylist()]) < threshold))
+
+    return documents.mapInArrow(each, documents.schema)
