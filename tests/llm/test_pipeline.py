@@ -49,3 +49,16 @@ def test_stages_like_brute_force(spark, sf_dir, documents):
 def test_run(spark, sf_dir):
     out = corpus_pipeline.run(spark, sf_dir)
     assert out.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"] and out.count() > 0
+
+
+def test_stages_on_nothing_and_on_clashing_names(spark, sf_dir, odd_documents, no_documents):
+    """Each stage on an empty table, and on awkward rows with columns named like those used inside."""
+    clash = odd_documents.selectExpr("*", "1 as _id", "2 as _key", "3 as _bad_key", "'x' as _pii_key", "'y' as _pii_spans", "4 as component_id", "5 as row", "6 as `check`")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, no_documents, sf_dir).count() == 0, name
+        out = stored(stage(spark, stored(clash, "in"), sf_dir), "out")
+        assert out.columns == clash.columns, name
+        kept, had = (Counter(tuple(r) for r in df.select("doc_id", "text", "lang", "score").collect()) for df in (out, clash))
+        assert kept == had or name == "ngram_jaccard_join" and sum(kept.values()) == sum(had.values()) - 2, name
+    assert corpus_pipeline.STAGES[-1][1](spark, no_documents, sf_dir).count() == 0
+    assert corpus_pipeline.STAGES[-1][1](spark, stored(clash, "in"), sf_dir).select("doc_id", "piece").where("piece = 0").count() == clash.count()

@@ -134,6 +134,9 @@ def test_ids_in_files(spark, odd_documents, no_documents, documents):
     assert [r.start for r in got] == [0, *np.cumsum([r.n_tokens for r in got])[:-1].tolist()]
     assert [r.doc_id or -1 for r in got] == sorted(r.doc_id or -1 for r in got)
     assert id_codec.coded_ids(no_documents).count() == 0
+    files = id_codec.write_ids(df)
+    with pytest.raises(Exception, match="list of documents is damaged"):
+        id_codec.read_ids(files.withColumn("lengths", F.reverse("lengths"))).count()
 
 
 def test_packing(spark, odd_documents, no_documents, documents):
