@@ -2,6 +2,9 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the
 next one's docs.  All but the last return the columns of documents.
+
+In every stage a null text counts as an empty one and stays null, a null doc_id stays null, a null in any other
+column is passed on, further columns whatever their names are passed on, and an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -10,11 +13,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lathwork.llm import decontamination, jaccard_join, packing, pii, toxicity
-from lathwork.llm.shared import stored, table
+from lathwork.llm.shared import small_enough, stored, table
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the factorization machine scores under 0.5; it learns from the labels of those it is given."""
+    """Documents that the factorization machine scores under 0.5; it learns from the labels of those it is given.
+
+    Empty and null texts get the machine's bias, which is under 0.5 where most labels are 0, and a very long text one
+    score for all of it.  Equal rows stay or go together.  Without labels the score is 0.5 for all, so all would
+    go: then all stay, as nothing speaks against any.
+    """
     return toxicity.remove_toxic(docs, table(spark, sf_dir, "labels"))
 
 
@@ -31,6 +39,9 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     extra, again = stored(extra, "extra"), stored(again, "again")
     key = F.xxhash64(F.coalesce(docs["text"], F.lit("")))
     is_in = lambda t: docs["doc_id"].cast("long").eqNullSafe(t["_id"]) & (key == t["_key"])
+    # ids and keys of a hundred bytes or less go to every task up to a million; beyond that the documents move once
+    if small_enough(extra, 1_000_000):
+        extra = F.broadcast(extra)
     kept = docs.join(extra, is_in(extra), "left_anti")
     if again.isEmpty():
         return kept
@@ -39,17 +50,20 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no benchmark item is covered by half or more."""
+    """Documents in which no benchmark item is covered by half or more.
+
+    Equal rows stay or go together; empty texts hold no item; with an empty benchmark all stay.
+    """
     return decontamination.remove_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with personal data masked."""
+    """All documents, with personal data masked; equal rows are masked alike, and n_chars follows the text."""
     return pii.redact(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row per piece of at most 2,048 tokens and its place in a sequence."""
+    """One row per piece of at most 2,048 tokens and its place in a sequence; equal rows are packed each, an empty text is the end id."""
     return packing.pack(docs)
 
 
