@@ -153,14 +153,14 @@ _CLASSIFIED = "WITH" + _FACES + f""",
 
 
 @query(_CLASSIFIED + """
-    SELECT id, CASE WHEN sure THEN category ELSE 'unknown' END AS category, round(score, 6) AS score, round(margin, 6) AS margin, CASE WHEN sure THEN rule_id END AS rule_id,
+    SELECT id, CASE WHEN sure THEN category ELSE 'unknown' END AS category, round(score, 6) AS score, round(margin, 6) + 0 AS margin, CASE WHEN sure THEN rule_id END AS rule_id,
            round(CASE WHEN sure THEN score ELSE greatest(0.25, least(0.9, 1 - 0.6 * score)) END, 6) AS confidence FROM verdict
 """)
 def classify_faces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every face classified by the rule bank over its evidence."""
     f = model_faces(spark, sf_dir)
     out = faces.classified(f, floor_levels(f))
-    return out.select("id", "category", F.round("score", 6).alias("score"), F.round("margin", 6).alias("margin"), "rule_id", F.round("confidence", 6).alias("confidence"))
+    return out.select("id", "category", F.round("score", 6).alias("score"), (F.round("margin", 6) + 0.0).alias("margin"), "rule_id", F.round("confidence", 6).alias("confidence"))
 
 
 @query(_CLASSIFIED + """,
@@ -261,7 +261,7 @@ def customer_hulls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-    WITH o AS (SELECT l_orderkey AS room, l_quantity / 10 AS area, ((l_partkey * 7) % 360)::DOUBLE AS dir, l_linenumber * 0.5::DOUBLE AS sill, l_linenumber * 0.5::DOUBLE + 1.2 + l_tax * 10 AS head FROM lineitem WHERE l_returnflag <> 'R' AND l_quantity / 10 > 0.1),
+    WITH o AS (SELECT l_orderkey AS room, l_quantity / 8 AS area, ((l_partkey * 7) % 360)::DOUBLE AS dir, l_linenumber * 0.5::DOUBLE AS sill, l_linenumber * 0.5::DOUBLE + 1.2 + l_tax * 10 AS head FROM lineitem WHERE l_returnflag <> 'R' AND l_quantity / 8 > 0.1),
     x AS (SELECT DISTINCT a.room FROM o a JOIN o b ON a.room = b.room AND least(abs(a.dir - b.dir), 360 - abs(a.dir - b.dir)) > 45),
     p AS (SELECT room, count(*) AS n, sum(area) AS total, max(area) AS a1, max(head) - min(sill) AS rise, min(least(abs(dir - 180), 360 - abs(dir - 180))) AS away FROM o GROUP BY 1),
     r AS (SELECT o_orderkey AS room, o_totalprice / 1000 AS volume, p.*, x.room IS NOT NULL AS across FROM orders LEFT JOIN p ON p.room = o_orderkey LEFT JOIN x ON x.room = o_orderkey),
@@ -275,7 +275,7 @@ def ventilation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Natural ventilation with orders as rooms and their lines as openings."""
     rooms = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_totalprice") / 1000).alias("volume"))
     sill = F.col("l_linenumber") * 0.5
-    o = table(spark, sf_dir, "lineitem").where("l_returnflag <> 'R'").select(F.col("l_orderkey").alias("o_orderkey"), (F.col("l_quantity") / 10).alias("area"), ((F.col("l_partkey") * 7) % 360).cast("double").alias("direction"), sill.alias("sill"), (sill + 1.2 + F.col("l_tax") * 10).alias("head"))
+    o = table(spark, sf_dir, "lineitem").where("l_returnflag <> 'R'").select(F.col("l_orderkey").alias("o_orderkey"), (F.col("l_quantity") / 8).alias("area"), ((F.col("l_partkey") * 7) % 360).cast("double").alias("direction"), sill.alias("sill"), (sill + 1.2 + F.col("l_tax") * 10).alias("head"))
     return engineering.ventilation(rooms, o, "o_orderkey", "volume", 24.0, 33.0, 2.5, 180.0)
 
 
