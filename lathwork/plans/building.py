@@ -14,7 +14,7 @@ SURFACES = ["floor", "wall_front", "other", "ceiling", "roof_slope", "structure"
 TEXTURES = ["glass", "oak wood", "concrete", "brick", "steel", "ceramic tile", "gypsum"]
 
 _FACES = f"""
-    f0 AS (SELECT l_suppkey AS model, l_orderkey || '/' || l_linenumber || '/' || l_partkey AS id, list_extract({NAMES}, (l_partkey % 16 + 1)::INTEGER) AS name,
+    f0 AS (SELECT l_suppkey AS model, l_orderkey || '/' || l_linenumber || '/' || l_partkey || '/' || floor(l_extendedprice * 100 + 0.5)::BIGINT AS id, list_extract({NAMES}, (l_partkey % 16 + 1)::INTEGER) AS name,
                   'Group ' || (l_partkey % 9) || '>' || list_extract({NAMES}, (l_partkey % 16 + 1)::INTEGER) || '>face' AS path,
                   list_extract({SURFACES}, ((l_partkey + l_linenumber) % 6 + 1)::INTEGER) AS surface, list_extract({TEXTURES}, (l_partkey % 7 + 1)::INTEGER) AS texture,
                   ((l_partkey * 7) % 41) * 0.5::DOUBLE AS x0, (l_orderkey % 3) * 3.0::DOUBLE + CASE WHEN l_returnflag = 'R' THEN 0.9::DOUBLE ELSE 0 END AS y0, ((l_orderkey * 3) % 37) * 0.5::DOUBLE AS z0,
@@ -52,7 +52,7 @@ def model_faces(spark: SparkSession, sf_dir: str) -> DataFrame:
     turn, q = F.col("l_linenumber") % 4, F.col("l_quantity")
     pick = lambda *v: F.when(turn == 0, v[0]).when(turn == 1, v[1]).when(turn == 2, v[2]).otherwise(v[3])
     d = li.select(
-        F.col("l_suppkey").alias("model"), F.concat_ws("/", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string"), F.col("l_partkey").cast("string")).alias("id"), name.alias("name"),
+        F.col("l_suppkey").alias("model"), F.concat_ws("/", *(c.cast("string") for c in (F.col("l_orderkey"), F.col("l_linenumber"), F.col("l_partkey"), F.floor(F.col("l_extendedprice") * 100 + 0.5)))).alias("id"), name.alias("name"),
         F.concat(F.lit("Group "), (F.col("l_partkey") % 9).cast("string"), F.lit(">"), name, F.lit(">face")).alias("path"), F.lit(None).cast("string").alias("layer"), F.lit(None).cast("string").alias("colour"),
         _listed(SURFACES, (F.col("l_partkey") + F.col("l_linenumber")) % 6).alias("surface"), _listed(TEXTURES, F.col("l_partkey") % 7).alias("texture"),
         ((F.col("l_partkey") * 7) % 41 * 0.5).alias("x0"), ((F.col("l_orderkey") % 3) * 3.0 + F.when(F.col("l_returnflag") == "R", 0.9).otherwise(0.0)).alias("y0"), ((F.col("l_orderkey") * 3) % 37 * 0.5).alias("z0"),
