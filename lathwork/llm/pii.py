@@ -201,11 +201,12 @@ def redact(documents: DataFrame, **options) -> DataFrame:
 
     Base spans are found again where the text is; only the few documents with added spans bring theirs by a join.
     """
-    more = personal_data(documents, **options).where("n_added > 0").select(F.col("key").alias("_pii_key"), F.col("check").alias("_pii_check"), F.col("spans").alias("_pii_spans")).distinct()
+    names = documents.columns
+    key_name, check_name, spans_name = ("pii_" + x + "_" * (1 + max(map(len, names))) for x in ("key", "check", "spans"))  # longer than any name there is
+    more = personal_data(documents, **options).where("n_added > 0").select(F.col("key").alias(key_name), F.col("check").alias(check_name), F.col("spans").alias(spans_name)).distinct()
     more = _few(stored(more, "added"), 100_000)
     key, check = text_keys(F.coalesce(documents["text"], F.lit("")))
-    marked = documents.join(more, (key == more["_pii_key"]) & (check == more["_pii_check"]), "left").drop("_pii_key", "_pii_check")
-    names = documents.columns
+    marked = documents.join(more, (key == more[key_name]) & (check == more[check_name]), "left").drop(key_name, check_name)
     at_text, at_spans = names.index("text"), len(names)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
