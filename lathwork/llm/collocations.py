@@ -1,10 +1,10 @@
 """Phrases whose words stand together more often than apart, by language.
 
-All 1- to max_n-grams of the pieces between punctuation marks are exploded into rows and counted by language.  A
-phrase can be cut into a first part and a rest; both occur at least as often as the phrase, so counts under
-``min_count`` are needed for nothing but the total and only single words keep them.  Phrases that mostly occur inside
-a longer one are dropped: if a longer phrase holds enough of a phrase's occurrences, so does some phrase of one word
-more, hence an anti-join with one-word extensions finds all of them.
+All 1- to max_n-grams of the pieces between punctuation marks are exploded into rows and counted by language, single
+words from the counts of pairs.  A phrase can be cut into a first part and a rest; both occur at least as often as the
+phrase, so counts under ``min_count`` are needed for nothing but the total and only single words keep them.  Phrases
+that mostly occur inside a longer one are dropped: if a longer phrase holds enough of a phrase's occurrences, so does
+some phrase of one word more, hence an anti-join with one-word extensions finds all of them.
 """
 
 from __future__ import annotations
@@ -18,7 +18,6 @@ from pyspark.sql.window import Window
 from .shared import small_enough, stored
 
 PIECE_END = r"[.,;:!?\x0A-\x0D]"
-WORD = r"[^\x20\x09]+"
 #: Counts up to this number of rows go to all tasks, at some 60 bytes each; more are joined by a shuffle.
 BROADCAST_COUNTS = 200_000
 #: Rows of one language are ranked in so many ranges of hashes before the best of each meet.
@@ -26,25 +25,36 @@ SALTS = 64
 
 
 def ngram_rows(docs: DataFrame, max_n: int, lang_col: str = "lang", text_col: str = "text") -> DataFrame:
-    """(lang, phrase): one row for each occurrence of each 1- to max_n-gram within a piece."""
+    """(key): phrase, tab and language for each occurrence of each 2- to max_n-gram within a piece; the last word of a piece stands alone."""
     text = F.translate(F.coalesce(F.col(text_col), F.lit("")), string.ascii_uppercase, string.ascii_lowercase)
-    lang = F.coalesce(F.col(lang_col).cast("string"), F.lit("und"))
+    lang = F.concat(F.lit("\t"), F.coalesce(F.col(lang_col).cast("string"), F.lit("und")))
     pieces = docs.select(lang.alias("lang"), F.explode(F.split(text, PIECE_END, -1)).alias("piece"))
-    words = pieces.select("lang", F.expr(f"regexp_extract_all(piece, r'({WORD})', 0)").alias("w")).where(F.size("w") > 0)
+    words = pieces.select("lang", F.array_remove(F.split(F.translate("piece", "\t", " "), " ", -1), "").alias("w")).where(F.size("w") > 0)
     shifted = [F.slice("w", k, F.size("w")).alias(f"w{k}") for k in range(1, max_n + 1)]
     rows = words.select("lang", F.inline(F.arrays_zip(*shifted)))
-    phrases = [F.col("w1")]
-    for k in range(2, max_n + 1):
-        phrases.append(F.concat(phrases[-1], F.lit(" "), F.col(f"w{k}")))  # null beyond the piece's end
-    return rows.select("lang", F.explode(F.array(*phrases)).alias("phrase")).where("phrase is not null")
+    phrases = [F.concat(F.concat_ws(" ", "w1", "w2"), F.col("lang"))]
+    for k in range(3, max_n + 1):
+        parts = [x for i in range(1, k + 1) for x in (F.lit(" "), F.col(f"w{i}"))][1:]
+        phrases.append(F.concat(*parts, F.col("lang")))  # null beyond the piece's end
+    return rows.select(F.explode(F.array(*phrases)).alias("key")).where("key is not null")
 
 
 def phrase_counts(docs: DataFrame, max_n: int, min_count: int, lang_col: str = "lang", text_col: str = "text") -> DataFrame:
-    """(lang, phrase, words, f), stored: single words, and longer phrases of at least ``min_count`` occurrences."""
-    counts = ngram_rows(docs, max_n, lang_col, text_col).groupBy("lang", "phrase").agg(F.count("*").alias("f"))
-    words = F.length("phrase") - F.length(F.replace("phrase", F.lit(" "), F.lit(""))) + 1
-    counts = counts.withColumn("words", words).where((F.col("words") == 1) | (F.col("f") >= min_count))
-    return stored(counts, "phrase-counts")
+    """(lang, phrase, words, f), stored: single words, and longer phrases of at least ``min_count`` occurrences.
+
+    A word's count is the sum over the pairs that it begins and the pieces that it ends, so single words are exploded
+    from the counts of pairs, not from the texts.  Phrase and language are one key, the phrase first: rows are smaller,
+    and where a task's counts are sorted their first bytes tell them apart.
+    """
+    counts = ngram_rows(docs, max_n, lang_col, text_col).groupBy("key").agg(F.count("*").alias("f"))
+    phrase, lang = F.substring_index("key", "\t", 1), F.expr("substr(key, instr(key, '\t'))")  # words hold no tab
+    word, pair = F.substring_index(phrase, " ", 1), F.substring_index(phrase, " ", 2)
+    often = (F.col("f") >= min_count) & (word != phrase)
+    none = F.array().cast("array<string>")
+    out = F.concat(F.when(often, F.array("key")).otherwise(none), F.when(pair == phrase, F.array(F.concat(word, lang))).otherwise(none))
+    counts = counts.select("f", F.explode(out).alias("key")).groupBy("key").agg(F.sum("f").alias("f"))
+    words = F.length(phrase) - F.length(F.replace(phrase, F.lit(" "), F.lit(""))) + 1
+    return stored(counts.select(F.substr(lang, F.lit(2)).alias("lang"), phrase.alias("phrase"), words.alias("words"), "f"), "phrase-counts")
 
 
 def collocations(docs: DataFrame, max_n: int = 3, min_count: int = 10, top: int = 2000, absorbed_percent: int = 50, lang_col: str = "lang", text_col: str = "text", broadcast_counts: int = BROADCAST_COUNTS) -> DataFrame:
@@ -67,14 +77,9 @@ def collocations(docs: DataFrame, max_n: int = 3, min_count: int = 10, top: int
 
     cuts = found.select("lang", "phrase", "words", "a", F.explode(F.sequence(F.lit(1), F.col("words") - 1)).alias("k"))
     cuts = cuts.withColumn("left", F.expr("substring_index(phrase, ' ', k)")).withColumn("right", F.expr("substring_index(phrase, ' ', k - words)"))
-    if not small:  # a word that begins or ends many phrases is dealt over salts
-        cuts = cuts.withColumn("salt", F.pmod(F.xxhash64("phrase"), F.lit(8)).cast("int"))
-        part = often.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(7))))
-    else:
-        part = often
-    by = ["lang"] if small else ["lang", "salt"]
-    side = lambda name, f: near(part.select(*by, F.col("phrase").alias(name), F.col("f").alias(f)))
-    cuts = cuts.join(side("left", "l"), [*by, "left"]).join(side("right", "r"), [*by, "right"])
+    # a word that begins or ends many phrases is one key of a join of counts, which Spark splits where it is skewed
+    side = lambda name, f: near(often.select("lang", F.col("phrase").alias(name), F.col("f").alias(f)))
+    cuts = cuts.join(side("left", "l"), ["lang", "left"]).join(side("right", "r"), ["lang", "right"])
     wide = lambda c: F.col(c).cast("decimal(19,0)")
     square = (wide("a") * wide("a")).cast("decimal(31,0)")
     cuts = cuts.withColumn("aa", F.lit(1_000_000).cast("decimal(7,0)") * square).withColumn("lr", wide("l") * wide("r"))
