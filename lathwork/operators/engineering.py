@@ -107,21 +107,23 @@ def stack_flow(area: Column | str, height: Column | str, inside: Column | str |
     return 0.65 * _c(area) * F.sqrt(2 * 9.81 * _c(height) * F.abs(_c(inside) - _c(outside)) / (_c(outside) + 273.15))
 
 
-def ventilation(rooms: DataFrame, openings: DataFrame, room: str, volume: str, inside: float, outside: float, wind_speed: float, wind_from: float, least_area: float = 0.1) -> DataFrame:
+def ventilation(rooms: DataFrame, openings: DataFrame, room: str, volume: str, inside: float, outside: float, wind_speed: float, wind_from: float, least_area: float = 0.1, use: str | None = None) -> DataFrame:
     """Per room its kind of ventilation, effective opening area, flow (m3/s), air changes an hour and side of the wind.
 
     openings are exterior ones with room, area, direction (degrees), sill and head.  Some two of a room face more
     than 45 degrees apart just when the widest gap between directions next to each other leaves more than 45 of
-    the circle: a window by direction, not the pairs.
+    the circle: a window by direction, not the pairs.  With ``use``, a column of rooms, a staircase draws air up whatever
+    its openings' rise.
     """
     o = openings.where(F.col("area") > least_area).select(room, "area", F.coalesce("direction", F.lit(0.0)).alias("direction"), "sill", "head")
     w = Window.partitionBy(room).orderBy("direction")
     away = turn_between("direction", F.lit(wind_from))
     o = o.withColumn("_gap", F.col("direction") - F.lag("direction").over(w)).withColumn("_away", away)
     per = o.groupBy(room).agg(F.count("*").alias("openings"), F.sum("area").alias("_all"), F.max("area").alias("_largest"), (F.max("head") - F.min("sill")).alias("_rise"), F.min("_away").alias("_away"), F.greatest(F.coalesce(F.max("_gap"), F.lit(0.0)), F.min("direction") + 360 - F.max("direction")).alias("_widest"))
-    out = rooms.select(room, F.col(volume).alias("_volume")).join(per, room, "left")
+    stairs = F.coalesce(F.col(use) == "staircase", F.lit(False)) if use else F.lit(False)
+    out = rooms.select(room, F.col(volume).alias("_volume"), stairs.alias("_stairs")).join(per, room, "left")
     cross, many = F.col("_widest") < 315, F.col("openings") > 1
-    out = out.withColumn("kind", F.when(F.col("openings").isNull(), "no_exterior_ventilation").when(cross, "cross_ventilation").when((F.col("_rise") > 2.5) & many, "stack_assisted").otherwise("single_sided"))
+    out = out.withColumn("kind", F.when(F.col("openings").isNull(), "no_exterior_ventilation").when(cross, "cross_ventilation").when(((F.col("_rise") > 2.5) | F.col("_stairs")) & many, "stack_assisted").otherwise("single_sided"))
     rest = F.col("_all") - F.col("_largest")
     through = F.sqrt(F.lit(2.0)) * F.col("_largest") * rest / F.sqrt(F.col("_largest") * F.col("_largest") + rest * rest)
     out = out.withColumn("_a", F.coalesce(F.when(cross & many, through).otherwise(F.col("_all") / 2), F.lit(0.0)))
@@ -173,22 +175,28 @@ def illuminance(rooms: DataFrame, use: str, confidence: str, candidates: str) ->
 ROLE_EXTRA = {"exterior_wall": 6.0, "ceiling": 12.0, "roof": 12.0, "interior_wall": -3.0, "floor": -3.0}
 
 
-def cooling_loads(rooms: DataFrame, surfaces: DataFrame, windows: DataFrame, room: str, warmer: float, use: str = "use", area: str = "area", people: str = "people", u_default: float = 2.8, u_glass: float = 5.8, shading: float = 0.81, solar: float = 0.7, humidity: float = 60.0, margin: float = 0.15) -> DataFrame:
+def cooling_loads(rooms: DataFrame, surfaces: DataFrame, windows: DataFrame, room: str, warmer: float, use: str = "use", area: str = "area", people: str = "people", u_default: float = 2.8, u_glass: float = 5.8, shading: float = 0.81, solar: float = 0.7, humidity: float = 60.0, margin: float = 0.15, components: DataFrame | None = None) -> DataFrame:
     """Eight parts of each room's cooling load in W, sensible, latent and total, and the capacity to be put in.
 
     surfaces have room, role, area, u (null or 0: ``u_default``), windows room and area; rooms a use, a floor area and people.
+    components (room, load in W, null for none, and count) add their loads to the equipment.
     """
     dt = max(0.0, warmer)
     extra = F.create_map(*(F.lit(x) for kv in ROLE_EXTRA.items() for x in kv))[F.col("role")]
     u = F.when(F.coalesce("u", F.lit(0.0)) != 0, F.col("u")).otherwise(u_default)
     walls = surfaces.groupBy(room).agg(F.sum(F.col("area") * u * F.greatest(F.coalesce(extra + dt, F.lit(0.0)), F.lit(0.0))).alias("envelope"))
     glass = windows.groupBy(room).agg(F.sum("area").alias("_glass"))
-    r = with_profile(rooms.join(walls, room, "left").join(glass, room, "left").fillna(0.0, ["envelope", "_glass"]), use)
+    r = rooms.join(walls, room, "left").join(glass, room, "left")
+    if components is not None:
+        r = r.join(components.groupBy(room).agg(F.sum(F.col("load") * F.col("count")).alias("_machines")), room, "left")
+    else:
+        r = r.withColumn("_machines", F.lit(0.0))
+    r = with_profile(r.fillna(0.0, ["envelope", "_glass", "_machines"]), use)
     n = F.when(F.coalesce(people, F.lit(0)) != 0, F.col(people)).otherwise(1)
     fresh = n * 0.008 + F.col(area) * 0.0003
     parts = {
         "envelope": F.col("envelope"), "glazing": F.col("_glass") * u_glass * dt, "sun": F.col("_glass") * shading * solar * 350.0,
-        "people_sensible": n * F.col("p_sensible"), "people_latent": n * F.col("p_latent"), "light": F.col(area) * F.col("p_lighting") * 1.2, "equipment": F.col(area) * F.col("p_equipment"),
+        "people_sensible": n * F.col("p_sensible"), "people_latent": n * F.col("p_latent"), "light": F.col(area) * F.col("p_lighting") * 1.2, "equipment": F.col(area) * F.col("p_equipment") + F.col("_machines"),
         "air_sensible": 1.2 * 1000 * fresh * dt, "air_latent": 1.2 * 2500 * fresh * (max(0.0, humidity - 50) * 0.00015),
     }
     r = r.select(room, *(v.alias("_" + k) for k, v in parts.items()))

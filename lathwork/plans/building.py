@@ -37,7 +37,8 @@ _FACES = f"""
                       WHEN surface = 'floor' OR (sy <= 0.08 AND sx >= 0.4 AND sz >= 0.4 AND regexp_matches(t, 'lantai|floor|keramik|ubin|tile|parket|sand|ground|grass|paver|paving|brick')) THEN 'floor'
                       WHEN surface = 'ceiling' OR (sy <= 0.08 AND sx >= 0.4 AND sz >= 0.4 AND regexp_matches(t, 'plafon|ceiling|gypsum|langit')) THEN 'ceiling'
                       WHEN surface = 'roof_slope' THEN 'roof' ELSE 'other' END AS part FROM f2),
-    lv AS (SELECT model, list_sort(list_distinct(list(y0))) AS levels FROM f WHERE surface = 'floor' GROUP BY model)
+    -- a model without a floor has one level, its lowest
+    lv AS (SELECT model, CASE WHEN count(*) FILTER (surface = 'floor') > 0 THEN list_sort(list(DISTINCT y0) FILTER (surface = 'floor')) ELSE [min(y0)] END AS levels FROM f GROUP BY model)
 """
 
 
@@ -65,9 +66,9 @@ def model_faces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def floor_levels(df: DataFrame) -> DataFrame:
-    """(model, levels): the heights of a model's floors, in order."""
-    per = df.where("surface = 'floor'").select("model", "y0").distinct()
-    return per.groupBy("model").agg(F.array_sort(F.collect_list("y0")).alias("levels"))
+    """(model, levels): the heights of a model's floors, in order; of one without floors its lowest height."""
+    per = df.groupBy("model").agg(F.array_sort(F.collect_set(F.when(F.col("surface") == "floor", F.col("y0")))).alias("levels"), F.min("y0").alias("low"))
+    return per.select("model", F.when(F.size("levels") > 0, F.col("levels")).otherwise(F.array("low")).alias("levels"))
 
 
 @query("WITH" + _FACES + """
@@ -179,7 +180,7 @@ def classification_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("WITH" + _FACES + """,
-    rooms AS (SELECT * FROM f WHERE part = 'floor' AND area >= 12 AND flat),
+    rooms AS (SELECT * FROM f WHERE part = 'floor' AND flat),
     k AS (SELECT r.model, r.id, w.id AS wid, w.y0, w.y1, (r.y0 + r.y1) / 2 AS fy, w.y1 - (r.y0 + r.y1) / 2 AS up, w.sy AS sy,
                  greatest(least(r.sx, r.sz) * 0.08, 0.45) AS reach, least(abs(w.cx - r.x0), abs(w.cx - r.x1)) AS xe, least(abs(w.cz - r.z0), abs(w.cz - r.z1)) AS ze,
                  greatest(0, least(r.z1, w.z1) - greatest(r.z0, w.z0)) / greatest(least(r.sz, w.sz), 0.001) AS zo, greatest(0, least(r.x1, w.x1) - greatest(r.x0, w.x0)) / greatest(least(r.sx, w.sx), 0.001) AS xo,
@@ -200,7 +201,7 @@ def classification_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 def room_heights(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Heights of rooms from the walls beside them, else from what covers them."""
     f = model_faces(spark, sf_dir)
-    rooms = f.where((F.col("part") == "floor") & (F.col("area") >= 12) & faces.is_flat())
+    rooms = f.where((F.col("part") == "floor") & faces.is_flat())
     return faces.room_heights(rooms, f, 3.2).select("id", F.round("height", 4).alias("height"), "by")
 
 
@@ -222,7 +223,7 @@ def distinct_surfaces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("WITH" + _FACES + """,
-    rooms AS (SELECT * FROM f WHERE part = 'floor' AND area >= 12 AND flat),
+    rooms AS (SELECT * FROM f WHERE part = 'floor' AND flat),
     s AS (SELECT model, id, 'z' AS axis, x0 AS plane, z0 AS lo, z1 AS hi FROM rooms UNION ALL SELECT model, id, 'z', x1, z0, z1 FROM rooms UNION ALL SELECT model, id, 'x', z0, x0, x1 FROM rooms UNION ALL SELECT model, id, 'x', z1, x0, x1 FROM rooms),
     w AS (SELECT model, unnest([{'axis': 'z', 'plane': cx, 'lo': z0, 'hi': z1}, {'axis': 'x', 'plane': cz, 'lo': x0, 'hi': x1}]) AS u FROM f WHERE part = 'walls'),
     i AS (SELECT s.id, s.axis, s.plane, greatest(u.lo, s.lo) AS a, least(u.hi, s.hi) AS b FROM s JOIN w ON w.model = s.model AND u.axis = s.axis AND abs(u.plane - s.plane) <= 0.3 AND least(u.hi, s.hi) > greatest(u.lo, s.lo)),
@@ -234,7 +235,7 @@ def distinct_surfaces(spark: SparkSession, sf_dir: str) -> DataFrame:
 def wall_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How much of each floor's outline walls cover."""
     f = model_faces(spark, sf_dir)
-    rooms = f.where((F.col("part") == "floor") & (F.col("area") >= 12) & faces.is_flat())
+    rooms = f.where((F.col("part") == "floor") & faces.is_flat())
     corner = lambda x, z: F.struct(F.col(x).alias("x"), F.col(z).alias("z"))
     outline = rooms.select("model", "id", F.array(corner("x0", "z0"), corner("x1", "z0"), corner("x1", "z1"), corner("x0", "z1")).alias("p"))
     sides = boundaries.segments(outline, ["model", "id"], "p")
@@ -264,8 +265,8 @@ def customer_hulls(spark: SparkSession, sf_dir: str) -> DataFrame:
     WITH o AS (SELECT l_orderkey AS room, l_quantity / 8 AS area, ((l_partkey * 7) % 360)::DOUBLE AS dir, l_linenumber * 0.5::DOUBLE AS sill, l_linenumber * 0.5::DOUBLE + 1.2 + l_tax * 10 AS head FROM lineitem WHERE l_returnflag <> 'R' AND l_quantity / 8 > 0.1),
     x AS (SELECT DISTINCT a.room FROM o a JOIN o b ON a.room = b.room AND least(abs(a.dir - b.dir), 360 - abs(a.dir - b.dir)) > 45),
     p AS (SELECT room, count(*) AS n, sum(area) AS total, max(area) AS a1, max(head) - min(sill) AS rise, min(least(abs(dir - 180), 360 - abs(dir - 180))) AS away FROM o GROUP BY 1),
-    r AS (SELECT o_orderkey AS room, o_totalprice / 1000 AS volume, p.*, x.room IS NOT NULL AS across FROM orders LEFT JOIN p ON p.room = o_orderkey LEFT JOIN x ON x.room = o_orderkey),
-    k AS (SELECT *, CASE WHEN n IS NULL THEN 'no_exterior_ventilation' WHEN across THEN 'cross_ventilation' WHEN rise > 2.5 AND n > 1 THEN 'stack_assisted' ELSE 'single_sided' END AS kind,
+    r AS (SELECT o_orderkey AS room, o_totalprice / 1000 AS volume, o_custkey % 5 = 0 AS stairs, p.*, x.room IS NOT NULL AS across FROM orders LEFT JOIN p ON p.room = o_orderkey LEFT JOIN x ON x.room = o_orderkey),
+    k AS (SELECT *, CASE WHEN n IS NULL THEN 'no_exterior_ventilation' WHEN across THEN 'cross_ventilation' WHEN (rise > 2.5 OR stairs) AND n > 1 THEN 'stack_assisted' ELSE 'single_sided' END AS kind,
                  coalesce(CASE WHEN across AND n >= 2 THEN sqrt(2.0) * a1 * (total - a1) / sqrt(a1 * a1 + (total - a1) * (total - a1)) ELSE total * 0.5 END, 0) AS a FROM r),
     q AS (SELECT *, floor(greatest(0.6 * a * 2.5, 0.65 * a * sqrt(2 * 9.81 * coalesce(rise, 0) * abs(24.0 - 33.0) / (33 + 273.15))) * 100 + 0.5) / 100 AS flow FROM k)
     SELECT room AS o_orderkey, kind, floor(a * 100 + 0.5) / 100 AS effective_area, flow, floor(flow * 3600 / greatest(1, volume) * 10 + 0.5) / 10 AS air_changes,
@@ -273,10 +274,10 @@ def customer_hulls(spark: SparkSession, sf_dir: str) -> DataFrame:
 """)
 def ventilation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Natural ventilation with orders as rooms and their lines as openings."""
-    rooms = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_totalprice") / 1000).alias("volume"))
+    rooms = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_totalprice") / 1000).alias("volume"), F.when(F.col("o_custkey") % 5 == 0, "staircase").otherwise("living").alias("use"))
     sill = F.col("l_linenumber") * 0.5
     o = table(spark, sf_dir, "lineitem").where("l_returnflag <> 'R'").select(F.col("l_orderkey").alias("o_orderkey"), (F.col("l_quantity") / 8).alias("area"), ((F.col("l_partkey") * 7) % 360).cast("double").alias("direction"), sill.alias("sill"), (sill + 1.2 + F.col("l_tax") * 10).alias("head"))
-    return engineering.ventilation(rooms, o, "o_orderkey", "volume", 24.0, 33.0, 2.5, 180.0)
+    return engineering.ventilation(rooms, o, "o_orderkey", "volume", 24.0, 33.0, 2.5, 180.0, use="use")
 
 
 _USES = {"1-URGENT": "office", "2-HIGH": "kitchen", "3-MEDIUM": "bedroom", "4-NOT SPECIFIED": "nowhere", "5-LOW": "corridor"}
@@ -292,8 +293,9 @@ def _use(c: str) -> Column:
     r AS (SELECT o_orderkey AS room, CASE o_orderpriority WHEN '1-URGENT' THEN 'office' WHEN '2-HIGH' THEN 'kitchen' WHEN '3-MEDIUM' THEN 'bedroom' WHEN '5-LOW' THEN 'corridor' ELSE 'unassigned' END AS use, o_totalprice / 5000 AS area, o_custkey % 6 AS people FROM orders),
     s AS (SELECT l_orderkey AS room, sum(CASE WHEN l_linenumber <= 2 THEN l_quantity * coalesce(nullif(l_tax * 50, 0), 2.8) * 15 WHEN l_linenumber = 3 THEN l_quantity * coalesce(nullif(l_tax * 50, 0), 2.8) * 21 ELSE l_quantity * coalesce(nullif(l_tax * 50, 0), 2.8) * 6 END) AS env,
                  coalesce(sum(l_quantity / 10) FILTER (l_returnflag = 'R'), 0) AS glass FROM lineitem GROUP BY 1),
-    l AS (SELECT room, greatest(people, 1) * 1.0 AS n, area, coalesce(env, 0) AS env, coalesce(glass, 0) AS glass, p.* FROM (SELECT r.*, env, glass FROM r LEFT JOIN s USING (room)) JOIN p USING (use)),
-    t AS (SELECT room, env, glass * 5.8 * 9 AS gc, glass * 0.81 * 0.7 * 350 AS gs, n * sens AS ps, n * lat AS pl, area * light * 1.2 AS li, area * equip AS eq, 1200.0 * (n * 0.008 + area * 0.0003) * 9 AS vs, 3000.0 * (n * 0.008 + area * 0.0003) * (10 * 0.00015) AS vl FROM l),
+    c AS (SELECT l_orderkey AS room, sum(l_quantity * 10 * l_linenumber) AS machines FROM lineitem WHERE l_linestatus = 'O' GROUP BY 1),
+    l AS (SELECT room, greatest(people, 1) * 1.0 AS n, area, coalesce(env, 0) AS env, coalesce(glass, 0) AS glass, coalesce(machines, 0) AS machines, p.* FROM (SELECT r.*, env, glass, machines FROM r LEFT JOIN s USING (room) LEFT JOIN c USING (room)) JOIN p USING (use)),
+    t AS (SELECT room, env, glass * 5.8 * 9 AS gc, glass * 0.81 * 0.7 * 350 AS gs, n * sens AS ps, n * lat AS pl, area * light * 1.2 AS li, area * equip + machines AS eq, 1200.0 * (n * 0.008 + area * 0.0003) * 9 AS vs, 3000.0 * (n * 0.008 + area * 0.0003) * (10 * 0.00015) AS vl FROM l),
     u AS (SELECT *, floor((env + gc + gs + ps + li + eq + vs) * 10 + 0.5) / 10 AS sensible, floor((pl + vl) * 10 + 0.5) / 10 AS latent FROM t)
     SELECT room AS o_orderkey, floor(env + 0.5) AS envelope, floor(gs + 0.5) AS sun, floor(vs + vl + 0.5) AS air, sensible, latent, round(sensible + latent, 1) AS total, round((sensible + latent) * 1.15, 0) AS watts FROM u
 """)
@@ -304,7 +306,8 @@ def cooling_loads(spark: SparkSession, sf_dir: str) -> DataFrame:
     role = F.when(F.col("l_linenumber") <= 2, "exterior_wall").when(F.col("l_linenumber") == 3, "ceiling").otherwise("floor")
     surfaces = li.select(F.col("l_orderkey").alias("o_orderkey"), role.alias("role"), F.col("l_quantity").alias("area"), (F.col("l_tax") * 50).alias("u"))
     windows = li.where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey"), (F.col("l_quantity") / 10).alias("area"))
-    out = engineering.cooling_loads(rooms, surfaces, windows, "o_orderkey", 33.0 - 24.0)
+    components = li.select(F.col("l_orderkey").alias("o_orderkey"), F.when(F.col("l_linestatus") == "O", F.col("l_quantity") * 10).alias("load"), F.col("l_linenumber").alias("count"))
+    out = engineering.cooling_loads(rooms, surfaces, windows, "o_orderkey", 33.0 - 24.0, components=components)
     return out.select("o_orderkey", "envelope", "sun", "air", "sensible", "latent", F.round("total", 1).alias("total"), F.round("watts", 0).alias("watts"))
 
 
@@ -392,20 +395,37 @@ def _numbers_sql(n: int) -> str:
     u AS (SELECT k, xor(t, t >> 14) / 4294967296.0::DOUBLE AS u FROM c)"""
 
 
+_SUN = ", ".join(f"('{k}', {v}::DOUBLE)" for k, v in numbers.SOLAR_FACTORS.items())
+
+
 @query(f"""
-    WITH {_numbers_sql(DESIGNS * 3)},
+    WITH {_numbers_sql(DESIGNS * 3)}, sun(facade, factor) AS (VALUES {_SUN}),
     d AS (SELECT (k - 1) // 3 AS design, max(0.5 + floor(u * 7) * 0.25::DOUBLE) FILTER ((k - 1) % 3 = 0) AS w, max(0.4::DOUBLE + floor(u * 9) * 0.1::DOUBLE) FILTER ((k - 1) % 3 = 1) AS uw, max(0.3::DOUBLE + floor(u * 15) * 0.05::DOUBLE) FILTER ((k - 1) % 3 = 2) AS sh FROM u GROUP BY 1),
-    e AS (SELECT design, w, uw, sh, 20 + 18 * uw + 25 * w * sh AS ottv, 1.5 * w AS ach, abs(w - 0.5) / 1.5 + abs(uw - 0.4) / 0.8::DOUBLE + abs(sh - 0.3) / 0.7::DOUBLE AS distance FROM d),
-    g AS (SELECT * FROM e WHERE ottv <= 45 AND ach >= 1.2),
+    li AS (SELECT list_extract(['N','NE','E','SE','S','SW','W','NW'], (floor((((l_suppkey * 45.0 + l_linenumber + 22.5) % 360)) / 45) + 1)::INTEGER) AS facade, l_quantity AS wall, l_quantity * l_discount * 5 AS glass FROM lineitem),
+    f8 AS (SELECT facade, round(sum(wall), 3) AS wall, round(sum(glass), 3) / round(sum(wall), 3) AS share, factor FROM li JOIN sun USING (facade) GROUP BY facade, factor),
+    rm AS (SELECT round(sum(o_totalprice) / count(*) / 100, 3) AS volume FROM orders),
+    e AS (SELECT design, w, uw, sh, floor(sum(wall * (uw * 10 * (1 - least(1, share * w)) + 20 * least(1, share * w) + sh * least(1, share * w) * factor)) / sum(wall) * 100000000 + 0.5) / 100000000 AS ottv, abs(w - 0.5) / 1.5 + abs(uw - 0.4) / 0.8::DOUBLE + abs(sh - 0.3) / 0.7::DOUBLE AS distance FROM d, f8 GROUP BY design, w, uw, sh),
+    h AS (SELECT e.*, 1500 * w / volume AS ach FROM e, rm),
+    g AS (SELECT * FROM h WHERE ottv <= 45 AND ach >= 0.5),
     f AS (SELECT * FROM g x WHERE NOT EXISTS (SELECT 1 FROM g y WHERE y.ottv <= x.ottv AND -y.ach <= -x.ach AND y.distance <= x.distance AND (y.ottv < x.ottv OR -y.ach < -x.ach OR y.distance < x.distance))),
     m AS (SELECT min(ottv) AS o0, max(ottv) AS o1, min(-ach) AS a0, max(-ach) AS a1, min(distance) AS d0, max(distance) AS d1 FROM f)
     SELECT design, round(ottv, 6) AS ottv, round(ach, 6) AS ach, round(distance, 6) AS distance, round(coalesce((ottv - o0) / nullif(o1 - o0, 0), 0) + coalesce((-ach - a0) / nullif(a1 - a0, 0), 0) + coalesce((distance - d0) / nullif(d1 - d0, 0), 0), 6) AS balance FROM f, m
 """)
 def best_designs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A seeded search over designs: the feasible ones that no other beats."""
+    """A seeded search over designs, held against the facades of all lines and the rooms of all orders: the feasible ones that no other beats."""
     d = advice.designs(spark, VARIABLES, DESIGNS, SEED)
-    d = d.withColumn("ottv", 20 + 18 * F.col("wall_u") + 25 * F.col("windows") * F.col("shading")).withColumn("ach", 1.5 * F.col("windows")).withColumn("less_air", -F.col("ach"))
-    d = d.withColumn("reasons", advice.feasibility({"max_ottv": F.col("ottv") <= 45, "min_ach": F.col("ach") >= 1.2}))
+    li = table(spark, sf_dir, "lineitem").select(numbers.compass(F.col("l_suppkey") * 45.0 + F.col("l_linenumber")).alias("facade"), F.col("l_quantity").alias("wall"), (F.col("l_quantity") * F.col("l_discount") * 5).alias("glass"))
+    wall = F.round(F.sum("wall"), 3)
+    sides = li.groupBy("facade").agg(wall.alias("wall"), (F.round(F.sum("glass"), 3) / wall).alias("share")).withColumn("factor", numbers.solar_factor("facade"))
+    # eight facades and one room as one row beside each design
+    sides = sides.agg(F.array_sort(F.collect_list(F.struct("facade", "wall", "share", "factor"))).alias("sides"))
+    rooms = table(spark, sf_dir, "orders").agg(F.round(F.sum("o_totalprice") / F.count("*") / 100, 3).alias("volume"))
+    d = d.crossJoin(F.broadcast(sides)).crossJoin(F.broadcast(rooms))
+    glazed = lambda s: F.least(F.lit(1.0), s["share"] * F.col("windows"))
+    heat = lambda s: s["wall"] * (F.col("wall_u") * 10 * (1 - glazed(s)) + 20 * glazed(s) + F.col("shading") * glazed(s) * s["factor"])
+    total = lambda f: F.aggregate("sides", F.lit(0.0), lambda a, s: a + f(s))
+    d = d.withColumn("ottv", numbers.half_up(total(heat) / total(lambda s: s["wall"]), 8)).withColumn("ach", 1500 * F.col("windows") / F.col("volume")).withColumn("less_air", -F.col("ach")).drop("sides")
+    d = d.withColumn("reasons", advice.feasibility({"max_ottv": F.col("ottv") <= 45, "min_ach": F.col("ach") >= 0.5}))
     out = advice.best_designs(d, ["ottv", "less_air", "distance"])
     return out.select("design", *(F.round(c, 6).alias(c) for c in ("ottv", "ach", "distance", "balance")))
 

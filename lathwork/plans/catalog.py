@@ -177,16 +177,16 @@ def aabb_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-    WITH l AS (SELECT o_custkey, o_orderkey AS lower_id, o_totalprice AS lp FROM orders WHERE o_totalprice < 20000), u AS (SELECT o_custkey, o_orderkey AS upper_id, o_totalprice AS up FROM orders WHERE o_totalprice >= 400000)
+    WITH l AS (SELECT o_custkey, o_orderkey AS lower_id, o_totalprice AS lp FROM orders WHERE o_totalprice < 250000), u AS (SELECT o_custkey, o_orderkey AS upper_id, o_totalprice AS up FROM orders WHERE o_totalprice >= 250000)
     SELECT o_custkey, lower_id, upper_id, CASE WHEN lower_id IS NULL THEN 'no-lower' WHEN upper_id IS NULL THEN 'no-upper' ELSE 'both' END AS status,
            row_number() OVER (PARTITION BY o_custkey ORDER BY round(coalesce(up, 0) - coalesce(lp, 0), 2) DESC, coalesce(lower_id, -1), coalesce(upper_id, -1)) AS rank
     FROM l FULL JOIN u USING (o_custkey)
 """)
 def envelope_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lower and upper candidates per customer, padded and ranked."""
+    """Each customer's orders below and above a price in pairs, padded and ranked."""
     o = _t(spark, sf_dir, "orders")
-    low = o.where("o_totalprice < 20000").select("o_custkey", F.col("o_orderkey").alias("lower_id"), F.col("o_totalprice").alias("lp"))
-    up = o.where("o_totalprice >= 400000").select("o_custkey", F.col("o_orderkey").alias("upper_id"), F.col("o_totalprice").alias("up"))
+    low = o.where("o_totalprice < 250000").select("o_custkey", F.col("o_orderkey").alias("lower_id"), F.col("o_totalprice").alias("lp"))
+    up = o.where("o_totalprice >= 250000").select("o_custkey", F.col("o_orderkey").alias("upper_id"), F.col("o_totalprice").alias("up"))
     pairs = joins.padded_pairs(low, up, ["o_custkey"])
     zero = lambda c, v: F.coalesce(F.col(c), F.lit(v))
     order = [F.desc(F.round(zero("up", 0.0) - zero("lp", 0.0), 2)), zero("lower_id", -1), zero("upper_id", -1)]
@@ -245,37 +245,6 @@ def hierarchy_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.hierarchy(r.unionByName(n).unionByName(s), "node", "parent", "attr", "name")
 
 
-_EDGES = "SELECT DISTINCT 'C' || o_custkey AS a, 'S' || l_suppkey AS b FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE l_quantity >= 50 AND l_discount >= 0.1"
-
-
-def _trade(spark: SparkSession, sf_dir: str) -> DataFrame:
-    few = _t(spark, sf_dir, "lineitem").where("l_quantity >= 50 and l_discount >= 0.1").select(F.col("l_orderkey").alias("o_orderkey"), "l_suppkey")
-    node = lambda letter, c: F.concat(F.lit(letter), F.col(c).cast("string"))
-    return few.join(_t(spark, sf_dir, "orders"), "o_orderkey").select(node("C", "o_custkey").alias("a"), node("S", "l_suppkey").alias("b")).distinct()
-
-
-@query(f"""
-    WITH RECURSIVE e AS ({_EDGES}), u AS (SELECT a AS x, b AS y FROM e UNION SELECT b, a FROM e),
-    r AS (SELECT x AS node, x AS seen FROM u UNION SELECT r.node, u.y FROM r JOIN u ON u.x = r.seen)
-    SELECT node, min(seen) AS component FROM r GROUP BY node
-""")
-def connected_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers and suppliers linked by rare trades."""
-    return graph.connected_components(_trade(spark, sf_dir))
-
-
-@query(f"""
-    WITH RECURSIVE e AS ({_EDGES}), u AS (SELECT a AS x, b AS y FROM e UNION SELECT b, a FROM e),
-    r AS (SELECT (SELECT min(x) FROM u) AS node, 0 AS hops UNION SELECT u.y, r.hops + 1 FROM r JOIN u ON u.x = r.node WHERE r.hops < 12)
-    SELECT node, min(hops) AS hops FROM r GROUP BY node
-""")
-def bfs_hops(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hops from the first node over the same edges."""
-    e = graph.settled(_trade(spark, sf_dir))
-    first = e.select("a").union(e.select("b")).agg(F.min("a").alias("node"))
-    return graph.hops(e, first, 12)
-
-
 _ALL_EDGES = "SELECT DISTINCT 'C' || o_custkey AS a, 'S' || l_suppkey AS b FROM lineitem JOIN orders ON o_orderkey = l_orderkey"
 
 
@@ -359,17 +328,6 @@ def debounce(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bursts(_t(spark, sf_dir, "events"), "user_id", "ts", "event_id", 3600)
 
 
-@query("""
-    WITH u AS (SELECT label, d AS axis, list_extract(embedding, d)::DOUBLE AS x FROM embeddings, range(1, 9) t(d)),
-    b AS (SELECT *, min(x) OVER w AS lo, max(x) OVER w AS hi FROM u WINDOW w AS (PARTITION BY label, axis)),
-    s AS (SELECT *, CASE WHEN hi > lo THEN (hi - lo) / CASE WHEN (hi - lo) / 65535 / 2 <= 0.001 THEN 65535.0 ELSE 4294967295.0 END ELSE 1 END AS scale FROM b)
-    SELECT label, axis::INTEGER AS axis, count(*) AS n, round(max(abs(lo + floor((x - lo) / scale + 0.5) * scale - x)), 6) AS max_error, max(floor((x - lo) / scale + 0.5)::BIGINT) AS max_code FROM s GROUP BY 1, 2
-""")
-def quantize(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Coordinates to whole numbers and back, per label and axis."""
-    return _quantized(_t(spark, sf_dir, "embeddings").select("label", F.posexplode(F.slice("embedding", 1, 8)).alias("axis", "x")))
-
-
 def _quantized(rows: DataFrame) -> DataFrame:
     rows = rows.select("label", (F.col("axis") + 1).alias("axis"), F.col("x").cast("double").alias("x"))
     out = encode.dequantize(encode.quantize(rows, ["label", "axis"], ["x"]), ["x"])
@@ -414,18 +372,6 @@ def dictionary_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode.decode(coded.groupBy("id").agg(F.count("*").alias("n"), F.min("p_partkey").alias("first_part")).withColumnRenamed("id", "code"), names, "p_name", "code").join(names, "p_name").select("id", "p_name", "n", "first_part")
 
 
-@query("""
-    SELECT reason, count(*) AS n, min(id) AS example FROM (
-      SELECT 'order without customer' AS reason, o_orderkey::VARCHAR AS id FROM orders WHERE o_custkey IS NOT NULL AND o_custkey NOT IN (SELECT c_custkey FROM customer)
-      UNION ALL SELECT 'label without document', doc_id::VARCHAR FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents WHERE n_chars > 500)
-      UNION ALL SELECT 'repeated part name', p_name FROM part GROUP BY p_name HAVING count(*) > 1
-      UNION ALL SELECT 'negative balance', c_custkey::VARCHAR FROM customer WHERE NOT coalesce(c_acctbal >= 0, false)) GROUP BY 1
-""")
-def integrity_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Dangling keys, duplicates and range errors by reason; labels are held against longer documents only."""
-    return _integrity(spark, sf_dir, _t(spark, sf_dir, "documents").where("n_chars > 500"))
-
-
 def _integrity(spark: SparkSession, sf_dir: str, documents: DataFrame) -> DataFrame:
     o, c = _t(spark, sf_dir, "orders"), _t(spark, sf_dir, "customer")
     return quality.report(
@@ -554,28 +500,6 @@ def value_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.value_summary(_t(spark, sf_dir, "orders"), "o_totalprice")
 
 
-_GRID = """
-    n AS (SELECT c_custkey AS k, c_nationkey % 3 AS storey, c_custkey % 12 AS x, (c_custkey // 12) % 9 AS z FROM customer),
-    w AS (SELECT DISTINCT storey, x AS ax, z AS az, x + 1 AS bx, z AS bz FROM n WHERE k % 5 <> 0 UNION SELECT DISTINCT storey, x, z, x, z + 1 FROM n WHERE k % 7 <> 0),
-    h AS (SELECT * FROM w UNION SELECT storey, bx, bz, ax, az FROM w),
-    t AS (SELECT *, coalesce(lag({'x': bx, 'z': bz}) OVER (PARTITION BY storey, ax, az ORDER BY atan2(bz - az, bx - ax), bx, bz),
-                             last({'x': bx, 'z': bz}) OVER (PARTITION BY storey, ax, az ORDER BY atan2(bz - az, bx - ax), bx, bz ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) AS c FROM h),
-    s AS (SELECT storey, bx AS ax, bz AS az, ax AS bx, az AS bz, c.x AS cx, c.z AS cz FROM t),
-    o AS (SELECT storey, ax AS sx, az AS sz, bx AS tx, bz AS tz, ax, az, bx, bz, cx, cz FROM s
-          UNION SELECT o.storey, o.sx, o.sz, o.tx, o.tz, s.ax, s.az, s.bx, s.bz, s.cx, s.cz FROM o JOIN s ON s.storey = o.storey AND s.ax = o.bx AND s.az = o.bz AND s.bx = o.cx AND s.bz = o.cz),
-    f AS (SELECT storey, sx, sz, tx, tz, min({'ax': ax, 'az': az, 'bx': bx, 'bz': bz}) AS face, sum(ax * bz - bx * az) / 2.0 AS area, sum(abs(bx - ax) + abs(bz - az)) AS perimeter FROM o GROUP BY 1, 2, 3, 4, 5),
-    g AS (SELECT * FROM f WHERE area > 0)
-"""
-
-
-def _walls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Wall lines on three storeys of a grid, some left out."""
-    n = _t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), (F.col("c_nationkey") % 3).alias("storey"), (F.col("c_custkey") % 12).cast("double").alias("x"), F.expr("cast((c_custkey div 12) % 9 as double)").alias("z"))
-    ends = F.array(F.when(F.col("k") % 5 != 0, F.struct((F.col("x") + 1).alias("x"), F.col("z").alias("z"))), F.when(F.col("k") % 7 != 0, F.struct(F.col("x").alias("x"), (F.col("z") + 1).alias("z"))))
-    lines = n.select("storey", "x", "z", F.explode(ends).alias("e")).where("e is not null").select("storey", "x", "z", F.col("e.x").alias("x2"), F.col("e.z").alias("z2"))
-    return rooms.barrier_edges(lines, "storey", ("x", "z"), ("x2", "z2"))
-
-
 def _loops(walls: DataFrame) -> DataFrame:
     found = rooms.loops(rooms.face_cycles(rooms.half_edges(walls)))
     return found.select("storey", F.col("face.a.x").alias("x"), F.col("face.a.z").alias("z"), F.col("n").cast("long").alias("n"), _r("area"), _r("perimeter"))
@@ -587,28 +511,18 @@ def _adjacency(walls: DataFrame) -> DataFrame:
     return out.select("storey", F.col("left.a.x").alias("left_x"), F.col("left.a.z").alias("left_z"), F.col("right.a.x").alias("right_x"), F.col("right.a.z").alias("right_z"), _r("shared"))
 
 
-@query("WITH RECURSIVE" + _GRID + """
-    SELECT storey, face.ax::DOUBLE AS x, face.az::DOUBLE AS z, count(*) AS n, round(max(area), 4) AS area, round(max(perimeter), 4)::DOUBLE AS perimeter FROM g GROUP BY storey, face
-""")
-def room_loops(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Faces of the wall graph of each storey."""
-    return _loops(_walls(spark, sf_dir))
-
-
-@query("WITH RECURSIVE" + _GRID + """
-    SELECT a.storey, a.face.ax::DOUBLE AS left_x, a.face.az::DOUBLE AS left_z, b.face.ax::DOUBLE AS right_x, b.face.az::DOUBLE AS right_z, count(*)::DOUBLE AS shared
-    FROM g a JOIN g b ON a.storey = b.storey AND a.sx = b.tx AND a.sz = b.tz AND a.tx = b.sx AND a.tz = b.sz AND a.face < b.face GROUP BY a.storey, a.face, b.face
-""")
-def room_adjacency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Neighbouring rooms and the wall they share."""
-    return _adjacency(_walls(spark, sf_dir))
-
-
-# storeys of 108 customers each, so that the building grows with the table and every row adds a wall
 _BUILDING = """
     n AS (SELECT c_custkey AS k, c_custkey // 108 AS storey, c_custkey % 12 AS x, (c_custkey // 12) % 9 AS z FROM customer),
     w AS (SELECT DISTINCT storey, x AS ax, z AS az, x + 1 AS bx, z AS bz FROM n WHERE k % 5 <> 0 UNION SELECT DISTINCT storey, x, z, x, z + 1 FROM n WHERE k % 5 = 0 OR k % 7 <> 0),
-""" + _GRID[_GRID.index("    h AS") :]
+    h AS (SELECT * FROM w UNION SELECT storey, bx, bz, ax, az FROM w),
+    t AS (SELECT *, coalesce(lag({'x': bx, 'z': bz}) OVER (PARTITION BY storey, ax, az ORDER BY atan2(bz - az, bx - ax), bx, bz),
+                             last({'x': bx, 'z': bz}) OVER (PARTITION BY storey, ax, az ORDER BY atan2(bz - az, bx - ax), bx, bz ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) AS c FROM h),
+    s AS (SELECT storey, bx AS ax, bz AS az, ax AS bx, az AS bz, c.x AS cx, c.z AS cz FROM t),
+    o AS (SELECT storey, ax AS sx, az AS sz, bx AS tx, bz AS tz, ax, az, bx, bz, cx, cz FROM s
+          UNION SELECT o.storey, o.sx, o.sz, o.tx, o.tz, s.ax, s.az, s.bx, s.bz, s.cx, s.cz FROM o JOIN s ON s.storey = o.storey AND s.ax = o.bx AND s.az = o.bz AND s.bx = o.cx AND s.bz = o.cz),
+    f AS (SELECT storey, sx, sz, tx, tz, min({'ax': ax, 'az': az, 'bx': bx, 'bz': bz}) AS face, sum(ax * bz - bx * az) / 2.0 AS area, sum(abs(bx - ax) + abs(bz - az)) AS perimeter FROM o GROUP BY 1, 2, 3, 4, 5),
+    g AS (SELECT * FROM f WHERE area > 0)
+"""
 
 
 def _building(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -636,6 +550,6 @@ def building_adjacency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _adjacency(_building(spark, sf_dir))
 
 
-from . import building, graphs  # noqa: E402, F401  they register theirs
+from . import assembly, building, graphs, spaces  # noqa: E402, F401  they register theirs
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -74,10 +74,10 @@ def quarantined(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quarantine(table(spark, sf_dir, "orders"), rules)[1].select("o_orderkey", F.array_join("reasons", ",").alias("reasons"))
 
 
-@query("SELECT l_partkey FROM lineitem WHERE l_linestatus = 'F' AND l_quantity > 45 INTERSECT SELECT l_partkey FROM lineitem WHERE l_linestatus = 'O' AND l_quantity > 45")
+@query("SELECT l_partkey FROM lineitem WHERE l_linestatus = 'F' INTERSECT SELECT l_partkey FROM lineitem WHERE l_linestatus = 'O'")
 def leaked_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts on both sides of a split."""
-    li = table(spark, sf_dir, "lineitem").where("l_quantity > 45")
+    li = table(spark, sf_dir, "lineitem")
     return quality.leakage(li.where("l_linestatus = 'F'"), li.where("l_linestatus = 'O'"), ["l_partkey"])
 
 
@@ -111,12 +111,15 @@ def neighbour_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-    SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 450000) AND c_custkey NOT IN (SELECT o_custkey + 1 FROM orders WHERE o_totalprice > 450000)
+    WITH w AS (SELECT o_custkey AS a, o_custkey + 1 AS b, o_orderstatus = 'P' AND o_orderpriority = '1-URGENT' AS open FROM orders)
+    SELECT c_custkey, (SELECT count(*) FROM w WHERE a = c_custkey OR b = c_custkey) AS walls FROM customer WHERE c_custkey NOT IN (SELECT a FROM w WHERE open) AND c_custkey NOT IN (SELECT b FROM w WHERE open)
 """)
 def closed_rooms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nodes that no passage leads to."""
-    passages = table(spark, sf_dir, "orders").where("o_totalprice > 450000").select(F.col("o_custkey").alias("a"), (F.col("o_custkey") + 1).alias("b"))
-    return graph.without_access(table(spark, sf_dir, "customer").select("c_custkey"), passages, "c_custkey")
+    """Customers as rooms that no way leads to, and how many walls they have: each order stands between a customer and the next one, urgent ones in process are ways."""
+    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("a"), (F.col("o_custkey") + 1).alias("b"), ((F.col("o_orderstatus") == "P") & (F.col("o_orderpriority") == "1-URGENT")).alias("open"))
+    walls = o.select("a").union(o.select("b")).groupBy(F.col("a").alias("c_custkey")).agg(F.count("*").alias("walls"))
+    closed = graph.without_access(table(spark, sf_dir, "customer").select("c_custkey"), o.where("open"), "c_custkey")
+    return closed.join(walls, "c_custkey", "left").select("c_custkey", F.coalesce("walls", F.lit(0)).alias("walls"))
 
 
 @query(r"""
@@ -138,8 +141,8 @@ def fingerprint_in_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-    WITH RECURSIVE r AS (SELECT c_custkey AS room, CASE c_mktsegment WHEN 'MACHINERY' THEN 'corridor' ELSE 'office' END AS use, 0.7 + (c_custkey % 9) / 10 AS width FROM customer WHERE c_custkey % 13 <> 1 OR c_acctbal > 0),
-    w AS (SELECT o_custkey AS room, CASE WHEN o_orderkey % 10 <> 0 THEN (o_custkey * 3 + o_orderkey % 2) % 1000 END AS other, CASE o_orderstatus WHEN 'F' THEN 'door' ELSE 'open_passage' END AS kind, o_orderkey % 10 = 0 AS exterior, 0.6 + (o_orderkey % 7) / 10 AS width FROM orders WHERE o_totalprice > 470000),
+    WITH RECURSIVE r AS (SELECT c_custkey AS room, CASE c_mktsegment WHEN 'MACHINERY' THEN 'corridor' ELSE 'office' END AS use, 0.7 + (c_custkey % 9) / 10 AS width FROM customer),
+    w AS (SELECT o_custkey AS room, CASE WHEN o_orderkey % 10 <> 0 THEN (o_custkey * 3 + o_orderkey % 2) % (SELECT count(*) FROM customer) END AS other, CASE o_orderstatus WHEN 'F' THEN 'door' ELSE 'open_passage' END AS kind, o_orderkey % 10 = 0 AS exterior, 0.6 + (o_orderkey % 7) / 10 AS width FROM orders),
     x AS (SELECT room FROM r WHERE use = 'corridor' UNION SELECT room FROM w WHERE exterior AND kind = 'door'),
     u AS (SELECT room AS a, other AS b FROM w WHERE other IS NOT NULL UNION SELECT other, room FROM w WHERE other IS NOT NULL),
     h(node, steps) USING KEY (node) AS (SELECT room, 0 FROM x UNION (SELECT u.b, min(h.steps) + 1 FROM h JOIN u ON u.a = h.node LEFT JOIN recurring.h AS k ON k.node = u.b WHERE k.node IS NULL GROUP BY u.b)),
@@ -150,11 +153,11 @@ def fingerprint_in_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
            CASE WHEN isolated THEN 0 ELSE floor(least(100, ways * 20 + likelihood * 40 + CASE WHEN dead THEN 0 ELSE 20 END) + 0.5) END::DOUBLE AS movement FROM l
 """)
 def human_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Access, steps to an exit and movement, with customers as rooms and large orders as openings."""
-    c, key = table(spark, sf_dir, "customer").where("c_custkey % 13 <> 1 or c_acctbal > 0"), F.col("o_orderkey")
+    """Access, steps to an exit and movement, with customers as rooms and orders as openings."""
+    c, key = table(spark, sf_dir, "customer"), F.col("o_orderkey")
     rooms_ = c.select(F.col("c_custkey").alias("room"), F.when(F.col("c_mktsegment") == "MACHINERY", "corridor").otherwise("office").alias("use"), (0.7 + (F.col("c_custkey") % 9) / 10).alias("width"))
-    o = table(spark, sf_dir, "orders").where("o_totalprice > 470000")
-    openings = o.select(F.col("o_custkey").alias("room"), F.when(key % 10 != 0, (F.col("o_custkey") * 3 + key % 2) % 1000).alias("other"), F.when(F.col("o_orderstatus") == "F", "door").otherwise("open_passage").alias("kind"), (key % 10 == 0).alias("exterior"), (0.6 + (key % 7) / 10).alias("width"))
+    o = table(spark, sf_dir, "orders")
+    openings = o.select(F.col("o_custkey").alias("room"), F.when(key % 10 != 0, (F.col("o_custkey") * 3 + key % 2) % c.count()).alias("other"), F.when(F.col("o_orderstatus") == "F", "door").otherwise("open_passage").alias("kind"), (key % 10 == 0).alias("exterior"), (0.6 + (key % 7) / 10).alias("width"))
     out = graph.circulation(rooms_, openings)
     return out.select("room", "ways", "entrances", "steps", "access", "likelihood", F.round("clear_width", 4).alias("clear_width"), "movement")
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lathwork.functions import numbers, text
 from lathwork.operators import advice, boundaries, encode, engineering, faces, graph, quality, rank, scenario, stats
+from lathwork.plans import building
 
 
 def one(spark, *cols):
@@ -57,6 +58,23 @@ def test_comfort_and_transfer(spark):
     assert engineering.facade_transfer(walls.limit(0), panes.limit(0), "d", "area", 9.0, "u", "a", "ug", "sc").count() == 0
 
 
+def test_models_without_floors_have_their_lowest_level(spark):
+    df = spark.createDataFrame([(1, "floor", 3.0), (1, "floor", 0.5), (1, "floor", 3.0), (1, "wall", -1.0), (2, "wall", 2.0), (2, "other", 1.0)], "model int, surface string, y0 double")
+    assert {r.model: r.levels for r in building.floor_levels(df).collect()} == {1: [0.5, 3.0], 2: [1.0]}
+
+
+def test_staircases_and_machines(spark):
+    openings = spark.createDataFrame([(r, 1.0, 10.0 * k, 1.0, 2.0) for r in (1, 2) for k in (0, 1)] + [(3, 1.0, 0.0, 1.0, 2.0)], "room int, area double, direction double, sill double, head double")
+    rooms = spark.createDataFrame([(1, 50.0, "staircase"), (2, 50.0, "living"), (3, 50.0, "staircase"), (4, 50.0, None)], "room int, volume double, use string")
+    got = {r.room: r.kind for r in engineering.ventilation(rooms, openings, "room", "volume", 24.0, 33.0, 2.5, 180.0, use="use").collect()}
+    assert got == {1: "stack_assisted", 2: "single_sided", 3: "single_sided", 4: "no_exterior_ventilation"}
+    rooms = spark.createDataFrame([(1, "office", 20.0, 2), (2, "office", 20.0, 2)], "room int, use string, area double, people int")
+    none = spark.createDataFrame([], "room int, role string, area double, u double")
+    machines = spark.createDataFrame([(1, 100.0, 3), (1, None, 5), (1, 50.0, 1)], "room int, load double, count int")
+    got = {r.room: r for r in engineering.cooling_loads(rooms, none, none.select("room", "area"), "room", 9.0, components=machines).collect()}
+    assert got[1].equipment - got[2].equipment == 350.0 and got[1].sensible - got[2].sensible == pytest.approx(350.0)
+
+
 def test_ventilation_like_pairs(spark):
     rng = random.Random(2)
     rooms = [(i, rng.uniform(0.2, 90)) for i in range(60)]
