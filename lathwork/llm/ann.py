@@ -52,15 +52,18 @@ class Tree:
         self.nodes[me] = (point, radius, inside, outside)
         return me
 
-    def search(self, q: np.ndarray, own: np.ndarray, rows_of: np.ndarray, ids: np.ndarray, k: int, factor: float, slack: float) -> tuple[np.ndarray, np.ndarray]:
-        """For each query its k nearest rows (indices, -1 for none) other than its own; own and rows_of number the rows.
+    def search(self, q: np.ndarray, own: np.ndarray, rows_of: np.ndarray, ids: np.ndarray, k: int, factor: float, slack: float, limit: float) -> tuple[np.ndarray, np.ndarray]:
+        """For each query the scores and indices (-1 for none) of its k best rows other than its own; own and rows_of number the rows.
 
-        ``slack`` covers the rounding of distances, which grows with the norms.
+        Rows are ordered by score, then by id.  Distances by matrix products only say which rows can be among the best;
+        ``slack`` covers their rounding, which grows with the norms, and all rows within it are scored exactly, so that equal
+        rows have equal scores.  ``limit`` is the square that all rows' lengths have been lifted to.
 
         All queries go down together, nearer side first for each; only those that a side may still serve go on.
         """
         n = len(q)
-        best_d, best_i = np.full((n, k), np.inf), np.full((n, k), -1, np.int64)
+        best_s, best_i = np.full((n, k), -np.inf), np.full((n, k), -1, np.int64)
+        worst, q2 = np.full(n, np.inf), (q**2).sum(axis=1)
 
         def visit(node: int, who: np.ndarray) -> None:
             if not len(who):
@@ -68,15 +71,22 @@ class Tree:
             at = self.nodes[node]
             if len(at) == 2:
                 rows = self.order[at[0] : at[1]]
-                d = np.maximum((q[who] ** 2).sum(axis=1)[:, None] + (self.x[rows] ** 2).sum(axis=1) - 2 * q[who] @ self.x[rows].T, 0)
-                d = np.sqrt(d)
-                d[own[who][:, None] == rows_of[rows][None, :]] = np.inf
-                all_d = np.concatenate((best_d[who], d), axis=1)
-                all_i = np.concatenate((best_i[who], np.broadcast_to(rows, d.shape)), axis=1)
-                key = np.where(all_i < 0, np.iinfo(np.int64).max, ids[all_i])
-                pick = np.lexsort((key, all_d), axis=1)[:, :k] if all_d.shape[1] > k else np.argsort(all_d, axis=1)
-                best_d[who] = np.take_along_axis(all_d, pick, axis=1)
-                best_i[who] = np.where(np.isinf(best_d[who]), -1, np.take_along_axis(all_i, pick, axis=1))
+                d = np.sqrt(np.maximum(q2[who][:, None] + (self.x[rows] ** 2).sum(axis=1) - 2 * q[who] @ self.x[rows].T, 0))
+                may = (d <= worst[who][:, None] + slack) & (own[who][:, None] != rows_of[rows][None, :])
+                some = may.any(axis=1)
+                who, may = who[some], may[some]
+                if not len(who):
+                    return
+                scores = np.full(may.shape, -np.inf)
+                a, b = np.nonzero(may)
+                scores[a, b] = _scores(q[who[a]], self.x[rows[b]])
+                all_s = np.concatenate((best_s[who], scores), axis=1)
+                all_i = np.concatenate((best_i[who], np.broadcast_to(rows, scores.shape)), axis=1)
+                key = np.where(np.isinf(all_s), np.iinfo(np.int64).max, ids[all_i])
+                pick = np.lexsort((key, -all_s), axis=1)[:, :k]
+                best_s[who] = np.take_along_axis(all_s, pick, axis=1)
+                best_i[who] = np.where(np.isinf(best_s[who]), -1, np.take_along_axis(all_i, pick, axis=1))
+                worst[who] = np.sqrt(np.maximum(q2[who] + limit - 2 * best_s[who, -1], 0))
                 return
             point, radius, inside, outside = at
             d = np.sqrt(((q[who] - point) ** 2).sum(axis=1))
@@ -85,10 +95,10 @@ class Tree:
                 visit(first, who[mine])
                 # a side is left out if it lies beyond the worst neighbour so far, sooner for factors above one
                 gap = np.abs(d[mine] - radius) * factor
-                visit(second, who[mine][gap <= best_d[who[mine], -1] + slack])
+                visit(second, who[mine][gap <= worst[who[mine]] + slack])
 
         visit(0, np.arange(n))
-        return best_d, best_i
+        return best_s, best_i
 
 
 def _scores(q: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -130,15 +140,13 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, factor: float = 1
         x, q = np.array(base["v"].tolist(), np.float64), np.array(ask["v"].tolist(), np.float64)
         lift = np.sqrt(np.maximum(limit - (x**2).sum(axis=1), 0))
         tree = Tree(np.column_stack((x, lift)))
-        # a few more than asked for, so that rounding in distances can't swap who is on the edge
-        _, found = tree.search(np.column_stack((q, np.zeros(len(q)))), own, base["row"].to_numpy(), ids, k + 4, factor, slack)
+        scores, found = tree.search(np.column_stack((q, np.zeros(len(q)))), own, base["row"].to_numpy(), ids, k, factor, slack, limit)
         who, place = np.nonzero(found >= 0)
-        rows = found[who, place]
-        return pd.DataFrame({"query_row": own[who], "query_id": ask["vec_id"].to_numpy()[who], "vec_id": ids[rows], "score": _scores(q[who], x[rows])})
+        return pd.DataFrame({"query_row": own[who], "query_id": ask["vec_id"].to_numpy()[who], "vec_id": ids[found[who, place]], "score": scores[who, place]})
 
     on = ["width", "shard", "block"]
     got = left.groupBy(*on).cogroup(right.groupBy(*on)).applyInPandas(each, "query_row long, query_id long, vec_id long, score double")
-    # the k best of each query over the shards: k + 4 rows a shard and query
+    # the k best of each query over the shards: k rows a shard and query
     best = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "vec_id"))), 1, k)
     top_k = got.groupBy("query_row", "query_id").agg(best.alias("b")).select("query_id", F.posexplode("b").alias("p", "x"))
     return top_k.select("query_id", (F.col("p") + 1).cast("int").alias("rank"), F.col("x.vec_id").alias("vec_id"), (-F.col("x.s")).alias("score"))

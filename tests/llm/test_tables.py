@@ -58,6 +58,17 @@ def test_nearest_of_repeated_ids_other_lengths_and_large_norms(spark):
     assert sorted((r.query_id, r.rank, r.vec_id) for r in ann.nearest(df, F.col("vec_id") % 20 == 0, 6).collect()) == sorted(want)
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_nearest_of_many_equal_vectors(spark, monkeypatch, seed):
+    """Ties go to the smaller id, whatever the rounding of block products, also over shards."""
+    monkeypatch.setattr(ann, "SHARD_ROWS", 900)
+    rng = np.random.default_rng(seed)
+    same = [float(np.float32(x)) for x in rng.normal(size=16)]
+    rows = [(i, same if i % 3 == 0 or i < 40 else [float(np.float32(x)) for x in rng.normal(size=16) * 0.7]) for i in range(2500)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(5)
+    check(ann.nearest(df, F.col("vec_id") % 20 == 0, 20), brute_nearest(rows, 20))
+
+
 def test_nearest_of_few_and_none(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (3, [0.5, 1.0])], "vec_id long, embedding array<double>")
     assert [(r.query_id, r.rank, r.vec_id, r.score) for r in ann.nearest(df, F.col("vec_id") % 20 == 0).collect()] == [(0, 1, 3, 0.5)]
