@@ -34,8 +34,13 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """
     groups = jaccard_join.jaccard_components(docs, words=5, percent=80).select("doc_id", "key", "component_id", "n_shingles")
     groups = stored(groups, "groups")
-    extra = groups.where("n_shingles > 0 and not doc_id <=> component_id").select(F.col("doc_id").alias("_id"), F.col("key").alias("_key")).distinct()
-    again = groups.where("n_shingles > 0 and doc_id <=> component_id").groupBy("doc_id", "key").count().where("count > 1").select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"))
+    named = [F.col("doc_id").alias("_id"), F.col("key").alias("_key")]
+    extra = groups.where("n_shingles > 0 and not doc_id <=> component_id").select(*named).distinct()
+    # different texts under the one id that a group is named by: the one of the smallest key stays
+    lead = groups.where("n_shingles > 0 and doc_id = component_id").groupBy("doc_id").agg(F.min("key").alias("_lead"), F.max("key").alias("_last")).where("_lead <> _last")
+    also = groups.where("n_shingles > 0 and doc_id = component_id").join(lead.select("doc_id", "_lead"), "doc_id").where("key <> _lead")
+    extra = extra.unionByName(also.select(*named).distinct())
+    again = groups.where("n_shingles > 0 and doc_id <=> component_id").groupBy("doc_id", "key").count().where("count > 1").select(*named)
     extra, again = stored(extra, "extra"), stored(again, "again")
     key = F.xxhash64(F.coalesce(docs["text"], F.lit("")))
     is_in = lambda t: docs["doc_id"].cast("long").eqNullSafe(t["_id"]) & (key == t["_key"])

@@ -46,6 +46,16 @@ def test_stages_like_brute_force(spark, sf_dir, documents):
     assert max(bins.values()) <= 2048 and len(bins) <= -(-sum(bins.values()) // 2048) + 1
 
 
+def test_near_copies_under_one_id(spark, sf_dir):
+    """Of a group one row stays, also where different texts share the id it is named by."""
+    words = [f"w{i}" for i in range(60)]
+    texts = [" ".join(words), " ".join([*words[:-1], "x"]), " ".join([*words[:-2], "y", "z"])]
+    rows = [(5, texts[0]), (5, texts[1]), (5, texts[1]), (6, texts[2]), (9, "something else altogether with many words"), (None, "no id")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    out = dict(corpus_pipeline.STAGES)["ngram_jaccard_join"](spark, stored(docs, "in"), sf_dir).collect()
+    assert sorted(str(r.doc_id) for r in out) == ["5", "9", "None"]
+
+
 def test_run(spark, sf_dir):
     out = corpus_pipeline.run(spark, sf_dir)
     assert out.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"] and out.count() > 0
