@@ -108,6 +108,15 @@ def test_components_of_chains_and_stars(spark):
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_coded_ids_take_fewer_bits_than_zlib(documents):
+    """A model cut down to a few places would not: real blocks, each alone."""
+    got = tokens.encoder(tokens.default_vocabulary()).encode([r.text or "" for r in documents.collect()])
+    ids = np.concatenate([np.asarray(g, "<u2") for g in got])
+    blocks = [ids[i : i + id_codec.BLOCK_IDS] for i in range(0, len(ids), id_codec.BLOCK_IDS)]
+    ours, plain = sum(map(len, id_codec.encode_blocks(blocks))), sum(len(zlib.compress(b.tobytes(), 9)) for b in blocks)
+    assert ours < 0.93 * plain
+
+
 def test_coder_round_trip_and_damage():
     rng = np.random.default_rng(1)
     blocks = [np.zeros(0, np.uint16), np.array([65535], np.uint16), rng.integers(0, 65536, 700).astype(np.uint16), np.tile(np.array([5, 9, 50256], np.uint16), 500), np.full(900, 7, np.uint16)]
