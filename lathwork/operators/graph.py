@@ -7,6 +7,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.numbers import half_up
+
 
 def _shared(spark: SparkSession) -> str:
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
@@ -127,4 +129,4 @@ def circulation(rooms: DataFrame, openings: DataFrame, room: str = "room") -> Da
     likely = F.when(hub, 0.95).when(F.col("ways") >= 3, 0.7).when(dead_end | isolated, 0.05).otherwise(0.2)
     score = F.least(F.lit(100.0), F.col("ways") * 20 + likely * 40 + F.when(dead_end, 0).otherwise(20))
     access = F.when(isolated, "isolated").when(F.col("steps").isNull(), "unreachable").when(dead_end, "dead_end").otherwise("accessible")
-    return r.select(room, "ways", "entrances", "steps", access.alias("access"), likely.alias("likelihood"), F.least("width", "_narrow").alias("clear_width"), F.when(isolated, 0.0).otherwise(F.floor(score + 0.5).cast("double")).alias("movement"))
+    return r.select(room, "ways", "entrances", "steps", access.alias("access"), likely.alias("likelihood"), half_up(F.least("width", "_narrow"), 2).alias("clear_width"), F.when(isolated, 0.0).otherwise(F.floor(score + 0.5).cast("double")).alias("movement"))

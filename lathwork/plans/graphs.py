@@ -147,7 +147,7 @@ def fingerprint_in_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     u AS (SELECT room AS a, other AS b FROM w WHERE other IS NOT NULL UNION SELECT other, room FROM w WHERE other IS NOT NULL),
     h(node, steps) USING KEY (node) AS (SELECT room, 0 FROM x UNION (SELECT u.b, min(h.steps) + 1 FROM h JOIN u ON u.a = h.node LEFT JOIN recurring.h AS k ON k.node = u.b WHERE k.node IS NULL GROUP BY u.b)),
     p AS (SELECT w.room, count(*) AS ways, bool_or(exterior AND kind = 'door') AS door, sum((exterior OR x.room IS NOT NULL)::INTEGER) AS entrances, min(width) AS narrow FROM w LEFT JOIN x ON x.room = w.other GROUP BY 1),
-    q AS (SELECT r.room, coalesce(ways, 0) AS ways, coalesce(entrances, 0)::BIGINT AS entrances, steps, use, coalesce(ways, 0) = 0 AS isolated, coalesce(ways, 0) = 1 AND NOT door AS dead, least(r.width, coalesce(narrow, r.width))::DOUBLE AS clear_width FROM r LEFT JOIN p USING (room) LEFT JOIN h ON h.node = r.room),
+    q AS (SELECT r.room, coalesce(ways, 0) AS ways, coalesce(entrances, 0)::BIGINT AS entrances, steps, use, coalesce(ways, 0) = 0 AS isolated, coalesce(ways, 0) = 1 AND NOT door AS dead, floor(least(r.width, coalesce(narrow, r.width))::DOUBLE * 100 + 0.5) / 100 AS clear_width FROM r LEFT JOIN p USING (room) LEFT JOIN h ON h.node = r.room),
     l AS (SELECT *, CASE WHEN use = 'corridor' THEN 0.95::DOUBLE WHEN ways >= 3 THEN 0.7::DOUBLE WHEN dead OR isolated THEN 0.05::DOUBLE ELSE 0.2::DOUBLE END AS likelihood FROM q)
     SELECT room, ways, entrances, steps, CASE WHEN isolated THEN 'isolated' WHEN steps IS NULL THEN 'unreachable' WHEN dead THEN 'dead_end' ELSE 'accessible' END AS access, likelihood, round(clear_width, 4) AS clear_width,
            CASE WHEN isolated THEN 0 ELSE floor(least(100, ways * 20 + likelihood * 40 + CASE WHEN dead THEN 0 ELSE 20 END) + 0.5) END::DOUBLE AS movement FROM l

@@ -40,9 +40,12 @@ COMPACT = """
 
 
 def documents(spark: SparkSession, paths: str | list[str], most_bytes: int = 1 << 30) -> DataFrame:
-    """(model, text): files, gzipped or not, read whole; larger ones than ``most_bytes`` fail."""
+    """(model, text): files, gzipped or not, read whole; larger ones than ``most_bytes`` fail, by their size before they are read, packed ones when unpacked."""
+    large = spark.read.format("binaryFile").load(paths).where(F.col("length") > most_bytes).select("path").head(1)  # sizes only
+    if large:
+        raise ValueError(f"a model file is too large: {large[0].path}")
     df = spark.read.text(paths, wholetext=True)
-    text = F.when(F.length("value") > most_bytes, F.raise_error(F.lit("a model file is too large"))).otherwise(F.col("value"))
+    text = F.when(F.octet_length("value") > most_bytes, F.raise_error(F.lit("a model file is too large"))).otherwise(F.col("value"))
     return df.select(F.input_file_name().alias("model"), text.alias("text"))
 
 

@@ -47,6 +47,8 @@ def test_documents_to_world_faces(spark, tmp_path):
     assert (a.area, a.holes_area, a.surface, a.material_id) == (11.0, 1.0, "floor", "m") and b.material_id is None
     assert tuple(a.vertices[0]) == (5.0, 0.0, 1.0) and tuple(b.vertices[2]) == (14.0, 3.0, 2.0)
     assert math.isclose(c.area, 1.0) and c.material_id == "mat" and tuple(c.vertices[2]) == (6.0, 1.0, 1.0)
+    with pytest.raises(ValueError, match="too large"):
+        models.documents(spark, str(tmp_path / "b.json"), most_bytes=100)
     models.write_faces(models.world_faces(t), str(tmp_path / "out"))
     assert spark.read.json(str(tmp_path / "out")).count() == 2
 
