@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry, numbers
+from . import grid
 from .graph import settled
 
 
@@ -78,7 +79,7 @@ def ranked(found: DataFrame, least_area: float = 0.25, longest: float = 25.0) ->
     out = found.withColumn("compactness", 4 * math.pi * F.col("area") / (F.col("perimeter") * F.col("perimeter"))).withColumn("aspect", numbers.ratio(F.greatest(w, d), F.least(w, d)))
     flags = F.filter(F.array(F.when(F.col("area") < least_area, F.lit("small")), F.when(F.col("aspect") > longest, F.lit("sliver"))), lambda x: x.isNotNull())
     out = out.withColumn("flags", flags).withColumn("score", 100 * F.col("compactness") - 40 * F.size("flags"))
-    return out.withColumn("rank", F.row_number().over(Window.partitionBy("storey").orderBy(F.desc("score"), "face")))
+    return out.withColumn("rank", F.row_number().over(Window.partitionBy("storey").orderBy(F.round("score", 9).desc(), "face")))
 
 
 def adjacency(cycles: DataFrame, inner: DataFrame) -> DataFrame:
@@ -95,13 +96,21 @@ def adjacency(cycles: DataFrame, inner: DataFrame) -> DataFrame:
 
 
 def holes(found: DataFrame) -> DataFrame:
-    """(storey, inner, outer): loops that lie inside a larger one of their storey, by bounds first, then by points."""
+    """(storey, inner, outer): loops that lie inside a larger one of their storey, by bounds first, then by all their corners.
+
+    Bounds meet through cells of the larger one's size, and corners move only for pairs whose bounds are nested.
+    """
     b = geometry.bounds("vertices")
-    rows = found.select("storey", "face", "vertices", "area", *(b[k].alias(k) for k in ("min_x", "max_x", "min_z", "max_z")))
-    i, o = rows.alias("i"), rows.alias("o")
-    inside = F.forall("i.vertices", lambda p: geometry.contains(F.col("o.vertices"), p["x"], p["z"]))
-    box = F.expr("i.storey = o.storey and i.area < o.area and i.min_x >= o.min_x and i.max_x <= o.max_x and i.min_z >= o.min_z and i.max_z <= o.max_z")
-    return i.join(o, box).where(inside).select(F.col("i.storey").alias("storey"), F.col("i.face").alias("inner"), F.col("o.face").alias("outer"))
+    rows = settled(found.select("storey", "face", "vertices", "area", *(b[f"{e}_{k}"].alias(f"{k}{n}") for k in "xz" for e, n in (("min", 0), ("max", 1)))))
+    ends = [f"{k}{e}" for k in "xz" for e in "01"]
+    near = grid.touching(rows, ["storey"], "face", carry=["area", *ends])
+    flip = F.col("a_area") > F.col("b_area")
+    pick = lambda c, big: F.when(flip == big, F.col(f"a{c}")).otherwise(F.col(f"b{c}"))
+    pairs = near.where("a_area <> b_area").select("storey", pick("", False).alias("inner"), pick("", True).alias("outer"), *(pick(f"_{c}", side).alias(f"{n}{c}") for c in ends for n, side in (("i", False), ("o", True))))
+    pairs = pairs.where("ix0 >= ox0 and ix1 <= ox1 and iz0 >= oz0 and iz1 <= oz1").select("storey", "inner", "outer")
+    inner, outer = (rows.select("storey", F.col("face").alias(n), F.col("vertices").alias(f"_{n}")) for n in ("inner", "outer"))
+    inside = F.forall("_inner", lambda p: geometry.contains("_outer", p["x"], p["z"]))
+    return pairs.join(inner, ["storey", "inner"]).join(outer, ["storey", "outer"]).where(inside).select("storey", "inner", "outer")
 
 
 def candidate_pairs(walls: DataFrame, keys: Sequence[str], thick: tuple[float, float] = (0.05, 0.6), least_overlap: float = 0.45) -> DataFrame:

@@ -245,6 +245,22 @@ def wall_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("id", F.round("perimeter", 4).alias("perimeter"), F.round("coverage", 6).alias("coverage"))
 
 
+@query("WITH" + _FACES + """,
+    rooms AS (SELECT * FROM f WHERE part = 'floor' AND flat),
+    s AS (SELECT model, id, 'z' AS axis, x0 AS plane, z0 AS lo, z1 AS hi FROM rooms UNION ALL SELECT model, id, 'z', x1, z0, z1 FROM rooms UNION ALL SELECT model, id, 'x', z0, x0, x1 FROM rooms UNION ALL SELECT model, id, 'x', z1, x0, x1 FROM rooms),
+    p AS (SELECT a.model, a.id AS a, b.id AS b, a.axis, abs(a.plane - b.plane) AS gap, least(a.hi, b.hi) - greatest(a.lo, b.lo) AS overlap FROM s a JOIN s b ON a.model = b.model AND a.axis = b.axis AND a.id < b.id
+          WHERE abs(a.plane - b.plane) <= 0.123 AND least(a.hi, b.hi) - greatest(a.lo, b.lo) >= 0.2)
+    SELECT model, a AS room, b AS other, round(max(overlap), 4) AS overlap FROM p GROUP BY model, a, b
+""")
+def shared_boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rooms of a model whose outlines run along each other, and the longest stretch."""
+    f = model_faces(spark, sf_dir)
+    corner = lambda x, z: F.struct(F.col(x).alias("x"), F.col(z).alias("z"))
+    outline = f.where((F.col("part") == "floor") & faces.is_flat()).select("model", "id", F.array(corner("x0", "z0"), corner("x1", "z0"), corner("x1", "z1"), corner("x0", "z1")).alias("p"))
+    out = boundaries.shared_boundaries(boundaries.segments(outline, ["model", "id"], "p"), ["model"], "id", 0.123)
+    return out.select("model", F.col("left").alias("room"), F.col("right").alias("other"), F.round("overlap", 4).alias("overlap"))
+
+
 @query("""
     WITH p AS (SELECT DISTINCT c_nationkey AS k, c_acctbal AS x, (c_custkey * 37 % 1009)::DOUBLE AS z FROM customer),
     e AS (SELECT a.k, a.x AS ax, a.z AS az, b.x AS bx, b.z AS bz FROM p a JOIN p b ON a.k = b.k AND (a.x <> b.x OR a.z <> b.z)),

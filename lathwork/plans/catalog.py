@@ -550,6 +550,17 @@ def building_adjacency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _adjacency(_building(spark, sf_dir))
 
 
+@query("WITH RECURSIVE" + _BUILDING + """,
+    r AS (SELECT storey, face, max(area) AS area, max(perimeter) AS perimeter, greatest(max(sx) - min(sx), max(sz) - min(sz)) / least(max(sx) - min(sx), max(sz) - min(sz)) AS aspect FROM g GROUP BY storey, face),
+    k AS (SELECT *, 4 * pi() * area / (perimeter * perimeter) AS compactness, (area < 0.25)::INTEGER + (aspect > 25)::INTEGER AS flags FROM r)
+    SELECT storey, face.ax::DOUBLE AS x, face.az::DOUBLE AS z, round(compactness, 6) AS compactness, round(aspect, 4) AS aspect, row_number() OVER (PARTITION BY storey ORDER BY round(100 * compactness - 40 * flags, 9) DESC, face)::INTEGER AS rank FROM k
+""")
+def ranked_loops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faces of each storey's wall graph, the most compact first."""
+    found = rooms.ranked(rooms.loops(rooms.face_cycles(rooms.half_edges(_building(spark, sf_dir)))))
+    return found.select("storey", F.col("face.a.x").alias("x"), F.col("face.a.z").alias("z"), _r("compactness", 6), _r("aspect"), "rank")
+
+
 from . import assembly, building, graphs, spaces  # noqa: E402, F401  they register theirs
 
 __all__ = ["ORACLES", "QUERIES"]
