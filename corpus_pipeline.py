@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lathwork.llm import decontamination, jaccard_join, packing, pii, toxicity
-from lathwork.llm.shared import small_enough, stored, table
+from lathwork.llm.shared import small_enough, stored, table, tidy
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -89,4 +89,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir), name)
+        tidy(spark)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import stored
+from .shared import stored, tidy
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -41,4 +41,5 @@ def components(edges: DataFrame) -> DataFrame:
         if state == was:
             break
         was = state
+        tidy(edges.sparkSession)
     return now.select(F.col("a").alias("node"), F.col("b").alias("label")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct())

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import removed, sliced, small_enough, stored, text_keys, text_rows
+from .shared import removed, sliced, small_enough, stored, text_keys, text_rows, tidy
 
 SKETCH_BITS = 20
 SKETCH_WIDTH = 256
@@ -223,6 +223,7 @@ def jaccard_components(documents: DataFrame, words: int = 3, percent: int = 90,
     inside = classes.join(spoken, "g").where("cid <> leader").select(F.col("cid").alias("a"), F.col("leader").alias("b"))
     pairs = stored(pairs.union(inside).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
     links = _verified(pairs, classes, docs, words, percent)
+    tidy(docs.sparkSession)
     label = components(links)
 
     # the rest: pairs in different components that share a prefix shingle or a group
@@ -238,6 +239,7 @@ def jaccard_components(documents: DataFrame, words: int = 3, percent: int = 90,
     u, v = named.alias("u"), named.alias("v")
     within = u.join(v, F.expr("u.g = v.g and u.cid < v.cid and u.label <> v.label")).select(F.col("u.cid").alias("a"), F.col("v.cid").alias("b"))
     rest = stored(rest.union(within).distinct().join(pairs, ["a", "b"], "left_anti"), "rest")
+    tidy(docs.sparkSession)
     more = _verified(rest, classes, docs, words, percent)
     links = links.union(more)
     label = components(links)

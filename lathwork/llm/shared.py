@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -49,6 +50,15 @@ def removed(*tables: DataFrame) -> None:
         where.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def tidy(spark: SparkSession) -> None:
+    """The driver lets go of what finished rounds have left: classes made for their plans, their broadcasts and shuffles.
+
+    Operators that go round after round call it between rounds, so that a driver's memory does not grow with their number.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def small_batches(spark: SparkSession) -> None:
     """Texts go to Python a few MB at a time, whatever their length, unless the session asks for still fewer rows."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) in (0, 10_000):
