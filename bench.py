@@ -7,7 +7,7 @@ import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-HEADLINE = ["label_stats", "rule_bank_classify", "weighted_median", "interval_union", "nearest_match", "asof_up", "aabb_overlap", "scenario_delta", "facade_weighted", "pareto_frontier", "majority_vote", "quantize_embeddings", "polygon_area", "integrity_of_all", "fingerprint", "rollup_layers", "set_ops", "text_normalize", "classify_faces", "room_heights", "surface_clusters", "annotation_units", "refined_envelopes", "room_semantics"]
+HEADLINE = ["label_stats", "rule_bank_classify", "weighted_median", "interval_union", "nearest_match", "asof_up", "aabb_overlap", "scenario_delta", "facade_weighted", "pareto_frontier", "majority_vote", "quantize_embeddings", "polygon_area", "integrity_of_all", "fingerprint", "rollup_layers", "set_ops", "text_normalize", "classify_faces", "room_heights", "room_semantics"]
 
 
 def main() -> None:
