@@ -28,3 +28,12 @@ def test_near_faces_move_once(spark):
     assert got == want and 0 < len(want) < len(rows)
     at = [faces._cell(faces.middle(a)) for a in "xxzz"]
     assert faces._in_blocks(df, *at).count() == len(rows)
+
+
+def test_a_wall_at_the_threshold_counts_as_in_sql(spark):
+    # 0.36 of 1.05 square metres lie in the room: 0.35 of the share is 0.12 and the last bit decides
+    room = spark.createDataFrame([(3.0, 5.4, 0.0, 2.0)], "x0 double, x1 double, z0 double, z1 double").alias("r")
+    wall = spark.createDataFrame([(3.0, 10.0, 1.0, 1.15)], "x0 double, x1 double, z0 double, z1 double").alias("w")
+    got = room.crossJoin(wall).select(faces.wall_adjacency("r", "w").alias("a")).first().a
+    share = (5.4 - 3.0) * (1.15 - 1.0) / ((10.0 - 3.0) * (1.15 - 1.0))
+    assert got == share * 0.35 and got > 0.12
