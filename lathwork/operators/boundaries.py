@@ -161,8 +161,9 @@ def box_distance(a: str, b: str) -> Column:
 def undominated(df: DataFrame, keys: Sequence[str], objectives: Sequence[str], block: int = 4096) -> DataFrame:
     """Rows that no other of their key beats: none worse and one better, small values being good, in any number of objectives.
 
-    Each partition first drops what its own rows beat, in batches; what is left of a key is dealt into blocks and
-    every block is held against every other one, so no task holds more than two blocks.
+    Each partition first drops what its own rows beat: a batch's distinct rows in order are held against its best ones so far, and
+    up to ``block`` best ones of former batches go along for each of the first keys.  What is left of a key is dealt into blocks and every
+    block is held against every other one, so no task holds more than two blocks and those best ones.
     """
     n_keys, names = len(keys), list(objectives)
 
@@ -173,12 +174,28 @@ def undominated(df: DataFrame, keys: Sequence[str], objectives: Sequence[str], b
             out[i : i + 256] = ((by[None] <= part).all(axis=2) & (by[None] < part).any(axis=2)).any(axis=1)
         return out
 
+    def best_of(rows: np.ndarray, known: np.ndarray) -> np.ndarray:
+        """Which of the rows, distinct and in order, neither the known ones nor another row beats; only an earlier row beats a later one."""
+        good = np.zeros(len(rows), bool)
+        for i in range(0, len(rows), 256):
+            part = rows[i : i + 256]
+            left = np.flatnonzero(~beaten(part, known))
+            left = left[~beaten(part[left], part[left])]
+            good[i + left] = True
+            known = np.concatenate([known, part[left]])
+        return good
+
     def local(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        best: dict[object, np.ndarray] = {}
         for f in frames:
             keep = np.ones(len(f), bool)
-            for at in (f.groupby(list(keys), dropna=False).indices.values() if n_keys else [np.arange(len(f))]):
-                v = f[names].to_numpy(np.float64)[at]
-                keep[at] = ~beaten(v, v)
+            for key, at in (f.groupby(list(keys), dropna=False).indices if n_keys else {0: np.arange(len(f))}).items():
+                v, place = np.unique(f[names].to_numpy(np.float64)[at], axis=0, return_inverse=True)
+                known = best.get(key, v[:0])
+                good = best_of(v, known)
+                keep[at] = good[place.reshape(-1)]
+                if key in best or len(best) < 64:
+                    best[key] = np.concatenate([known[~beaten(known, v[good])], v[good]])[:block]
             yield f[keep]
 
     few = settled(df.where(" and ".join(f"{c} is not null" for c in names)).mapInPandas(local, df.schema))
