@@ -253,9 +253,10 @@ class MeshWriter(DataSourceArrowWriter):
             held, n = [], 0
 
         for batch in batches:
-            for at in range(0, batch.num_rows, self.rows):
-                held.append(batch.slice(at, self.rows))
-                n, faces = n + held[-1].num_rows, faces + held[-1].num_rows
+            at = 0
+            while at < batch.num_rows:  # a file is filled up whatever the batches' sizes
+                held.append(batch.slice(at, self.rows - n))
+                n, faces, at = n + held[-1].num_rows, faces + held[-1].num_rows, at + held[-1].num_rows
                 if n >= self.rows:
                     flush()
         if n:
