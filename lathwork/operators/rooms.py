@@ -27,38 +27,43 @@ def barrier_edges(segments: DataFrame, storey: str, start: tuple[str, str], end:
 
 
 def half_edges(edges: DataFrame) -> DataFrame:
-    """(storey, a, b, c): each edge in both directions with the node c after b around the face to its left.
+    """(storey, a, b, c, id, next): each edge in both directions with the node c after b around the face to its left.
 
     At b the successor is the edge before the twin (b to a) in counter-clockwise order, the last one for the first.
+    ``id`` is a number for each row, next the successor's; those of twins differ in the last bit only.
     """
-    both = edges.unionByName(edges.select("storey", F.col("b").alias("a"), F.col("a").alias("b")))
+    numbered = settled(edges.select("storey", "a", "b", (F.monotonically_increasing_id() * 2).alias("id")))
+    both = numbered.unionByName(numbered.select("storey", F.col("b").alias("a"), F.col("a").alias("b"), (F.col("id") + 1).alias("id")))
     angle = F.atan2(F.col("b.z") - F.col("a.z"), F.col("b.x") - F.col("a.x"))
     around = Window.partitionBy("storey", "a").orderBy("angle", "b")
-    last = F.last("b").over(around.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    turn = both.withColumn("angle", angle).withColumn("c", F.coalesce(F.lag("b").over(around), last))
+    whole = around.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    before = lambda c: F.coalesce(F.lag(c).over(around), F.last(c).over(whole))
+    turn = both.withColumn("angle", angle).withColumn("c", before("b")).withColumn("next", before("id"))
     # the row (b, a) says what follows a to b
-    return turn.select("storey", F.col("b").alias("a"), F.col("a").alias("b"), "c")
+    return turn.select("storey", F.col("b").alias("a"), F.col("a").alias("b"), "c", F.col("id").bitwiseXOR(F.lit(1)).alias("id"), "next")
 
 
 def face_cycles(half: DataFrame, most_rounds: int = 32) -> DataFrame:
-    """(storey, a, b, face, place): the face each half-edge bounds (its smallest half-edge) and its place from there on.
+    """(storey, a, b, face, place, id): the face each half-edge bounds (its smallest half-edge) and its place from there on.
 
-    Rounds double the reach: label and distance of the smallest half-edge within 1, 2, 4 ... steps ahead.
+    Rounds double the reach: number and distance of the half-edge of the smallest number within 1, 2, 4 ... steps ahead.
+    Only numbers move in them; the points come back once, and a face's smallest half-edge takes the place of its smallest number.
     """
-    e = lambda a, b: F.struct(F.col(a).alias("a"), F.col(b).alias("b"))
-    now = settled(half.select("storey", e("a", "b").alias("h"), e("b", "c").alias("next"), F.struct(e("a", "b").alias("h"), F.lit(0).cast("bigint").alias("ahead")).alias("least"), F.lit(1).cast("bigint").alias("reach")))
-    for _ in range(most_rounds):
-        ahead = now.select("storey", F.col("h").alias("next"), F.col("next").alias("n2"), F.col("least").alias("l2"))
-        further = F.struct(F.col("l2.h").alias("h"), (F.col("l2.ahead") + F.col("reach")).alias("ahead"))
-        step = now.join(ahead, ["storey", "next"])
-        moved = F.col("l2.h") < F.col("least.h")
-        new = settled(step.select("storey", "h", F.col("n2").alias("next"), F.when(moved, further).otherwise(F.col("least")).alias("least"), (F.col("reach") * 2).alias("reach"), moved.alias("moved")))
+    sides = settled(half.where("storey is not null").select("storey", "a", "b", "id", "next"))
+    now = sides.select("id", "next", F.col("id").alias("least"), F.lit(0).cast("bigint").alias("ahead"))
+    for k in range(most_rounds):
+        ahead = now.select(F.col("id").alias("next"), F.col("next").alias("n2"), F.col("least").alias("l2"), F.col("ahead").alias("a2"))
+        moved = F.col("l2") < F.col("least")
+        closer = [F.when(moved, F.col("l2")).otherwise(F.col("least")).alias("least"), F.when(moved, F.col("a2") + 2**k).otherwise(F.col("ahead")).alias("ahead")]
+        new = settled(now.join(ahead, "next").select("id", F.col("n2").alias("next"), *closer, moved.alias("moved")))
         if new.where("moved").isEmpty():
             break
         now = new.drop("moved")
-    size = now.groupBy("storey", F.col("least.h").alias("face")).agg(F.count("*").alias("n"))
-    out = now.select("storey", "h", F.col("least.h").alias("face"), F.col("least.ahead").alias("ahead")).join(size, ["storey", "face"])
-    return out.select("storey", F.col("h.a").alias("a"), F.col("h.b").alias("b"), "face", F.pmod(F.col("n") - F.col("ahead"), F.col("n")).alias("place"))
+    rows = sides.drop("next").join(now.select("id", "least", "ahead"), "id")
+    around = Window.partitionBy("least")
+    first = F.min(F.struct(F.struct("a", "b").alias("h"), "ahead")).over(around)
+    rows = rows.withColumn("_first", first).withColumn("_n", F.count("*").over(around))
+    return rows.select("storey", "a", "b", F.col("_first.h").alias("face"), F.pmod(F.col("_first.ahead") - F.col("ahead"), F.col("_n")).alias("place"), "id")
 
 
 def loops(cycles: DataFrame, least_area: float = 1e-9) -> DataFrame:
@@ -89,10 +94,10 @@ def adjacency(cycles: DataFrame, inner: DataFrame) -> DataFrame:
     """
     keep = inner.select("storey", "face")
     c = cycles.join(keep, ["storey", "face"], "left_semi")
-    twin = c.select("storey", F.col("b").alias("a"), F.col("a").alias("b"), F.col("face").alias("other"))
     length = F.hypot(F.col("b.x") - F.col("a.x"), F.col("b.z") - F.col("a.z"))
-    pairs = c.join(twin, ["storey", "a", "b"]).where("face < other")
-    return pairs.groupBy("storey", F.col("face").alias("left"), F.col("other").alias("right")).agg(F.sum(length).alias("shared"))
+    twin = c.select(F.col("id").bitwiseXOR(F.lit(1)).alias("id"), F.col("face").alias("other"))
+    pairs = c.select("storey", "id", "face", length.alias("_length")).join(twin, "id").where("face < other")
+    return pairs.groupBy("storey", F.col("face").alias("left"), F.col("other").alias("right")).agg(F.sum("_length").alias("shared"))
 
 
 def holes(found: DataFrame) -> DataFrame:
