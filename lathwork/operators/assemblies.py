@@ -18,6 +18,8 @@ TELLING = r"(?i)\b(?:p\d{4,}|j\d{4,}|pintu|door|jendela|window)\b"
 ROLES = {"leaf": "(?i)daun|leaf|panel", "frame": "(?i)kusen|frame|mullion|sash", "glass": "(?i)kaca|glass|glaz", "trim": "(?i)trim|list|sill|threshold|handle|pegangan"}
 # fixed values: shares, metres
 SAME_PLAN, SAME_PLACE, LEVEL, HEIGHT, GAP, LEAST_SHARED, DECLARED_GAP = 0.8, 0.12, 0.15, 0.35, 0.08, 0.2, 0.12
+#: width of the cells of openings' centres: only one in some fifteen is near a border, and few openings of a model are in one
+CELL = 32 * SAME_PLACE
 
 
 def telling(name: Column) -> Column:
@@ -67,20 +69,32 @@ def distinct_openings(openings: DataFrame) -> DataFrame:
     of the smaller plan, and centres and sizes differ by 0.12 at most.  Taken by name score, then area, then id; one that is
     like an earlier kept one repeats the first of these.
     """
-    o = settled(openings.select("model", "id", "kind", F.struct((-F.col("name_score")).alias("a"), (-F.col("area")).alias("b"), F.col("id").alias("c")).alias("rank"), *(f"{a}{e}" for a in "xyz" for e in "01")))
-    pairs = grid.touching(o, ["model", "kind"], "id", "xyz", SAME_PLACE, [f"{a}{e}" for a in "xyz" for e in "01"])
-    c = lambda s, a, e: F.col(f"{s}_{a}{e}")
+    ends = [f"{a}{e}" for a in "xyz" for e in "01"]
+    o = openings.select("model", "kind", "id", (-F.col("name_score")).alias("score"), (-F.col("area")).alias("area"), *ends).where(" and ".join(f"{c} is not null" for c in ["id", *ends]))
+    # centres of like ones are in one cell or just over its border: an opening stands in its cell and asks in those that it is near to
+    cell = lambda a, d: F.floor(((F.col(f"{a}0") + F.col(f"{a}1")) / 2 + d) / CELL).cast("long")
+    home, asks = o, o
+    for a in "xyz":
+        home = home.withColumn(f"c{a}", cell(a, 0.0))
+        asks = asks.withColumn(f"c{a}", F.explode(F.sequence(cell(a, -1.01 * SAME_PLACE), cell(a, 1.01 * SAME_PLACE))))
+    met = asks.alias("a").join(home.alias("b"), [F.col(f"a.{k}") == F.col(f"b.{k}") for k in ("model", "kind", "cx", "cy", "cz")])
+    c = lambda s, a, e: F.col(f"{s}.{a}{e}")
     size = lambda s, a: c(s, a, 1) - c(s, a, 0)
     shared = lambda a: F.greatest(F.lit(0.0), F.least(c("a", a, 1), c("b", a, 1)) - F.greatest(c("a", a, 0), c("b", a, 0)))
     plan = lambda s: size(s, "x") * size(s, "z")
     away = [(c("a", a, 0) + c("a", a, 1)) / 2 - (c("b", a, 0) + c("b", a, 1)) / 2 for a in "xyz"]
     like = (shared("x") * shared("z") / F.greatest(F.least(plan("a"), plan("b")), F.lit(0.001)) >= SAME_PLAN) & (F.sqrt(sum((d * d for d in away[1:]), away[0] * away[0])) <= SAME_PLACE)
     like = like & (F.greatest(*(F.abs(size("a", a) - size("b", a)) for a in "xyz")) <= SAME_PLACE)
-    pairs = settled(pairs.where(like).select("a", "b"))
-    kept = settled(boundaries.kept_in_order(o.select("id", "rank"), pairs, "id", "rank"))
-    both = pairs.union(pairs.select("b", "a"))
-    first = both.join(kept.select(F.col("id").alias("b"), F.col("rank").alias("_rank")), "b").groupBy(F.col("a").alias("id")).agg(F.min(F.struct("_rank", "b")).alias("_m"))
-    return o.select("id").join(first, "id", "left").join(kept.select("id", F.lit(True).alias("_kept")), "id", "left").select("id", F.when(F.col("_kept").isNull(), F.col("_m.b")).alias("of"))
+    for a in "xyz":
+        like = like & (c("a", a, 0) - c("b", a, 1) <= SAME_PLACE) & (c("b", a, 0) - c("a", a, 1) <= SAME_PLACE)
+    rank = lambda s: F.struct(F.col(f"{s}.score").alias("a"), F.col(f"{s}.area").alias("b"), F.col(f"{s}.id").alias("c"))
+    # each like pair once, the earlier one first
+    later = settled(met.where(like & (rank("a") < rank("b"))).select(rank("a").alias("rank"), F.col("b.id").alias("then")))
+    lost = boundaries.lost_in_order(later.select(F.col("rank.c").alias("first"), "then"))
+    kept = later if lost is None else later.join(lost.withColumnRenamed("id", "_lost"), F.col("rank.c") == F.col("_lost"), "left_anti")
+    # whatever has a kept one before it is lost, and what is kept has none
+    first = kept.groupBy(F.col("then").alias("id")).agg(F.min("rank")["c"].alias("of"))
+    return openings.select("id").join(first, "id", "left").select("id", "of")
 
 
 def merged_rooms(rooms: DataFrame, shared: DataFrame | None = None) -> DataFrame:

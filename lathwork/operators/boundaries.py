@@ -109,6 +109,12 @@ def kept_in_order(rows: DataFrame, pairs: DataFrame, id_col: str, rank: str) ->
     both = pairs.select("a", "b").union(pairs.select("b", "a")).where("a <> b").distinct()
     ranks = both.join(r.select(F.col("id").alias("a"), F.col("r").alias("ra")), "a").join(r.select(F.col("id").alias("b"), F.col("r").alias("rb")), "b")
     later = settled(ranks.where("ra < rb").select(F.col("a").alias("first"), F.col("b").alias("then")))
+    gone = lost_in_order(later)
+    return rows if gone is None else rows.join(gone.withColumnRenamed("id", id_col), id_col, "left_anti")
+
+
+def lost_in_order(later: DataFrame) -> DataFrame | None:
+    """(id), each once: those left out, from the stored edges (first, then) between like rows; None if there are no edges."""
     gone, open_edges = None, later
     while not open_edges.isEmpty():
         heads = open_edges.select(F.col("first").alias("id")).distinct().join(open_edges.select(F.col("then").alias("id")).distinct(), "id", "left_anti")
@@ -117,7 +123,7 @@ def kept_in_order(rows: DataFrame, pairs: DataFrame, id_col: str, rank: str) ->
         # what is lost loses nothing any more; what is kept has done its part
         left = open_edges.join(lost, open_edges["then"] == lost["id"], "left_anti").join(lost, F.col("first") == lost["id"], "left_anti")
         open_edges = settled(left)
-    return rows if gone is None else rows.join(gone.withColumnRenamed("id", id_col), id_col, "left_anti")
+    return gone
 
 
 def like_surfaces(faces: DataFrame, keys: Sequence[str], tolerance: float, cell: float = 4.0) -> DataFrame:
