@@ -127,11 +127,11 @@ def _batch(t: _Table, path: str, first: int, f: np.ndarray, slices) -> pa.Record
             for i in good:
                 points[offsets[i] : offsets[i + 1]] = slices(int(start[i]), int(start[i] + length[i]))
     points = points * t.scales[0]
-    named = lambda c, names: [names[v] if 0 <= v < len(names) else None for v in f[:, c].tolist()]
+    named = lambda c, names: pa.array(names, pa.string()).take(pa.array(f[:, c], mask=(f[:, c] < 0) | (f[:, c] >= len(names))))
     xyz = lambda v: pa.StructArray.from_arrays([pa.array(v[:, k]) for k in range(3)], ["x", "y", "z"])
-    rows = pa.array(list(range(first, first + len(f))), pa.int64())
+    rows = pa.array(np.arange(first, first + len(f), dtype=np.int64))
     ring = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), xyz(points))
-    return pa.RecordBatch.from_arrays([pa.array([path] * len(f)), rows, *(pa.array(named(c, n), pa.string()) for c, n in zip((2, 3, 4), t.names, strict=True)), pa.array(f[:, 5] * t.scales[1]), xyz(f[:, 6:9] * t.scales[2]), ring, pa.array(said.tolist(), pa.string())], schema=_ARROW)
+    return pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(path), len(f)), rows, *(named(c, n) for c, n in zip((2, 3, 4), t.names, strict=True)), pa.array(f[:, 5] * t.scales[1]), xyz(f[:, 6:9] * t.scales[2]), ring, pa.array(said.tolist(), pa.string())], schema=_ARROW)
 
 
 def _lost(path: str, problem: str) -> pa.RecordBatch:
@@ -209,10 +209,12 @@ def packed(rows: pa.Table, header: dict | None = None) -> bytes:
     normal = normal if isinstance(normal, pa.StructArray) else pa.concat_arrays(normal.chunks)
     names, columns = {}, []
     for key, c in (("surfaces", "surface"), ("materials", "material"), ("layers", "layer")):
-        values = rows[c].to_pylist()
-        index = {v: i for i, v in enumerate(dict.fromkeys(v for v in values if v is not None or c == "surface"))}
-        names[key] = list(index) if c != "material" else [{"name": v} for v in index]
-        columns.append(np.array([index.get(v, -1) for v in values], "<i4"))
+        coded = rows[c].cast(pa.string()).combine_chunks()
+        coded = coded if isinstance(coded, pa.Array) else pa.concat_arrays(coded.chunks)
+        coded = coded.dictionary_encode("encode" if c == "surface" else "mask")  # names in order of their first face
+        index = coded.dictionary.to_pylist()
+        names[key] = index if c != "material" else [{"name": v} for v in index]
+        columns.append(coded.indices.fill_null(-1).to_numpy(zero_copy_only=False).astype("<i4"))
     start = np.cumsum(length) - length
     area = _whole(rows["area"].to_numpy(), AREA_SCALE)
     faces = np.column_stack([start.astype("<i4"), length.astype("<i4"), *columns, area, _whole(np.nan_to_num(three(normal)), NORMAL_SCALE)]).astype("<i4")
