@@ -105,8 +105,11 @@ def even_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 """)
 def neighbour_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Neighbours, links and summed cost of every node."""
-    e = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders"), F.col("o_orderkey") == F.col("l_orderkey")).select("o_custkey", "l_suppkey", "l_quantity")
-    n = graph.neighbours(e, "o_custkey", "l_suppkey", "l_quantity")
+    li, o = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey", "l_quantity"), table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    rows = li.count()
+    if o.count() > graph.ROWS_OF_A_TASK:  # fewer may be broadcast
+        li, o = graph.dealt(li, rows, "l_orderkey"), graph.dealt(o, rows, "o_orderkey")
+    n = graph.neighbours(li.join(o, F.col("o_orderkey") == F.col("l_orderkey")), "o_custkey", "l_suppkey", "l_quantity", rows)
     return n.groupBy("node").agg(F.count("*").alias("degree"), F.sum("links").alias("links"), F.round(F.sum("cost"), 1).alias("cost"))
 
 
