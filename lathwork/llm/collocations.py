@@ -1,7 +1,7 @@
 """Phrases whose words stand together more often than apart, by language.
 
 All 1- to max_n-grams of the pieces between punctuation marks are exploded into rows and counted by language, single
-words from the counts of pairs.  A phrase can be cut into a first part and a rest; both occur at least as often as the
+words from the counts of pairs.  Frequent words are numbers while n-grams are counted, so that most rows are small.  A phrase can be cut into a first part and a rest; both occur at least as often as the
 phrase, so counts under ``min_count`` are needed for nothing but the total and only single words keep them.  Phrases
 that mostly occur inside a longer one are dropped: if a longer phrase holds enough of a phrase's occurrences, so does
 some phrase of one word more, hence an anti-join with one-word extensions finds all of them.
@@ -22,37 +22,79 @@ PIECE_END = r"[.,;:!?\x0A-\x0D]"
 BROADCAST_COUNTS = 200_000
 #: Rows of one language are ranked in so many ranges of hashes before the best of each meet.
 SALTS = 64
+#: Words that stand for numbers have at most so many bits of them; so many numbers make one of 64 bits.
+ID_BITS = 17
+CODED = 3
+#: Share of the texts in which words to be numbered are looked for.
+SAMPLE = 0.1
 
 
-def ngram_rows(docs: DataFrame, max_n: int, lang_col: str = "lang", text_col: str = "text") -> DataFrame:
-    """(key): phrase, tab and language for each occurrence of each 2- to max_n-gram within a piece; the last word of a piece stands alone."""
-    text = F.translate(F.coalesce(F.col(text_col), F.lit("")), string.ascii_uppercase, string.ascii_lowercase)
-    lang = F.concat(F.lit("\t"), F.coalesce(F.col(lang_col).cast("string"), F.lit("und")))
-    pieces = docs.select(lang.alias("lang"), F.explode(F.split(text, PIECE_END, -1)).alias("piece"))
-    words = pieces.select("lang", F.array_remove(F.split(F.translate("piece", "\t", " "), " ", -1), "").alias("w")).where(F.size("w") > 0)
+def _pieces(docs: DataFrame, lang_col: str, text_col: str) -> DataFrame:
+    """(lang, w): the words of each piece that has any."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    low = F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, string.ascii_uppercase, string.ascii_lowercase))
+    pieces = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.explode(F.split(low, PIECE_END, -1)).alias("piece"))
+    return pieces.select("lang", F.array_remove(F.split(F.translate("piece", "\t", " "), " ", -1), "").alias("w")).where(F.size("w") > 0)
+
+
+def numbered_words(docs: DataFrame, lang_col: str = "lang", text_col: str = "text") -> DataFrame:
+    """(lang, word, id), stored: words that a sample of the texts holds often, as numbers from 1.
+
+    A word's number is its hash, and of words with one number the most frequent keeps it: there are no more than 2**ID_BITS.
+    They only make rows smaller; words without a number are spelled out, and results do not depend on which ones have one.
+    """
+    words = _pieces(docs.sample(SAMPLE, 7), lang_col, text_col).select("lang", F.explode("w").alias("word")).groupBy("lang", "word").agg(F.count("*").alias("f"))
+    slot = F.pmod(F.xxhash64("lang", "word"), F.lit((1 << ID_BITS) - 1)) + 1
+    best = words.groupBy(slot.alias("id")).agg(F.max(F.struct("f", "lang", "word")).alias("b"))
+    return stored(best.select("b.lang", "b.word", "id"), "numbered-words")
+
+
+def ngram_rows(docs: DataFrame, known: DataFrame, max_n: int, lang_col: str = "lang", text_col: str = "text") -> DataFrame:
+    """(code, key) for each occurrence of each 2- to max_n-gram within a piece; the last word of a piece stands alone.
+
+    Up to three words that all have numbers are one number, ``code``; else ``key`` is phrase, tab and language.
+    """
     shifted = [F.slice("w", k, F.size("w")).alias(f"w{k}") for k in range(1, max_n + 1)]
-    rows = words.select("lang", F.inline(F.arrays_zip(*shifted)))
-    phrases = [F.concat(F.concat_ws(" ", "w1", "w2"), F.col("lang"))]
-    for k in range(3, max_n + 1):
+    rows = _pieces(docs, lang_col, text_col).select("lang", F.inline(F.arrays_zip(*shifted)))
+    for k in range(1, min(max_n, CODED) + 1):
+        rows = rows.join(F.broadcast(known.select("lang", F.col("word").alias(f"w{k}"), F.col("id").alias(f"c{k}"))), ["lang", f"w{k}"], "left")
+    code, lang = F.col("c1"), F.concat(F.lit("\t"), F.col("lang"))
+    out = []
+    for k in range(2, max_n + 1):
+        code = code.bitwiseOR(F.shiftleft(f"c{k}", ID_BITS * (k - 1))) if k <= CODED else F.lit(None).cast("long")  # null if one has no number
         parts = [x for i in range(1, k + 1) for x in (F.lit(" "), F.col(f"w{i}"))][1:]
-        phrases.append(F.concat(*parts, F.col("lang")))  # null beyond the piece's end
-    return rows.select(F.explode(F.array(*phrases)).alias("key")).where("key is not null")
+        text = F.concat(*parts, lang)  # null beyond the piece's end
+        if k == 2:
+            code, text = F.when(F.col("w2").isNull(), F.col("c1")).otherwise(code), F.coalesce(text, F.concat("w1", lang))
+            pair = code
+        out += [code, F.when(code.isNull(), text)]
+        code = pair if k == 2 else code
+    return rows.select(F.stack(F.lit(max_n - 1), *out).alias("code", "key")).where("code is not null or key is not null")
 
 
 def phrase_counts(docs: DataFrame, max_n: int, min_count: int, lang_col: str = "lang", text_col: str = "text") -> DataFrame:
     """(lang, phrase, words, f), stored: single words, and longer phrases of at least ``min_count`` occurrences.
 
     A word's count is the sum over the pairs that it begins and the pieces that it ends, so single words are exploded
-    from the counts of pairs, not from the texts.  Phrase and language are one key, the phrase first: rows are smaller,
-    and where a task's counts are sorted their first bytes tell them apart.
+    from the counts of pairs, not from the texts.  Numbers become words again once few rows are left.
     """
-    counts = ngram_rows(docs, max_n, lang_col, text_col).groupBy("key").agg(F.count("*").alias("f"))
+    known = numbered_words(docs, lang_col, text_col)
+    counts = ngram_rows(docs, known, max_n, lang_col, text_col).groupBy("code", "key").agg(F.count("*").alias("f"))
     phrase, lang = F.substring_index("key", "\t", 1), F.expr("substr(key, instr(key, '\t'))")  # words hold no tab
     word, pair = F.substring_index(phrase, " ", 1), F.substring_index(phrase, " ", 2)
-    often = (F.col("f") >= min_count) & (word != phrase)
-    none = F.array().cast("array<string>")
-    out = F.concat(F.when(often, F.array("key")).otherwise(none), F.when(pair == phrase, F.array(F.concat(word, lang))).otherwise(none))
-    counts = counts.select("f", F.explode(out).alias("key")).groupBy("key").agg(F.sum("f").alias("f"))
+    mask = (1 << ID_BITS) - 1
+    first, upto_pair = F.col("code").bitwiseAND(F.lit(mask)), F.col("code") < F.lit(1 << 2 * ID_BITS)
+    none = F.array().cast("array<struct<code:long,key:string>>")
+    row = lambda c, k: F.array(F.struct(c.alias("code"), k.alias("key")))
+    often = (F.col("f") >= min_count) & F.when(F.col("code").isNull(), word != phrase).otherwise(first != F.col("code"))
+    begins = F.when(F.col("code").isNull(), pair == phrase).otherwise(upto_pair)
+    out = F.concat(F.when(often, row(F.col("code"), F.col("key"))).otherwise(none), F.when(begins, row(first, F.concat(word, lang))).otherwise(none))
+    counts = counts.select("f", F.inline(out)).groupBy("code", "key").agg(F.sum("f").alias("f"))
+    for k in range(1, min(max_n, CODED) + 1):
+        said = F.broadcast(known.select(F.col("id").alias(f"c{k}"), F.col("word").alias(f"w{k}"), *([F.col("lang")] if k == 1 else [])))
+        counts = counts.withColumn(f"c{k}", F.shiftright("code", ID_BITS * (k - 1)).bitwiseAND(F.lit(mask))).join(said, f"c{k}", "left")
+    spelled = F.concat(F.concat_ws(" ", *(f"w{k}" for k in range(1, min(max_n, CODED) + 1))), F.lit("\t"), F.col("lang"))
+    counts = counts.select(F.coalesce("key", spelled).alias("key"), "f").groupBy("key").agg(F.sum("f").alias("f"))  # a word may come in both forms
     words = F.length(phrase) - F.length(F.replace(phrase, F.lit(" "), F.lit(""))) + 1
     return stored(counts.select(F.substr(lang, F.lit(2)).alias("lang"), phrase.alias("phrase"), words.alias("words"), "f"), "phrase-counts")
 
